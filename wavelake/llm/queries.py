@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import exact_dedup, license_diagonals, mixing
+from . import bpe_chunks, exact_dedup, fm_quality, license_diagonals, minhash, mixing
 from .common import read_table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file is on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(ship(spark), sf_dir, "documents"), words=3, percent=85)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(ship(spark), sf_dir, t) for t in ("documents", "labels"))
+    return fm_quality.scores(docs, fm_quality.learn(docs, labels))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(read_table(ship(spark), sf_dir, "documents"))
 
@@ -20,13 +35,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(ship(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.round_trip(read_table(ship(spark), sf_dir, "documents"), tokenizer_path())
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan(read_table(ship(spark), sf_dir, "documents")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_bpe": op7_bpe,
     "op9_license_scan": op9_license_scan,
 }
 
