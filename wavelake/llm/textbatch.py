@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -17,7 +18,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
     """(keys, texts) of a column of keys and a column of texts, null texts as empty ones."""
     for batch in batches:
         keys, column, start, chars = batch.column(0), batch.column(1), 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for i, n in enumerate(sizes):
             chars += n
             if chars >= GROUP_CHARS or i + 1 == len(sizes):
