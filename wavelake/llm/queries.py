@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import bpe_chunks, exact_dedup, fm_quality, license_diagonals, minhash, mixing
+from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, trie_counts
 from .common import read_table
 
 
@@ -22,6 +22,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(ship(spark), sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract(read_table(ship(spark), sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(read_table(ship(spark), sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(ship(spark), sf_dir, t) for t in ("documents", "labels"))
     return fm_quality.scores(docs, fm_quality.learn(docs, labels))
@@ -39,17 +47,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(read_table(ship(spark), sf_dir, "documents"), tokenizer_path())
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_tiles.near_duplicates(read_table(ship(spark), sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan(read_table(ship(spark), sf_dir, "documents")).drop("spans")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_anchors.scan(read_table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
+    "op8_embeddings": op8_embeddings,
     "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
