@@ -249,7 +249,18 @@ def test_triggers_reset_at_gaps(spark, tmp_path):
     spec = W.Spec("BDF", plus="D", record_count=4, signals=[W.SignalSpec("Status", 4, samples=lambda r, i: 7)], record_onset=lambda r: r + 5 * (r // 2))
     r = open_recording(spark, save(tmp_path, spec, "a.bdf"))
     r.build_index()
-    assert [(x.sample_index, x.trigger) for x in r.triggers(0, 60).orderBy("sample_index").collect()] == [(0, 7), (8, 7)]
+    found = r.triggers(0, 60).orderBy("sample_index").collect()
+    assert [(x.sample_index, x.trigger) for x in found] == [(0, 7), (8, 7)]
+    assert found[0].preceded_by_gap is None and found[1].preceded_by_gap.duration_ticks == 5 * D
+
+
+def test_envelope_of_samples_in_hand(spark, tmp_path):
+    from wavelake.operators import envelope as E
+
+    r = open_recording(spark, save(tmp_path, W.minimal(record_count=6)))
+    got = E.of_blocks(r.read_records(1, 3, [0]), 4).orderBy("bucket").collect()
+    whole = r.envelope(1, 3, [0], 4).orderBy("bucket").collect()
+    assert got == whole and sum(x["count"] for x in got) == 30
 
 
 def test_text_reports():

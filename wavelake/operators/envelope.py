@@ -49,6 +49,14 @@ def blocks_envelope(blocks: DataFrame, bucket: Column) -> DataFrame:
     return fold(rows, bucket)
 
 
+def of_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Even buckets over the samples in hand of each path, run and signal, however many records they are from."""
+    sizes = blocks.groupBy(*KEY).agg(F.min("first_sample_index").alias("_first"), F.sum(F.size("digital")).alias("total"))
+    placed = blocks.join(sizes, list(KEY)).withColumn("first_position", F.col("first_sample_index") - F.col("_first"))
+    rows = placed.select(*KEY, "first_position", "total", F.posexplode("digital").alias("_at", "digital")).withColumn("position", F.col("first_position") + F.col("_at"))
+    return fold(rows, even_bucket(F.col("position"), F.col("total"), buckets))
+
+
 def with_empty(envelope: DataFrame, buckets: int) -> DataFrame:
     """Every bucket of every run and signal; those without samples are 0, 0 with count 0."""
     keys = envelope.select(*KEY).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))

@@ -237,7 +237,13 @@ class Recording:
         blocks = self.read_window(start_seconds, duration_seconds, [signal.index])
         rows = S.explode(blocks, {signal.index: signal.samples_per_record}, self.header.record_duration_ticks)
         runs = blocks.select("record_index", "run_id")
-        return G.triggers(rows.join(runs, "record_index"), start_seconds, duration_seconds)
+        found = G.triggers(rows.join(runs, "record_index"), start_seconds, duration_seconds)
+        gap = F.lit(None).cast("struct<start_ticks:bigint,end_ticks:bigint,duration_ticks:bigint>")
+        for k, (first, _) in enumerate(self.window_runs(start_seconds, duration_seconds)):
+            if before := self.gap_before(first):
+                fields = F.struct(*[F.lit(before[c]).alias(c) for c in ("start_ticks", "end_ticks", "duration_ticks")])
+                gap = F.when((F.col("run_id") == k) & F.col("first_of_run") & (F.col("ticks") == before["end_ticks"]), fields).otherwise(gap)
+        return found.withColumn("preceded_by_gap", gap)
 
     # -- envelopes
     def _positions(self, blocks: DataFrame, runs: list[tuple[int, int]], chosen: list[Signal]) -> tuple[DataFrame, dict]:
