@@ -246,13 +246,13 @@ class Recording:
         return found.withColumn("preceded_by_gap", gap)
 
     # -- envelopes
-    def _positions(self, blocks: DataFrame, runs: list[tuple[int, int]], chosen: list[Signal]) -> tuple[DataFrame, dict]:
+    def _positions(self, blocks: DataFrame, runs: list[tuple[int, int]], chosen: list[Signal]) -> DataFrame:
         first, count = F.lit(0), F.lit(0)
         for k, (a, n) in enumerate(runs):
             first = F.when(F.col("run_id") == k, F.lit(a)).otherwise(first)
             count = F.when(F.col("run_id") == k, F.lit(n)).otherwise(count)
         rate = F.create_map(*[F.lit(x) for s in chosen for x in (s.index, s.samples_per_record)])[F.col("signal_index")]
-        return blocks.withColumn("first_position", F.col("first_sample_index") - first * rate).withColumn("total", count * rate), {}
+        return blocks.withColumn("first_position", F.col("first_sample_index") - first * rate).withColumn("total", count * rate)
 
     def envelope(self, start_seconds: float, duration_seconds: float, signal_indices: list[int], buckets: int, max_bytes: float | None = None) -> DataFrame:
         """path, run_id, signal_index, bucket, min, max, count over whole records; the same for any partitioning."""
@@ -263,7 +263,7 @@ class Recording:
             b = E.even_count(buckets, max(s.samples_per_record * n for s in chosen))
             E.check_budget(b, len(chosen), decode.budget(max_bytes))
             parts.append((k, b))
-        blocks, _ = self._positions(self.read_window(start_seconds, duration_seconds, signal_indices), runs, chosen)
+        blocks = self._positions(self.read_window(start_seconds, duration_seconds, signal_indices), runs, chosen)
         number = F.lit(1)
         for k, b in parts:
             number = F.when(F.col("run_id") == k, F.lit(b)).otherwise(number)
@@ -276,7 +276,7 @@ class Recording:
         if not seconds_per_bucket > 0 or seconds_per_bucket == float("inf"):
             raise ValueError("seconds_per_bucket must be positive and finite")
         width = K.from_seconds(seconds_per_bucket)
-        blocks, _ = self._positions(self.read_window(start_seconds, duration_seconds, signal_indices), runs, chosen)
+        blocks = self._positions(self.read_window(start_seconds, duration_seconds, signal_indices), runs, chosen)
         rows = blocks.select(*E.KEY, "first_position", "total", F.posexplode("digital").alias("_at", "digital")).withColumn("position", F.col("first_position") + F.col("_at"))
         bucket = F.lit(None).cast("int")
         for k, (_, n) in enumerate(runs):

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches to and from Python hold at most so many bytes, however long the rows are.
+BATCH_BYTES = 8 << 20
 _sent: set[str] = set()
 
 
@@ -21,5 +23,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(top.rglob("*.py")):
                 z.write(file, Path("wavelake") / file.relative_to(top))
         context.addPyFile(str(archive))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         _sent.add(context.applicationId)
     return spark
