@@ -218,6 +218,17 @@ def test_partitions_change_nothing(spark, tmp_path):
         assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def test_small_files_share_partitions(spark, tmp_path):
+    for i in range(20):
+        save(tmp_path, W.minimal(record_count=1 + i % 3), f"{i:02d}.edf")
+    register(spark)
+    for mode, rows in (("blocks", 39), ("headers", 20)):
+        df = spark.read.format("biosignal").options(path=str(tmp_path), mode=mode).load()
+        assert df.rdd.getNumPartitions() == 1 and df.count() == rows
+    small = spark.read.format("biosignal").options(path=str(tmp_path), split_bytes=1 << 18).load()
+    assert small.rdd.getNumPartitions() == 10 and small.count() == 39
+
+
 def test_zero_duration_records(spark, tmp_path):
     r = open_recording(spark, save(tmp_path, W.Spec(record_duration=0, signals=[W.SignalSpec("Stage", 1)])))
     assert r.header.signals[0].sample_rate_hz is None and r.window_runs(0, 1) == [(0, 2)] and r.locate(1) is None

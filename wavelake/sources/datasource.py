@@ -27,6 +27,10 @@ from .decode import annotations, digital, out_of_range, read_records, runs, time
 from .header import Header, read_header, signal_row
 
 SPLIT_BYTES = 64 << 20
+#: Files that share a partition at most: small ones are packed, so an archive of many isn't as many tasks.
+PACKED_FILES = 512
+#: What opening a file is worth in bytes when files are packed.
+OPEN_BYTES = 1 << 17
 _DAY = "struct<year:int,month:int,day:int>"
 SIGNAL_FIELDS = """signal_index int, kind string, label string, transducer_type string, prefiltering string, physical_dimension string,
 unit string, physical_minimum double, physical_maximum double, digital_minimum bigint, digital_maximum bigint,
@@ -146,9 +150,21 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 @dataclass
 class Part(InputPartition):
-    path: str
-    part: int
-    parts: int
+    """Pieces of files: (path, k, n) is the k-th of n parts of a file."""
+
+    pieces: tuple[tuple[str, int, int], ...]
+
+
+def packed(pieces: list[tuple[str, int, int]], weights: list[int], most: int) -> list[Part]:
+    """Neighbouring pieces together, up to so many bytes or PACKED_FILES files."""
+    out, held, size = [], [], 0
+    for piece, weight in zip(pieces, weights, strict=True):
+        if held and (size + weight > most or len(held) >= PACKED_FILES):
+            out.append(Part(tuple(held)))
+            held, size = [], 0
+        held.append(piece)
+        size += weight
+    return [*out, Part(tuple(held))]
 
 
 class Reader(DataSourceReader):
@@ -176,27 +192,33 @@ class Reader(DataSourceReader):
     def partitions(self):
         split = int(self.options.get("split_bytes", SPLIT_BYTES))
         files = [(f, s) for f, s in list_files(self.options["path"]) if self.paths is None or f in self.paths]
-        whole = self.options.get("mode", "blocks") == "headers"
-        out = []
-        for f, size in files:
-            n = 1 if whole else max(1, -(-size // split))
-            if "records_per_partition" in self.options and not whole:
+        if self.options.get("mode", "blocks") == "headers":
+            return packed([(f, 0, 1) for f, _ in files], [OPEN_BYTES] * len(files), split)
+        if "records_per_partition" in self.options:
+            out = []
+            for f, _ in files:
                 source = open_source(f)
                 n = max(1, -(-read_header(source).record_count // int(self.options["records_per_partition"])))
                 source.close()
-            out += [Part(f, k, n) for k in range(n)]
-        return out or [Part("", 0, 0)]
+                out += [Part(((f, k, n),)) for k in range(n)]
+            return out or [Part(())]
+        pieces, weights = [], []
+        for f, size in files:
+            n = max(1, -(-size // split))
+            pieces += [(f, k, n) for k in range(n)]
+            weights += [max(OPEN_BYTES, size // n)] * n
+        return packed(pieces, weights, split)
 
     def read(self, part: Part):
-        if not part.parts:
-            return
-        source = open_source(part.path)
-        try:
-            for columns in scan(source, part.path, self.options.get("mode", "blocks"), part.part, part.parts, self.start, self.stop, self.options.get("signals"), self.only, str(self.options.get("strict", "false")).lower() == "true"):
-                if columns:
-                    yield to_batch(columns, self.schema)
-        finally:
-            source.close()
+        strict = str(self.options.get("strict", "false")).lower() == "true"
+        for path, k, n in part.pieces:
+            source = open_source(path)
+            try:
+                for columns in scan(source, path, self.options.get("mode", "blocks"), k, n, self.start, self.stop, self.options.get("signals"), self.only, strict):
+                    if columns:
+                        yield to_batch(columns, self.schema)
+            finally:
+                source.close()
 
 
 class BiosignalSource(DataSource):

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader
+from dataclasses import dataclass
+
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..sources.bytesource import open_source
-from ..sources.datasource import SCHEMAS, Part, scan, to_batch
+from ..sources.datasource import SCHEMAS, scan, to_batch
 from ..sources.header import read_header
 
 
@@ -40,15 +42,18 @@ class TailReader(DataSourceStreamReader):
     def read(self, part):
         source = open_source(part.path)
         try:
-            for columns in scan(source, part.path, self.options.get("mode", "blocks"), 0, 1, part.part, part.parts, self.options.get("signals")):
+            for columns in scan(source, part.path, self.options.get("mode", "blocks"), 0, 1, part.first, part.stop, self.options.get("signals")):
                 if columns:
                     yield to_batch(columns, self.schema)
         finally:
             source.close()
 
 
-class TailPart(Part):
-    """part and parts are the first record and the one after the last."""
+@dataclass
+class TailPart(InputPartition):
+    path: str
+    first: int
+    stop: int
 
 
 class TailSource(DataSource):
