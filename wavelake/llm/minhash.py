@@ -5,11 +5,12 @@ set, a second one gives every coordinate of the signature, shifted circularly by
 that agree on all rows of a band are candidates. Links are confirmed on the full sets.
 
 Connected components are what is wanted, so no pairs inside a component are listed. Documents with the same
-set are one class. Each class is first checked against the smallest class of its buckets (one after the other,
-and only while both lie in different components). What is then left, buckets that still hold several
-components, is compared in tiles: a task gets two tiles of a bucket, compares sketches of the signatures and
-gives only pairs of different components whose sketch leaves the threshold possible. Those are confirmed as
-well. No bucket is capped.
+set are one class. Each class is first checked against the smallest class of its buckets, one pair for each.
+Buckets that then still hold several components are compared in tiles by sketches of the signatures; a task
+gives a spanning forest of the components whose members may be near enough, and the trees of all these are
+families. Outside a family no link is left to find. Inside, tiles of full sets are compared exactly, and a task
+gives a spanning forest of the links between components. Nothing of this grows with the square of a bucket or
+family but the comparisons inside tasks. No bucket is capped.
 
 Defined results. A null or blank text has an empty set and is linked with nothing: it is its own component and
 is kept. A text of fewer words than a shingle has one shingle, its whole sequence. Rows with the same text are
@@ -25,24 +26,23 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .textbatch import map_texts
+from .textbatch import map_groups, map_texts
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 28, 5
 LENGTH = BANDS * ROWS
 SEED = 20240229
-#: At the threshold t, the share of equal sketch bytes lies below t by more than this only with a chance of about 1e-9.
-SKETCH_SLACK = 0.2
-#: Classes of a bucket that are compared together when it holds several components.
-TILE = 256
-#: Rounds in which classes are checked against the smallest class of a bucket, before tiles.
-STAR_ROUNDS = 2
+#: The share of equal sketch bytes of a pair at the threshold lies below it by more than this with a chance of 4e-7 (at 85 per cent).
+SKETCH_SLACK = 0.15
+#: Classes that are compared together: by sketches in a bucket, by sets in a family.
+TILE, FAMILY_TILE = 512, 256
 _WORDS: dict[bytes, int] = {}
 
 
@@ -60,7 +60,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     known, hashed = _WORDS, xxhash.xxh3_64_intdigest
     ids = [known.get(w) or known.setdefault(w, hashed(w)) for w in words]
@@ -122,24 +122,91 @@ def _confirm(percent: int):
     return run
 
 
-def _possible(percent: int):
-    least = int(LENGTH * (percent / 100 - SKETCH_SLACK))
+class _Joined:
+    """Components that a task has already joined."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        left, right = rows[rows["tile"] == i], rows[rows["tile"] == j]
-        sk = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), LENGTH)
-        ids, comps, sizes = right["doc_id"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy()
-        found = []
-        for d, c, s, n in zip(left["doc_id"], left["component"], left["sketch"], left["n_shingles"], strict=True):
-            size_fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-            near = (comps != c) & size_fits & ((sk == np.frombuffer(s, np.uint8)).sum(1) >= least)
-            if i == j:
-                near &= ids > d
-            found += [(min(d, e), max(d, e)) for e in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    return run
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            x = self.up[x] = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _bridges(percent: int):
+    """Components of a bucket's tiles whose members' sketches leave a link possible, as a spanning forest."""
+    least = int(LENGTH * (percent / 100 - SKETCH_SLACK))
+
+    def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
+        tile, comps, sizes = (group.column(c).to_numpy() for c in ("tile", "component", "n_shingles"))
+        if (comps == comps[0]).all():
+            return None
+        sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(comps), LENGTH)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        right, joined, found = np.flatnonzero(tile == j), _Joined(), []
+        now = comps.copy()
+        for x in np.flatnonzero(tile == i):
+            others = right[now[right] != now[x]]
+            if not len(others):
+                continue
+            fits = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
+            others = others[fits]
+            for y in others[(sk[others] == sk[x]).sum(1) >= least]:
+                if joined.join(int(comps[x]), int(comps[y])):
+                    found.append((comps[x], comps[y]))
+                    low, high = sorted((now[x], now[y]))
+                    now[now == high] = low
+        return {"a": np.array([p for p, _ in found]), "b": np.array([q for _, q in found])} if found else None
+
+    return rows
+
+
+def _links(percent: int):
+    """Links between components of a family's tiles, confirmed on the full sets, as a spanning forest of documents."""
+
+    def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
+        tile, comps, ids = (group.column(c).to_numpy() for c in ("tile", "component", "doc_id"))
+        if (comps == comps[0]).all():
+            return None
+        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+        sizes = np.array([len(x) for x in items])
+        words, number = np.unique(np.concatenate(items), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        right, found, now = np.flatnonzero(tile == j), [], comps.copy()
+        mark = np.zeros(len(words), bool)
+        for x in np.flatnonzero(tile == i):
+            others = right[now[right] != now[x]]
+            others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+            if not len(others):
+                continue
+            own = number[starts[x] : starts[x + 1]]
+            mark[own] = True
+            for y in others:
+                if now[x] == now[y]:
+                    continue
+                both = int(mark[number[starts[y] : starts[y + 1]]].sum())
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    found.append((ids[x], ids[y]))
+                    low, high = sorted((now[x], now[y]))
+                    now[now == high] = low
+            mark[own] = False
+        return {"a": np.array([p for p, _ in found]), "b": np.array([q for _, q in found])} if found else None
+
+    return rows
+
+
+def _tiles(df: DataFrame, size: int) -> DataFrame:
+    """Each row once for each pair of tiles (i, j) that its own tile is in; n is the number of rows of its group."""
+    tiled = df.withColumn("tiles", F.ceil(F.col("n") / size).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
+    return tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("tiles", "other")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,25 +234,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     banded = firsts.select("doc_id", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "shared")
     members = written(banded.join(shared, "band"), "members")
-    stars = written(members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = None
-    for turn in range(STAR_ROUNDS):
-        if turn:
-            parted = stars.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-            open_ = parted.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            open_ = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        linked = _linked(open_, read, words, percent)
-        links = linked if links is None else links.union(linked)
-        found = written(components(links), "components")
-    parted = members.join(found.toDF("doc_id", "c"), "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id")).drop("c", "leader")
-    mixed = parted.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-    rest = written(parted.join(written(mixed, "mixed"), "band"), "rest")
-    tiled = rest.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    meets = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    pairs = written(meets.groupBy("band", "i", "j").applyInPandas(_possible(percent), "a bigint, b bigint").distinct(), "pairs")
-    links = links.union(_linked(pairs, read, words, percent))
+    stars = members.where("leader < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = _linked(written(stars, "stars"), read, words, percent)
     found = written(components(links), "components")
+    parted = members.join(found.toDF("doc_id", "c"), "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id")).drop("c", "leader")
+    mixed = written(parted.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band"), "mixed")
+    if not mixed.isEmpty():
+        rest = written(parted.join(mixed, "band"), "rest")
+        sketched = _tiles(rest.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id"), TILE)
+        bridges = written(map_groups(sketched, ["band", "i", "j"], "a bigint, b bigint", _bridges(percent)), "bridges")
+        families = written(components(bridges).toDF("component", "family"), "families")
+        relatives = firsts.select("doc_id").join(found.toDF("doc_id", "c"), "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("component")).join(families, "component")
+        relatives = written(relatives, "relatives")
+        sizes = written(relatives.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
+        texts = read.join(relatives.select("doc_id"), "doc_id", "left_semi")
+        sets = map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, words)).dropDuplicates(["doc_id"])
+        compared = _tiles(written(sets, "sets").join(relatives.join(sizes, "family"), "doc_id"), FAMILY_TILE)
+        links = links.union(written(map_groups(compared, ["family", "i", "j"], "a bigint, b bigint", _links(percent)), "links"))
+        found = written(components(links), "components")
     labelled = signed.join(classes, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = labelled.join(found.toDF("class_id", "c"), "class_id", "left")
     component = F.coalesce("c", "class_id", "doc_id")
