@@ -34,7 +34,7 @@ WINDOW = 8
 #: Longest piece that is encoded in one go; longer ones are cut and their joins repaired.
 LONGEST = 1 << 14
 #: Entries that a worker keeps of chunks and of pieces.
-CHUNKS, PIECES = 100_000, 800_000
+CHUNKS, PIECES = 40_000, 250_000
 #: Longer chunks and pieces aren't kept.
 KEPT_CHARS = 512
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
