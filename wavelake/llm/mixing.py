@@ -29,7 +29,7 @@ MOST_REPEATS = 3
 #: Up to so many sources their totals are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 #: Documents of one source and length that are ranked together.
-RANKED_TOGETHER = 4096
+RANKED_TOGETHER = 512
 #: Words that the dynamic programme covers at most; the greedy part before it leaves less than the longest length beyond this.
 DP_WORDS = 1 << 15
 
@@ -62,7 +62,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3),
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come to budget or as near below it as found.
+    """How many documents of each length to take, so that their words come to budget or as near to it as found.
 
     lengths: distinct, positive, ascending. Proportional shares first, then the longest that fit, then an
     exact bounded knapsack over a stretch of at most DP_WORDS words with what is left of each length.
@@ -80,19 +80,22 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         left -= n * int(lengths[i])
     if left <= 0:
         return take
-    reach, steps = 1, []
-    within = (1 << (left + 1)) - 1
+    most = left + int(lengths[0])
+    reach, steps, within = 1, [], (1 << (most + 1)) - 1
     for i in range(len(lengths)):
         n, size = int(counts[i] - take[i]), int(lengths[i])
-        if size > left or reach >> left & 1:
+        if size > most or reach >> left & 1:
             break
-        n, part = min(n, left // size), 1
+        n, part = min(n, most // size), 1
         while n > 0:
             k = min(part, n)
             steps.append((i, k, reach))
             reach |= (reach << (k * size)) & within
             n, part = n - k, part * 2
-    at = reach.bit_length() - 1
+    at, above = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
+    over = left + (above & -above).bit_length() if above else None
+    if over is not None and over - left < left - at:
+        at = over
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k
