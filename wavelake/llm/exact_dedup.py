@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, lower_ascii, scratch_path, written
+from .common import lower_ascii, scratch_path, written
 
 
 def digest_of(text: Column) -> Column:
@@ -57,7 +57,8 @@ class DigestIndex:
     def append(self, digests: DataFrame) -> int:
         """Adds the digests (digest, doc_id) that the index lacks, and returns the number of the batch."""
         self.batch += 1
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Written, because the optimiser would move the anti-join before the aggregation, to rows that a hot digest gathers.
+        groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
         new = groups.join(self.indexed().select("digest").hint("merge"), "digest", "left_anti")
         new.withColumn("batch", F.lit(self.batch)).repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         return self.batch
@@ -95,4 +96,5 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     order = F.struct(F.col(at[doc_id]), *[F.col(c) for c in sortable])
     whole = digested.groupBy("digest").agg(F.max_by(F.struct(*named.columns), order).alias("row"))
     fresh = index.indexed().where(F.col("batch") == batch).select("digest")
-    return whole.join(fresh.hint("merge"), "digest", "left_semi").select("row.*").toDF(*columns)
+    # An inner join stays after the aggregation; the index has each digest once.
+    return whole.join(fresh.hint("merge"), "digest").select("row.*").toDF(*columns)
