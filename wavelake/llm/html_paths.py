@@ -4,8 +4,9 @@ A page is read once into text blocks; each block has the path of tags from the r
 punctuation, blocks and linked text are summed for each path. The ratio of text to blocks and the ratio of
 punctuation to blocks are spread back over the blocks in page order, smoothed over neighbours, fused by their
 product and compared with a threshold. Paths whose blocks lie above it are content; they also choose the
-region of the page (its article or main part, if they lie in one), and short blocks of that region that stand
-between content belong to it too. What tags, roles, classes and ids declare as page furniture never counts.
+region of the page: its article or main part, if they lie in one, or else the smallest container that holds all
+of them. All blocks of that region belong to it, short ones and those at its ends too, unless they are mostly
+links; so do headings right above it. What tags, roles, classes and ids declare as page furniture never counts.
 
 Defined results. A null or empty page has an empty text. Character references are decoded as HTML does; white
 space inside a block becomes one space; blocks are trimmed, empty ones left out, and the rest joined by one
@@ -32,6 +33,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements inside a line; all others begin and end a block.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp"}
+#: Elements that don't bound an article; a region is never smaller than the container around them.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "figure", "figcaption", "details", "summary", "address", "hgroup"}
 #: Elements that the start of a block ends, if they are open.
 ENDED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "li", "option"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "head"}
@@ -51,6 +54,7 @@ class Block:
     path: str
     region: int
     furniture: bool
+    node: _Open
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -62,6 +66,8 @@ class _Open:
     furniture: bool
     region: int
     path: str
+    up: _Open | None = None
+    depth: int = 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,7 +94,7 @@ def blocks(page: str) -> list[Block]:
             if text[0] != "<" or text == "<":
                 if block is None:
                     top = stack[-1]
-                    block = Block(top.path, top.region, top.furniture)
+                    block = Block(top.path, top.region, top.furniture, top)
                 block.parts.append(text)
                 if links:
                     block.linked += len(text)
@@ -130,7 +136,7 @@ def blocks(page: str) -> list[Block]:
         own = tag in FURNITURE or names.get("role") in ROLES or hides or (tag not in ("html", "body", *CONTENT) and bool(_NAMES.search(named)))
         if tag == "header" and region and not _NAMES.search(named):
             own = False  # an article's own header holds its title
-        stack.append(_Open(tag, top.furniture or own, region, f"{top.path}/{tag}"))
+        stack.append(_Open(tag, top.furniture or own, region, f"{top.path}/{tag}", top, top.depth + 1))
     end()
     return found
 
@@ -140,6 +146,23 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel, "full")[SMOOTH : SMOOTH + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[SMOOTH : SMOOTH + len(x)]
 
 
+def _holds(outer: _Open, node: _Open) -> bool:
+    while node.depth > outer.depth:
+        node = node.up
+    return node is outer
+
+
+def _container(nodes: list[_Open]) -> _Open:
+    """The smallest element that holds all nodes and isn't itself a part of a text."""
+    top = nodes[0]
+    for node in nodes[1:]:
+        while not _holds(top, node):
+            top = top.up
+    while top.tag in TEXTUAL:
+        top = top.up
+    return top
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks that are the page's main text."""
     open_ = [b for b in found if not b.furniture]
@@ -169,11 +192,13 @@ def content(found: list[Block]) -> list[Block]:
         most = max(inside.values())
         return [b for b in open_ if b.region in inside and (inside[b.region] >= 0.3 * most or (b.path, b.region) in good)]
     at = [i for i, b in enumerate(open_) if (b.path, b.region) in good]
-    first, last = at[0], at[-1]
-    parent = {open_[i].path.rsplit("/", 1)[0] for i in at}
-    while first > 0 and re.search(r"/h[1-6]$", open_[first - 1].path) and open_[first - 1].path.rsplit("/", 1)[0] in parent:
+    around = _container([open_[i].node for i in at])
+    kept = {i for i, b in enumerate(open_) if _holds(around, b.node) and ((b.path, b.region) in good or b.linked <= 0.5 * len(b.text))}
+    parent, first = {open_[i].path.rsplit("/", 1)[0] for i in at}, min(kept)
+    while first > 0 and re.search(r"/h[1-6]$", (b := open_[first - 1]).path) and (b.path.rsplit("/", 1)[0] in parent or _holds(b.node.up, around)):
         first -= 1
-    return [b for i, b in enumerate(open_) if first <= i <= last and ((b.path, b.region) in good or any(b.path.startswith(p) for p in parent) and b.linked <= 0.5 * len(b.text))]
+        kept.add(first)
+    return [b for i, b in enumerate(open_) if i in kept]
 
 
 def main_text(page: str | None) -> str:
