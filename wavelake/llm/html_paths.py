@@ -6,7 +6,11 @@ punctuation to blocks are spread back over the blocks in page order, smoothed ov
 product and compared with a threshold. Paths whose blocks lie above it are content; they also choose the
 region of the page: its article or main part, if they lie in one, or else the smallest container that holds all
 of them. All blocks of that region belong to it, short ones and those at its ends too, unless they are mostly
-links; so do headings right above it. What tags, roles, classes and ids declare as page furniture never counts.
+links; so do headings right above it. What tags and roles declare as page furniture never counts, nor does what classes and ids name so, with three
+reservations: an id on a heading, a paragraph or another part of a text is the slug of its words and says
+nothing; inside an article or main part only whole furniture names count ("related-posts", not "related-work");
+and there most names, and ids everywhere, only presume furniture: the element is content if its own ratio of
+text and punctuation reaches the threshold.
 
 Defined results. A null or empty page has an empty text. Character references are decoded as HTML does; white
 space inside a block becomes one space; blocks are trimmed, empty ones left out, and the rest joined by one
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -43,6 +48,12 @@ _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|foot|masthead|site-?header|page-?header|topbar|header|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|comment\w*|disqus\w*|respond|reply|replies|reader-?comments|share\w*|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|search\w*|widget\w*|pagination|pager|toolbar|copyright|legal|disclaimer|skip-?link\w*|hidden|tags|toc)(?=$|[\s_-])",
     re.I,
 )
+_PREFIXES = r"(?:(?:site|page|post|article|entry|main|top|bottom|left|right|global|primary|secondary|mobile|sticky|wp|wp-block|block|js|my|the|google|inline)[\s_-])*"
+_SUFFIXES = r"(?:[_-](?:box|block|area|bar|lists?|links?|buttons?|btns?|icons?|container|wrapper|wrap|inner|outer|section|panel|widgets?|module|items?|posts?|articles?|stories|news|content|top|bottom|left|right|header|footer|heading|title|forms?|slot|unit|banner|menu|nav|media|tools|count|meta|cloud|input|text|message|thread|\d+))*"
+#: Whole names that stand whatever the text, and those that inside a region the text's own ratio overrules.
+_SURE = re.compile(rf"{_PREFIXES}(?:ads?|adv|adverts?|advertisements?|advertising|adsense|sponsor(?:s|ed)?|promos?|promotions?|promoted|sidebars?|masthead|breadcrumbs?|pagination|pager|comments?|commentlist|comment-?respond|disqus|respond|reader-?comments|newsletter|popups?|modals?|overlays?|skip-?links?|hidden){_SUFFIXES}")
+_SURE_ID = re.compile(rf"{_PREFIXES}(?:ads?|adsense|comments?|commentlist|disqus|respond|reader-?comments|sidebars?){_SUFFIXES}|disqus_thread")
+_PRESUMED = re.compile(rf"{_PREFIXES}(?:adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promos?|promotions?|promoted|masthead|breadcrumbs?|pagination|pager|newsletter|popups?|modals?|overlays?|skip-?links?|hidden|banners?|nav|navbar|navigation|menus?|side|footer|foot|header|topbar|cookies?|consent|gdpr|notices?|alerts?|reply|replies|share|shares|sharing|sharedaddy|share(?:buttons?|bar|links)|socials?|related|related(?:posts?|links?|articles?)|recommend(?:s|ed|ations?)?|subscri(?:be|ption|ptions)|signup|login|search|search(?:form|box|bar)|widgets?|toolbar|copyright|legal|disclaimer|tags|toc){_SUFFIXES}")
 CONTENT = {"article", "main"}
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
 SMOOTH = 2
@@ -55,6 +66,7 @@ class Block:
     region: int
     furniture: bool
     node: _Open
+    presumed: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -68,6 +80,19 @@ class _Open:
     path: str
     up: _Open | None = None
     depth: int = 0
+    presumed: int = 0
+
+
+@lru_cache(1 << 14)
+def _named(tag: str, classes: str, id_: str, inside: bool) -> int:
+    """What the names of an element say: 0 nothing, 1 furniture unless its text says otherwise, 2 furniture."""
+    id_ = "" if tag in TEXTUAL else id_
+    tokens = classes.split()
+    if any(_SURE.fullmatch(t) for t in tokens) or _SURE_ID.fullmatch(id_) or not inside and _NAMES.search(classes):
+        return 2
+    if any(_PRESUMED.fullmatch(t) for t in tokens) or id_ and (_PRESUMED.fullmatch(id_) or not inside and _NAMES.search(id_)):
+        return 1
+    return 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -75,7 +100,7 @@ def blocks(page: str) -> list[Block]:
     stack = [_Open("", False, 0, "")]
     found: list[Block] = []
     block: Block | None = None
-    regions, links, at, n = 0, 0, 0, len(page)
+    regions, links, presumed, at, n = 0, 0, 0, 0, len(page)
 
     def end() -> None:
         nonlocal block
@@ -94,7 +119,7 @@ def blocks(page: str) -> list[Block]:
             if text[0] != "<" or text == "<":
                 if block is None:
                     top = stack[-1]
-                    block = Block(top.path, top.region, top.furniture, top)
+                    block = Block(top.path, top.region, top.furniture, top, top.presumed)
                 block.parts.append(text)
                 if links:
                     block.linked += len(text)
@@ -131,12 +156,13 @@ def blocks(page: str) -> list[Block]:
         region = top.region
         if tag in CONTENT or names.get("role") in ("main", "article") or names.get("itemprop") == "articlebody":
             region = regions = regions + 1
-        named = f"{names.get('class', '')} {names.get('id', '')}"
+        said = 0 if tag in ("html", "body", *CONTENT) else _named(tag, names.get("class", ""), names.get("id", ""), bool(region))
         hides = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
-        own = tag in FURNITURE or names.get("role") in ROLES or hides or (tag not in ("html", "body", *CONTENT) and bool(_NAMES.search(named)))
-        if tag == "header" and region and not _NAMES.search(named):
+        own = tag in FURNITURE or names.get("role") in ROLES or hides or said == 2
+        if tag == "header" and region and not said:
             own = False  # an article's own header holds its title
-        stack.append(_Open(tag, top.furniture or own, region, f"{top.path}/{tag}", top, top.depth + 1))
+        presumed += said == 1
+        stack.append(_Open(tag, top.furniture or own, region, f"{top.path}/{tag}", top, top.depth + 1, presumed if said == 1 else top.presumed))
     end()
     return found
 
@@ -163,23 +189,49 @@ def _container(nodes: list[_Open]) -> _Open:
     return top
 
 
-def content(found: list[Block]) -> list[Block]:
-    """The blocks that are the page's main text."""
-    open_ = [b for b in found if not b.furniture]
-    if not open_:
-        return []
+def _ratios(open_: list[Block]) -> tuple[np.ndarray, float]:
+    """The fused ratio of each block and the threshold."""
     of_path: dict[tuple[str, int], list[float]] = {}
     for b in open_:
         sums = of_path.setdefault((b.path, b.region), [0.0, 0.0, 0.0])
-        plain = max(0, len(b.text) - b.linked)
+        plain, marks = _weigh(b)
         sums[0] += plain
-        sums[1] += len(_MARKS.findall(b.text)) * (plain / max(1, len(b.text)))
+        sums[1] += marks
         sums[2] += 1
     length = np.array([of_path[b.path, b.region][0] / of_path[b.path, b.region][2] for b in open_])
     marks = np.array([of_path[b.path, b.region][1] / of_path[b.path, b.region][2] for b in open_])
     fused = np.sqrt(_smooth(length) * (_smooth(marks) + 0.1))
     weight = np.array([len(b.text) for b in open_], float)
-    least = THRESHOLD * float((fused * weight).sum() / weight.sum())
+    return fused, THRESHOLD * float((fused * weight).sum() / weight.sum())
+
+
+def _weigh(b: Block) -> tuple[int, float]:
+    plain = max(0, len(b.text) - b.linked)
+    return plain, len(_MARKS.findall(b.text)) * (plain / max(1, len(b.text)))
+
+
+def _overruled(open_: list[Block], doubtful: list[Block]) -> set[int]:
+    """The elements presumed to be furniture whose own ratio says content."""
+    least = _ratios(open_)[1] if open_ else 0.0
+    sums: dict[int, list[float]] = {}
+    for b in doubtful:
+        total = sums.setdefault(b.presumed, [0.0, 0.0, 0.0, 0.0])
+        plain, marks = _weigh(b)
+        for i, x in enumerate((plain, marks, 1, len(b.text))):
+            total[i] += x
+    return {k for k, (plain, marks, n, size) in sums.items() if plain >= 0.5 * size and np.sqrt(plain / n * (marks / n + 0.1)) >= least}
+
+
+def content(found: list[Block]) -> list[Block]:
+    """The blocks that are the page's main text."""
+    open_ = [b for b in found if not b.furniture]
+    doubtful = [b for b in open_ if b.presumed]
+    if doubtful:
+        content_after_all = _overruled([b for b in open_ if not b.presumed], doubtful)
+        open_ = [b for b in open_ if not b.presumed or b.presumed in content_after_all]
+    if not open_:
+        return []
+    fused, least = _ratios(open_)
     good = {(b.path, b.region) for b, f in zip(open_, fused, strict=True) if f >= least}
     text_in: dict[int, float] = {}
     for b in open_:
