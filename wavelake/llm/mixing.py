@@ -112,13 +112,15 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(extra=take)[["source_index", "size", "n", "extra"]]
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken; and uid, the row's number in docs' own order.
+def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source", uid: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken; and uid, the row's number: the column of
+    that name if given, which must be unique, or else a new one.
 
     Only ids, sources and sizes are shuffled. The driver gets one row for each source.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "sized")
+    number = F.monotonically_increasing_id() if uid is None else F.col(uid)
+    sized = written(docs.select(number.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "sized")
     totals = {r[0]: int(r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(totals, weights)
     rows = []
@@ -145,14 +147,15 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
-    Documents without words are left out. docs must be a table: its rows are numbered twice and must come in
-    the same order.
+    Documents without words are left out. docs is numbered once and written with its numbers, as another scan of
+    it may be cut and numbered differently when executors come or go.
     """
     name = "wavelake_uid"
     while name in docs.columns:
         name += "_"
-    chosen = plan(docs, **options).where("taken > 0").select(F.col("uid").alias(name), F.col("times").alias(f"{name}times"))
-    joined = docs.withColumn(name, F.monotonically_increasing_id()).join(chosen, name)
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    chosen = plan(numbered, uid=name, **options).where("taken > 0").select(F.col("uid").alias(name), F.col("times").alias(f"{name}times"))
+    joined = numbered.join(chosen, name)
     return joined.withColumn(f"{name}n", F.explode(F.sequence(F.lit(1), F.col(f"{name}times")))).select(*docs.columns)
 
 
