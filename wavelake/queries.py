@@ -351,6 +351,40 @@ def validate_summary(spark, d):
     return spark.createDataFrame(rows, "kind string, ok boolean, info int, warning int, error int")
 
 
+# -- archives: the same operators over every record of every file -------------------------------------------------
+_FILE = f"event_id // {S * X.FILE_RECORDS}"
+
+
+def _file(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(X.file_part(F.col("path")).alias("file"), *columns)
+
+
+@query(f"WITH {EV} SELECT event_id AS sample_index, digital - 32768 AS digital FROM ev")
+def stream_archive(spark, d):
+    from .streaming.chunks import stream_files
+
+    rows = _samples(stream_files(_read(spark, d, "edf", "headers"), "EEG value", 3), (0,))
+    return _whole(spark, d, rows.select(_global("sample_index").alias("sample_index"), "digital"))
+
+
+@query(f"WITH {EV} SELECT {_FILE} AS file, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} AS n, CAST(sum(digital - 32768) AS BIGINT) AS total FROM ev GROUP BY 1")
+def merge_archive(spark, d):
+    """The chunks of each file merged; the last record is padded with zeros."""
+    first, rest = (_read(spark, d, "edf", signals="EEG value") for _ in range(2))  # a reader each, as filters reach it
+    merged = SA.merge(first.where("record_index < 4").union(rest.where("record_index >= 4")), D)
+    return _file(merged, F.size("digital").cast("bigint").alias("n"), F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT {_FILE} AS file, event_id % {S * X.FILE_RECORDS} AS pos, digital - 32768 AS v FROM ev),
+t AS (SELECT file, count(*) AS n, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} AS total FROM f GROUP BY 1),
+p AS (SELECT * FROM f UNION ALL SELECT file, unnest(range(n, total)), 0 FROM t)
+SELECT file, CAST(pos * 64 // total AS INTEGER) AS bucket, min(v) AS min, max(v) AS max, count(*) AS count FROM p JOIN t USING (file) GROUP BY 1, 2""")
+def envelope_archive(spark, d):
+    """Each file's whole span in 64 buckets; the last record is padded with zeros."""
+    blocks = _read(spark, d, "edf", signals="EEG value").withColumn("run_id", F.lit(0))
+    return _file(E.of_blocks(blocks, 64), "bucket", "min", "max", "count")
+
+
 def _damaged() -> list[tuple[str, bytes]]:
     """Headers with one thing wrong each."""
     from .testing import writer as Wr
