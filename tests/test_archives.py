@@ -8,7 +8,7 @@ from wavelake import queries as Q
 from wavelake.plans import adapters as X
 
 BIG = SF.replace("0.001", "0.01")
-WHOLE = ["stream_archive", "merge_archive", "envelope_archive"]
+WHOLE = ["stream_archive", "merge_archive", "envelope_archive", "segments_archive", "validate_archive"]
 
 
 @pytest.fixture
@@ -29,3 +29,8 @@ def test_archive_query(spark, small_files, name):
     found = got.collect()
     assert rows(got.columns, found) == rows(names, said.fetchall())
     assert "file" not in names or {r["file"] for r in found} == set(range(5))
+
+
+def test_flagship_covers_every_file(spark, small_files):
+    found = Q.flagship(spark, BIG).groupBy("path").count().collect()
+    assert sorted(r["count"] for r in found) == [1000] * 5

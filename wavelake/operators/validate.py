@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import RECOMMENDED_RECORD_BYTES, signal_field_offset
-from ..diagnostics import ONCE_PER_CALL, Diagnostic
+from ..diagnostics import ONCE_PER_CALL, Diagnostic, severity_of
 from ..functions import text as T
-from ..sources.header import Header
+from ..sources.bytesource import open_source
+from ..sources.header import Header, read_header
 from . import samples as S
 from . import timeline as L
 
@@ -99,3 +101,35 @@ def validate(recording, scan_samples: bool = False, use_index: bool = True) -> d
         empty = {"observed_digital_min": 0, "observed_digital_max": 0, "out_of_range_count": 0, "sample_count": 0}
         stats = [{k: v for k, v in ({"signal_index": i} | by.get(i, empty)).items() if k != "path"} for i in h.data_signals]
     return {"ok": all(d.severity != "error" for d in found), "diagnostics": found, "records_scanned": h.record_count if reads else 0, "bytes_read": h.data_byte_length if reads else 0, "signal_stats": stats}
+
+
+def validate_files(read: Callable[[str], DataFrame], duration_ticks: int) -> DataFrame:
+    """path, code, severity of the findings in every file of an archive; `read` gives the archive in a mode of the source.
+
+    The rules are those of `validate`; files are looked at by tasks, and nothing comes to the driver.
+    """
+    headers, columns = read("headers").select("path", "continuity"), ["path", "code", "severity"]
+
+    def rules(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                source = open_source(path)
+                try:
+                    rows += [(path, d.code, d.severity) for d in header_rules(read_header(source))]
+                finally:
+                    source.close()
+            yield pd.DataFrame(rows, columns=columns)
+
+    said = read("diagnostics")
+    records = once_per_call(said.where("stage = 'records'")).select(columns)
+    found = L.segments(L.check_monotonic(read("records")), duration_ticks)
+    broken = found.groupBy("path").count().where("count > 1").join(headers.where("continuity = 'continuous'"), "path", "left_semi")
+    overlaps = L.gaps(found).where("duration_ticks < 0")
+    coded = lambda df, code: df.select("path", F.lit(code).alias("code"), F.lit(severity_of(code)).alias("severity"))
+    parts = [said.where("stage <> 'records'").select(columns), headers.select("path").mapInPandas(rules, "path string, code string, severity string"), coded(broken, "DISCONTINUITY_IN_CONTINUOUS_FILE"), coded(overlaps, "RECORD_ONSET_SPACING_VIOLATION")]
+    for part in parts:
+        records = records.unionByName(part)
+    return records

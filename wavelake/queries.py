@@ -385,6 +385,31 @@ def envelope_archive(spark, d):
     return _file(E.of_blocks(blocks, 64), "bucket", "min", "max", "count")
 
 
+@query(f"""WITH r AS (SELECT DISTINCT {_FILE} AS file, event_id % {S * X.FILE_RECORDS} // {S} AS record_index FROM events)
+SELECT file, CAST(record_index // 20 AS INTEGER) AS segment_index, min(record_index) AS record_start, count(*) AS record_count, min(record_index + 10 * (record_index // 20)) * {D} AS start_ticks FROM r GROUP BY 1, 2""")
+def segments_archive(spark, d):
+    return _file(L.segments(_read(spark, d, "gaps", "records"), D), "segment_index", "record_start", "record_count", "start_ticks")
+
+
+@query(f"""SELECT kind, file, true AS ok, 1::BIGINT AS info, 0::BIGINT AS warning, 0::BIGINT AS error, n AS sample_count FROM (VALUES ('edf', 2), ('gaps', 2), ('bdf', 2)) v(kind, signals),
+(SELECT {_FILE} AS file, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} * 2 AS n FROM events GROUP BY 1) f""")
+def validate_archive(spark, d):
+    """A row for each file: its findings by severity, without those on labels, and the samples that were looked at."""
+    from .operators.validate import validate_files
+
+    found = None
+    for kind in ("edf", "gaps", "bdf"):
+        read = lambda mode, kind=kind: _read(spark, d, kind, mode)
+        findings = validate_files(read, D)
+        number = lambda severity: F.count(F.when((F.col("severity") == severity) & ~F.col("code").startswith("LABEL_"), 1)).alias(severity)
+        totals = findings.groupBy("path").agg(*map(number, ("info", "warning", "error")), F.count(F.when(F.col("severity") == "error", 1)).alias("_bad"))
+        samples = SA.signal_stats(read("blocks")).groupBy("path").agg(F.sum("sample_count").alias("sample_count"))
+        rows = read("headers").select("path").join(totals, "path", "left").join(samples, "path", "left").na.fill(0)
+        rows = _file(rows, F.lit(kind).alias("kind"), (F.col("_bad") == 0).alias("ok"), "info", "warning", "error", "sample_count")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def _damaged() -> list[tuple[str, bytes]]:
     """Headers with one thing wrong each."""
     from .testing import writer as Wr
@@ -646,7 +671,7 @@ def triggers_window(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Physical minimum and maximum of a channel in buckets over a window of a recording that was written from a table."""
-    r = _open(spark, d, "edf")
-    s = r.header.signals[0]
-    return E.physical(r.envelope(0, r.header.declared_duration_seconds, [0], 1000), s.scale.bit_value, s.scale.offset)
+    """Physical minimum and maximum of a channel in buckets over each recording that was written from a table."""
+    s = _open(spark, d, "edf").header.signals[0]
+    blocks = _read(spark, d, "edf", signals=s.label).withColumn("run_id", F.lit(0))
+    return E.physical(E.of_blocks(blocks, 1000), s.scale.bit_value, s.scale.offset)
