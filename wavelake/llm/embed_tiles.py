@@ -88,6 +88,8 @@ def _candidates(p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray,
     part = p[:, :stop] @ q[:, :stop].T
     rest = np.sqrt((p[:, stop:] ** 2).sum(1))[:, None] * np.sqrt((q[:, stop:] ** 2).sum(1))[None, :]
     a, b = np.nonzero(part + rest >= least - SLACK)
+    if not stops:
+        return a, b  # the first product was the whole one
     for stop, then in zip(stops, [*stops[1:], size], strict=True):
         if not len(a):
             break
