@@ -92,15 +92,18 @@ class Codec:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a piece, cut and repaired if it is long."""
-        if len(text) <= self.longest:
-            return self.library.encode(text, add_special_tokens=False).ids
-        place = self.longest
-        for token in self.added:
-            found = text.find(token, max(0, place - len(token) + 1), place + len(token) - 1)
-            if 0 <= found < place < found + len(token):
-                place = found + len(token)
-        left, right = text[:place], text[place:]
-        return self._joined(left, right) if right else self.library.encode(left, add_special_tokens=False).ids
+        out, at = [], 0
+        while len(text) - at > self.longest:
+            place = at + self.longest
+            for token in self.added:
+                found = text.find(token, max(at, place - len(token) + 1), place + len(token) - 1)
+                if 0 <= found < place < found + len(token):
+                    place = found + len(token)
+            if place >= len(text):
+                break
+            own, at = self._joined(text[at:place], text, place)
+            out += own
+        return out + self.ids_plain(text[at:])
 
     def _splits(self, encoding) -> list[tuple[int, int]]:
         """(first token, first character) of each split of an encoding."""
@@ -116,29 +119,32 @@ class Codec:
     def _added_ids(self) -> frozenset[int]:
         return frozenset(self.library.get_added_tokens_decoder())
 
-    def _joined(self, left: str, right: str) -> list[int]:
-        """Ids of left + right: the last splits of left are encoded again with a growing head of right until both agree."""
+    def _joined(self, left: str, text: str, place: int) -> tuple[list[int], int]:
+        """Ids of left and of a head of text[place:], and where in text that head ends.
+
+        The last splits of left are encoded again with a growing head until both agree.
+        """
         a = self.library.encode(left, add_special_tokens=False)
         starts = self._splits(a)
         keep, tail_at = starts[-2] if len(starts) > 1 else (0, 0)
         size = 64
         while True:
-            head = right[:size]
-            whole = len(head) == len(right)
+            head = text[place : place + size]
+            whole = len(head) == len(text) - place
             tail = left[tail_at:]
             if whole:
-                return a.ids[:keep] + self.ids_plain(tail + head)
+                return a.ids[:keep] + self.ids_plain(tail + head), len(text)
             cut = len(tail)
             window = self._splits(self.library.encode(tail + head, add_special_tokens=False))
             own = {c + cut for _, c in self._splits(self.library.encode(head, add_special_tokens=False))}
-            agreed = [(k, c) for k, c in window if c in own and cut < c <= cut + size // 2 and not self._inside_added(right, c - cut)]
+            agreed = [(k, c) for k, c in window if c in own and cut < c <= cut + size // 2 and not self._inside_added(text, place + c - cut, place)]
             if agreed:
                 k, c = agreed[-1]
-                return a.ids[:keep] + self.library.encode(tail + head, add_special_tokens=False).ids[:k] + self.ids(right[c - cut :])
+                return a.ids[:keep] + self.library.encode(tail + head, add_special_tokens=False).ids[:k], place + c - cut
             size *= 2
 
-    def _inside_added(self, text: str, at: int) -> bool:
-        return any(text.find(t, max(0, at - len(t) + 1), at + len(t) - 1) >= 0 for t in self.added)
+    def _inside_added(self, text: str, at: int, low: int) -> bool:
+        return any(text.find(t, max(low, at - len(t) + 1), at + len(t) - 1) >= 0 for t in self.added)
 
     def ids_plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
