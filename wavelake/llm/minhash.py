@@ -6,26 +6,31 @@ that agree on all rows of a band are candidates. Links are confirmed on the full
 
 Connected components are what is wanted, so no pairs inside a component are listed. Documents with the same
 set are one class. Each class is first checked against the smallest class of its buckets, one pair for each.
-Buckets that then still hold several components are compared in tiles by sketches of the signatures; a task
-gives a spanning forest of the components whose members may be near enough, and the trees of all these are
-families. Outside a family no link is left to find. Inside, tiles of full sets are compared exactly, and a task
-gives a spanning forest of the links between components. Nothing of this grows with the square of a bucket or
-family but the comparisons inside tasks. No bucket is capped.
+Buckets that then still hold several components are compared in tiles by sketches of the signatures, which
+joins components that may be near enough to families; outside a family no link is left to find. Inside, tiles
+of full sets are compared exactly. Both go in rounds: each component keeps one edge, what is joined becomes one
+component, and only groups that still hold several are compared again. A round writes at most one edge for each
+component, whatever the size of its groups, and at least halves the components that have a link.
+
+What grows how: edges and rows outside tasks grow with the documents. Members of a group are compared with each
+other inside tasks, unless they are known to be of one component: a component that fills a tile has tiles of
+its own, which are never paired. A row goes to as many tasks as its group has other tiles; so in a group of n
+members, of which m aren't of its large components, about n * m / TILE rows are sent. No bucket is capped.
 
 Defined results. A null or blank text has an empty set and is linked with nothing: it is its own component and
 is kept. A text of fewer words than a shingle has one shingle, its whole sequence. Rows with the same text are
-one class; the smallest doc_id stays. Rows with the same doc_id share their component, and `drop_near_copies`
-returns all of them if that doc_id stays. Texts are read whole, whatever their length. Null doc_ids aren't
-allowed to link and are kept. An empty table gives an empty result. Other columns don't matter.
+one class; the smallest doc_id stays. Rows with the same doc_id are one document: it is linked with whatever
+one of its texts is linked with, and `drop_near_copies` keeps or drops all its rows. Texts are read whole,
+whatever their length. Null doc_ids link with nothing, have a null component and are kept. An empty table gives
+an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -109,21 +114,8 @@ def _sets(keys: list, texts: list[str], n: int) -> dict[str, list]:
     return {"doc_id": keys, "items": [shingles(t, n).tobytes() for t in texts]}
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            good = []
-            for x, y in zip(pairs["x"], pairs["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pairs.loc[good, ["a", "b"]]
-
-    return run
-
-
 class _Joined:
-    """Components that a task has already joined."""
+    """Components that a task has joined."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -133,89 +125,154 @@ class _Joined:
             x = self.up[x] = self.up.get(y, y)
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-        return x != y
 
+    def edges(self) -> dict[str, np.ndarray] | None:
+        """Each joined component once with the smallest of its tree, and that one with the next."""
+        nodes = sorted(self.up)
+        pairs = [(x, self.root(x)) for x in nodes]
+        pairs = [(x, y) for x, y in pairs if x != y]
+        if not pairs:
+            return None
+        pairs += [(y, x) for y, x in {y: x for x, y in reversed(pairs)}.items()]
+        return {"a": np.array([x for x, _ in pairs], np.int64), "b": np.array([y for _, y in pairs], np.int64)}
 
-def _bridges(percent: int):
-    """Components of a bucket's tiles whose members' sketches leave a link possible, as a spanning forest."""
-    least = int(LENGTH * (percent / 100 - SKETCH_SLACK))
+
+def _joins(near: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]], percent: int):
+    """The components of two tiles that `near` links, as trees.
+
+    near takes the group's rows and gives a function of a row and other rows that returns those of them linked with it.
+    """
 
     def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
-        tile, comps, sizes = (group.column(c).to_numpy() for c in ("tile", "component", "n_shingles"))
-        if (comps == comps[0]).all():
+        now, sizes, side = (group.column(c).to_numpy().copy() for c in ("component", "n_shingles", "side"))
+        if (now == now[0]).all():
             return None
-        sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(comps), LENGTH)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        right, joined, found = np.flatnonzero(tile == j), _Joined(), []
-        now = comps.copy()
-        for x in np.flatnonzero(tile == i):
-            others = right[now[right] != now[x]]
-            if not len(others):
-                continue
-            fits = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
-            others = others[fits]
-            for y in others[(sk[others] == sk[x]).sum(1) >= least]:
-                if joined.join(int(comps[x]), int(comps[y])):
-                    found.append((comps[x], comps[y]))
+        linked, joined = near(group), _Joined()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        for x in left:
+            others = right[(now[right] != now[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x]))]
+            for y in linked(x, others) if len(others) else ():
+                if now[x] != now[y]:
+                    joined.join(int(now[x]), int(now[y]))
                     low, high = sorted((now[x], now[y]))
                     now[now == high] = low
-        return {"a": np.array([p for p, _ in found]), "b": np.array([q for _, q in found])} if found else None
+        return joined.edges()
 
     return rows
 
 
-def _links(percent: int):
-    """Links between components of a family's tiles, confirmed on the full sets, as a spanning forest of documents."""
+def _by_sketch(percent: int):
+    """Rows whose sketches leave a link possible."""
+    least = int(LENGTH * (percent / 100 - SKETCH_SLACK))
 
-    def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
-        tile, comps, ids = (group.column(c).to_numpy() for c in ("tile", "component", "doc_id"))
-        if (comps == comps[0]).all():
-            return None
+    def near(group: pa.Table):
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, LENGTH)
+        return lambda x, others: others[(sketches[others] == sketches[x]).sum(1) >= least]
+
+    return near
+
+
+def _by_sets(percent: int):
+    """Rows linked on their full sets."""
+
+    def near(group: pa.Table):
         items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
         sizes = np.array([len(x) for x in items])
-        words, number = np.unique(np.concatenate(items), return_inverse=True)
+        _, number = np.unique(np.concatenate(items), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        right, found, now = np.flatnonzero(tile == j), [], comps.copy()
-        mark = np.zeros(len(words), bool)
-        for x in np.flatnonzero(tile == i):
-            others = right[now[right] != now[x]]
-            others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
-            if not len(others):
-                continue
+        mark = np.zeros(len(number), bool)
+
+        def linked(x: int, others: np.ndarray) -> Iterator[int]:
             own = number[starts[x] : starts[x + 1]]
             mark[own] = True
-            for y in others:
-                if now[x] == now[y]:
-                    continue
-                both = int(mark[number[starts[y] : starts[y + 1]]].sum())
-                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                    found.append((ids[x], ids[y]))
-                    low, high = sorted((now[x], now[y]))
-                    now[now == high] = low
+            both = np.array([np.count_nonzero(mark[number[starts[y] : starts[y + 1]]]) for y in others])
             mark[own] = False
-        return {"a": np.array([p for p, _ in found]), "b": np.array([q for _, q in found])} if found else None
+            return others[100 * both >= percent * (sizes[x] + sizes[others] - both)]
+
+        return linked
+
+    return near
+
+
+def _tile_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Each row once for every pair of tiles that its tile is in and that may hold links between components.
+
+    A component that fills a tile has tiles of its own, and no two of them are paired; smaller ones share tiles.
+    """
+    counted = written(rows.groupBy(group, "component").agg(F.count("*").alias("m")), "tile-counts")
+    small = f"m < {size}"
+    totals = counted.groupBy(group).agg(F.sum(F.expr(f"IF({small}, m, 0)")).alias("few"))
+    placed = written(counted.join(totals, group).select(group, "component", F.expr(f"IF({small}, NULL, component)").alias("owner"), F.ceil(F.expr(f"IF({small}, few, m)") / size).cast("int").alias("parts")), "tile-places")
+    tiles = placed.select(group, F.struct("owner", "parts").alias("of")).distinct().select(group, "of.owner", F.explode(F.sequence(F.lit(0), F.col("of.parts") - 1)).alias("part"))
+    tiles = written(tiles.select(group, F.struct(F.coalesce("owner", F.lit(-(1 << 63))).alias("owner"), "part").alias("tile")), "tiles")
+    pairs = tiles.withColumnRenamed("tile", "i").join(tiles.withColumnRenamed("tile", "j"), group).where(f"i <= j AND (i.owner <> j.owner OR i.owner = {-(1 << 63)}L)")
+    named = pairs.withColumn("pair", F.xxhash64("i", "j"))
+    ends = named.withColumn("end", F.explode(F.expr("IF(i = j, array(struct(i AS tile, 2 AS side)), array(struct(i AS tile, 0 AS side), struct(j AS tile, 1 AS side)))")))
+    spread = F.when(F.col("owner").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("doc_id"))
+    at = rows.join(placed, [group, "component"]).withColumn("tile", F.struct(F.coalesce("owner", F.lit(-(1 << 63))).alias("owner"), F.pmod(spread, "parts").cast("int").alias("part")))
+    return at.drop("owner", "parts").join(ends.select(group, "end.tile", "pair", "end.side"), [group, "tile"]).drop("tile")
+
+
+def _contracted(rows: DataFrame, group: str, size: int, near, percent: int) -> DataFrame | None:
+    """Edges (a, b) between the components of rows that join all those which `near` links in a group.
+
+    In rounds: each component keeps one edge, the components so joined become one, and groups that hold several
+    go on. A round writes at most one edge for each component and at least halves those that have a link.
+    """
+    links = None
+    while True:
+        rows = written(_several(rows, group), "mixed")
+        if rows.isEmpty():
+            return links
+        met = map_groups(_tile_pairs(rows, group, size), [group, "pair"], "a bigint, b bigint", _joins(near, percent))
+        edges = written(met.groupBy("a").agg(F.min("b").alias("b")), "joins")
+        if edges.isEmpty():
+            return links
+        links = edges if links is None else links.union(edges)
+        rows = _relabelled(rows, components(edges))
 
-    return rows
 
+def _several(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of groups that hold more than one component."""
+    mixed = rows.groupBy(group).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return rows.join(mixed.select(group), group, "left_semi")
+
+
+def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.toDF("component", "now"), "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
+def _star_links(stars: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those pairs (leader, member) whose full sets are near enough. Sets are made of the texts of pairs only.
+
+    The members of a leader are dealt to parts; its set goes once to each part, not to each member.
+    """
+    parts = written(stars.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
+    wanted = stars.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
+    sets = written(map_texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id bigint, items binary", lambda k, t: _sets(k, t, n)).distinct(), "sets")
+    members = stars.join(parts, "leader").select("leader", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("doc_id"))
+    leaders = parts.select("leader", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.col("leader").alias("doc_id"))
+    together = members.union(leaders).join(sets, "doc_id")
+
+    def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
+        leader, ids = group.column("leader")[0].as_py(), group.column("doc_id").to_numpy()
+        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+        own = [x for x, d in zip(items, ids, strict=True) if d == leader]
+        good = [d for x, d in zip(items, ids, strict=True) if d != leader and any(_near(x, y, percent) for y in own)]
+        return {"a": np.full(len(good), leader, np.int64), "b": np.array(good, np.int64)} if good else None
 
-def _tiles(df: DataFrame, size: int) -> DataFrame:
-    """Each row once for each pair of tiles (i, j) that its own tile is in; n is the number of rows of its group."""
-    tiled = df.withColumn("tiles", F.ceil(F.col("n") / size).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    return tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("tiles", "other")
+    return written(map_groups(together, ["leader", "part"], "a bigint, b bigint", rows), "links")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are near enough. Sets are made of the texts of pairs only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = written(map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, n)).dropDuplicates(["doc_id"]), "sets")
-    pairs = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return written(pairs.mapInPandas(_confirm(percent), "a bigint, b bigint"), "links")
+def _near(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -228,31 +285,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         raise ValueError("the bands are laid out for 70 per cent or more")
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(map_texts(read, "doc_id bigint, n_shingles bigint, class_key binary, bands array<bigint>, sketch binary", lambda k, t: _signed(k, t, words)), "signed")
-    classes = written(signed.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = written(signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    labelled = written(signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "labelled")
+    # A doc_id with several texts holds their classes together.
+    repeated = labelled.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("most")).where("a < most").select("doc_id", "a")
+    same_id = labelled.join(written(repeated, "repeated"), "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
     firsts = signed.join(classes, (signed["class_key"] == classes["class_key"]) & (signed["doc_id"] == classes["class_id"]), "left_semi")
-    firsts = written(firsts.select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]), "firsts")
+    firsts = written(firsts.select("doc_id", "n_shingles", "bands", "sketch").distinct(), "firsts")
     banded = firsts.select("doc_id", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "shared")
-    members = written(banded.join(shared, "band"), "members")
-    stars = members.where("leader < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = _linked(written(stars, "stars"), read, words, percent)
+    members = written(banded.join(shared, "band").select("band", "doc_id", "leader"), "members")
+    stars = members.where("leader < doc_id").groupBy(F.col("doc_id").alias("member")).agg(F.min("leader").alias("leader"))
+    links = _star_links(written(stars, "stars"), read, words, percent).union(same_id)
     found = written(components(links), "components")
-    parted = members.join(found.toDF("doc_id", "c"), "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id")).drop("c", "leader")
-    mixed = written(parted.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band"), "mixed")
-    if not mixed.isEmpty():
-        rest = written(parted.join(mixed, "band"), "rest")
-        sketched = _tiles(rest.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id"), TILE)
-        bridges = written(map_groups(sketched, ["band", "i", "j"], "a bigint, b bigint", _bridges(percent)), "bridges")
-        families = written(components(bridges).toDF("component", "family"), "families")
-        relatives = firsts.select("doc_id").join(found.toDF("doc_id", "c"), "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("component")).join(families, "component")
-        relatives = written(relatives, "relatives")
-        sizes = written(relatives.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
+    parted = _relabelled(members.select("band", "doc_id", F.col("doc_id").alias("component")), found)
+    sketched = written(_several(parted, "band"), "parted").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    bridges = _contracted(sketched, "band", TILE, _by_sketch(percent), percent)
+    if bridges is not None:
+        families = written(components(bridges), "families").toDF("component", "family")
+        relatives = written(_relabelled(firsts.select("doc_id", "n_shingles", F.col("doc_id").alias("component")), found).join(families, "component"), "relatives")
         texts = read.join(relatives.select("doc_id"), "doc_id", "left_semi")
-        sets = map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, words)).dropDuplicates(["doc_id"])
-        compared = _tiles(written(sets, "sets").join(relatives.join(sizes, "family"), "doc_id"), FAMILY_TILE)
-        links = links.union(written(map_groups(compared, ["family", "i", "j"], "a bigint, b bigint", _links(percent)), "links"))
-        found = written(components(links), "components")
-    labelled = signed.join(classes, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+        sets = written(map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, words)).distinct(), "sets")
+        sized = relatives.drop("n_shingles").distinct().join(sets, "doc_id").withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
+        more = _contracted(sized, "family", FAMILY_TILE, _by_sets(percent), percent)
+        if more is not None:
+            found = written(components(links.union(more)), "components")
     out = labelled.join(found.toDF("class_id", "c"), "class_id", "left")
     component = F.coalesce("c", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "class_id")
