@@ -7,6 +7,7 @@ recordings to files, one for each FILE_RECORDS records and each by a task of its
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -61,9 +62,14 @@ def numbered(df: DataFrame, column: str, width: int = 1 << 12) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and (shared.startswith("/") or shared.startswith("file:")):
-        return tempfile.mkdtemp(prefix="archive-", dir=shared.removeprefix("file://").removeprefix("file:"))
+    """A new folder that driver and executors can open as files: in spark.wavelake.archive.dir or spark.checkpoint.dir;
+    where executors run in the driver's process, a temporary one if neither is a mounted path."""
+    for name in ("spark.wavelake.archive.dir", "spark.checkpoint.dir"):
+        shared = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
+        if shared and (shared.startswith("/") or shared.startswith("file:")):
+            return tempfile.mkdtemp(prefix="archive-", dir=shared.removeprefix("file://").removeprefix("file:"))
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.wavelake.archive.dir must name a mounted folder that all executors share")
     return tempfile.mkdtemp(prefix="wavelake-archive-")
 
 
