@@ -21,10 +21,9 @@ ANNOTATION_TEXT_NOT_UTF8 RECORD_ONSET_SPACING_VIOLATION DISCONTINUITY_IN_CONTINU
 INFO = "DATE_CLIPPED_TO_1985_2084 INVERTED_PHYSICAL_RANGE NEGATIVE_ANNOTATION_ONSET".split()
 _SEVERITY = dict.fromkeys(FATAL + DEFERRED, "error") | dict.fromkeys(WARNING, "warning") | dict.fromkeys(INFO, "info")
 SEVERITIES = ("error", "warning", "info")
-#: Reported once for a whole call, however the call is cut into tasks.
-ONCE_PER_CALL = ("NEGATIVE_ANNOTATION_ONSET",)
 SCHEMA = """code string, severity string, message string, field string, byte_offset bigint, byte_length bigint, raw_bytes binary,
-raw string, expected string, actual string, signal_index int, record_index bigint, spec_reference string"""
+raw string, expected string, actual string, signal_index int, record_index bigint, spec_reference string,
+once boolean"""
 
 
 def severity_of(code: str) -> str:
@@ -50,6 +49,8 @@ class Diagnostic:
     signal_index: int | None = None
     record_index: int | None = None
     spec_reference: str | None = None
+    #: Reported once for a whole call, however the call is cut into tasks.
+    once: bool = False
 
     def __post_init__(self):
         if not self.severity:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from .ticks import WIDE
 
 PAD = " \x00"
-_INTEGER = re.compile(r"[+-]?[0-9]+", re.A)
-_NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", re.A)
 #: EDF+ month names (fixed values).
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 PIVOT_YEAR = 85
@@ -84,6 +83,17 @@ def split_channel_col(run: Column) -> tuple[Column, Column]:
 
 
 # -- numbers ---------------------------------------------------------------------------------------------------
+#: What a number field is made of: padding, then a decimal, a decimal with commas, or anything else, then padding.
+_FIELD = re.compile(
+    r"""(?P<before>[ \x00]*)
+    (?:(?P<decimal>[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)
+      |(?P<commas>[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:e[+-]?\d+)?)
+      |(?P<other>.*?))
+    (?P<after>[ \x00]*)""",
+    re.ASCII | re.IGNORECASE | re.DOTALL | re.VERBOSE,
+)
+
+
 @dataclass(frozen=True)
 class Number:
     """value is None unless the field could be read; problem: none, empty, comma-decimal, not-left-justified or malformed."""
@@ -92,18 +102,21 @@ class Number:
     problem: str
 
 
+def _exact(decimal: str | None, integral: bool) -> float | int | None:
+    """The value of a decimal that a double holds as it is meant: finite, or a safe integer."""
+    if decimal is None or (integral and not decimal.lstrip("+-").isdigit()):
+        return None
+    value = int(decimal) if integral else float(decimal)
+    return value if abs(value) <= (2**53 - 1 if integral else sys.float_info.max) else None
+
+
 def parse_number(raw: str, integral: bool = False) -> Number:
-    core = raw.strip(PAD)
-    if not core:
-        return Number(None, "empty")
-    if "," in core:
-        return Number(None, "comma-decimal" if _NUMBER.fullmatch(core.replace(",", ".")) else "malformed")
-    if not (_INTEGER if integral else _NUMBER).fullmatch(core):
-        return Number(None, "malformed")
-    value = int(core) if integral else float(core)
-    if abs(value) > 2**53 - 1 if integral else not math.isfinite(value):
-        return Number(None, "malformed")
-    return Number(value, "none" if raw.startswith(core[0]) and "\x00" not in raw[len(core) :] else "not-left-justified")
+    field = _FIELD.fullmatch(raw)
+    value = _exact(field["decimal"], integral)
+    tidy = not field["before"] and "\x00" not in field["after"]
+    rejected = {"commas": "comma-decimal", "decimal": "malformed", "other": "malformed" if field["other"] else "empty"}
+    kind = next(k for k in rejected if field[k] is not None)
+    return Number(None, rejected[kind]) if value is None else Number(value, "none" if tidy else "not-left-justified")
 
 
 def parse_number_col(raw: Column, integral: bool = False) -> Column:
@@ -170,30 +183,23 @@ def resolve_year_col(two_digits: Column) -> Column:
     return F.when(two_digits >= PIVOT_YEAR, two_digits + 1900).otherwise(two_digits + 2000)
 
 
-def _three(text: str) -> list[str] | None:
-    parts = [p for p in re.split(r"[\s.:/-]+", trim_field(text)) if p]
-    return parts if len(parts) == 3 else None
-
-
-def _digits(text: str, most: int) -> int | None:
-    return int(text) if 0 < len(text) <= most and text.isascii() and text.isdigit() else None
+_BETWEEN = r"[\s.:/-]"
+#: Three parts with separators between them, and perhaps around them.
+_DATE = re.compile(rf"{_BETWEEN}*(?P<day>[0-9]{{1,2}}){_BETWEEN}+(?:(?P<month>[0-9]{{1,2}})|(?P<name>{'|'.join(MONTHS)})){_BETWEEN}+(?:(?P<escape>yy)|(?P<year>[0-9]{{4}})|(?P<short>[0-9]{{1,2}})){_BETWEEN}*", re.IGNORECASE)
+_CLOCK = re.compile(rf"{_BETWEEN}*([01]?[0-9]|2[0-3]){_BETWEEN}+([0-5]?[0-9]){_BETWEEN}+([0-5]?[0-9]){_BETWEEN}*")
+#: Any leap year: the day of a date without a year need only exist in some year.
+LEAP_YEAR = 2000
 
 
 def parse_start_date(raw: str) -> StartDate:
-    parts = _three(raw)
-    if not parts:
+    found = _DATE.fullmatch(trim_field(raw))
+    if not found or found["name"]:
         return StartDate("unparseable")
-    day, month = _digits(parts[0], 2), _digits(parts[1], 2)
-    if day is None or month is None or not 1 <= month <= 12:
+    year = LEAP_YEAR if found["escape"] else int(found["year"]) if found["year"] else resolve_year(int(found["short"]))
+    day = Day(year, int(found["month"]), int(found["day"]))
+    if not is_valid_day(day):
         return StartDate("unparseable")
-    if parts[2].lower() == "yy":
-        return StartDate("yearEscape", None, day, month) if 1 <= day <= days_in_month(2000, month) else StartDate("unparseable")
-    year = _digits(parts[2], 4)
-    if year is None or len(parts[2]) == 3:
-        return StartDate("unparseable")
-    short = len(parts[2]) <= 2
-    found = Day(resolve_year(year) if short else year, month, day)
-    return StartDate("parsed", found, day, month, short) if is_valid_day(found) else StartDate("unparseable")
+    return StartDate("yearEscape", None, day.day, day.month) if found["escape"] else StartDate("parsed", day, day.day, day.month, bool(found["short"]))
 
 
 def parse_start_date_col(raw: Column) -> Column:
@@ -207,10 +213,8 @@ def parse_start_date_col(raw: Column) -> Column:
 
 
 def parse_start_time(raw: str) -> tuple[int, int, int] | None:
-    parts = _three(raw)
-    clock = [_digits(p, 2) for p in parts] if parts else []
-    good = len(clock) == 3 and None not in clock and clock[0] <= 23 and clock[1] <= 59 and clock[2] <= 59
-    return tuple(clock) if good else None
+    found = _CLOCK.fullmatch(trim_field(raw))
+    return tuple(map(int, found.groups())) if found else None
 
 
 def parse_start_time_col(raw: Column) -> Column:
@@ -222,17 +226,11 @@ def parse_start_time_col(raw: Column) -> Column:
 
 def parse_subfield_date(text: str) -> tuple[Day | None, bool]:
     """The date of a subfield, and whether it is written dd-MMM-yyyy."""
-    parts = _three(text)
-    if not parts:
-        return None, False
-    day, year = _digits(parts[0], 2), _digits(parts[2], 4)
-    if day is None or year is None or len(parts[2]) != 4:
-        return None, False
-    named = parts[1].upper() in MONTHS
-    month = MONTHS.index(parts[1].upper()) + 1 if named else _digits(parts[1], 2)
-    if month is None or not is_valid_day(Day(year, month, day)):
+    found = _DATE.fullmatch(trim_field(text))
+    if not found or not found["year"]:
         return None, False
-    return Day(year, month, day), named and bool(re.fullmatch(r"[0-9]{2}-[A-Z]{3}-[0-9]{4}", text))
+    day = Day(int(found["year"]), MONTHS.index(found["name"].upper()) + 1 if found["name"] else int(found["month"]), int(found["day"]))
+    return (day, bool(re.fullmatch(r"[0-9]{2}-[A-Z]{3}-[0-9]{4}", text))) if is_valid_day(day) else (None, False)
 
 
 def naive_start(day: Day | None, clock: tuple[int, int, int] | None) -> str | None:
@@ -268,16 +266,35 @@ def parse_recording(raw: str) -> dict:
     return {"raw": raw, "conformant": len(parts) >= 5 and prefix == "Startdate" and written, "start_date": day if prefix.lower() == "startdate" else None, "investigation_code": _known(parts, 2), "technician_code": _known(parts, 3), "equipment_code": _known(parts, 4), "extra_subfields": parts[5:]}
 
 
-def patient_col(raw: Column) -> Column:
-    """struct<code, sex, birth_date, name, conformant> of a patient field."""
-    parts = F.array_remove(F.split(trim_field_col(raw), " "), "")
-    known = lambda i: F.when(F.get(parts, i) != "X", F.get(parts, i))
-    born = known(2)
-    bits = F.split(born, r"[\s.:/-]+")
+def _subfield_date_col(text: Column) -> tuple[Column, Column]:
+    """The date of a subfield, and whether it is written dd-MMM-yyyy."""
+    bits = F.array_remove(F.split(text, r"[\s.:/-]+"), "")
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.upper(F.get(bits, 1))).cast("int")
     month = F.when(month > 0, month).otherwise(F.when(F.get(bits, 1).rlike("^[0-9]{1,2}$"), F.get(bits, 1).try_cast("int")))
     plain = (F.size(bits) == 3) & F.get(bits, 0).rlike("^[0-9]{1,2}$") & F.get(bits, 2).rlike("^[0-9]{4}$")
     day = F.when(plain, F.try_to_date(F.format_string("%s-%02d-%02d", F.get(bits, 2), month, F.get(bits, 0).try_cast("int")), "yyyy-MM-dd"))
-    written = born.isNull() | (day.isNotNull() & born.rlike("^[0-9]{2}-[A-Z]{3}-[0-9]{4}$"))
+    return day, day.isNotNull() & text.rlike("^[0-9]{2}-[A-Z]{3}-[0-9]{4}$")
+
+
+def _subfields_col(raw: Column) -> tuple[Column, Callable[[int], Column]]:
+    parts = F.array_remove(F.split(trim_field_col(raw), " "), "")
+    return parts, lambda i: F.when(F.get(parts, i) != "X", F.get(parts, i))
+
+
+def patient_col(raw: Column) -> Column:
+    """struct<code, sex, birth_date, name, conformant> of a patient field."""
+    parts, known = _subfields_col(raw)
+    born = known(2)
+    day, written = _subfield_date_col(born)
     sex = F.get(parts, 1)
-    return F.struct(known(0).alias("code"), F.when(sex.isin("F", "M"), sex).alias("sex"), day.alias("birth_date"), known(3).alias("name"), ((F.size(parts) >= 4) & F.coalesce(sex.isin("F", "M", "X"), F.lit(False)) & F.coalesce(written, F.lit(False))).alias("conformant"))
+    good = (F.size(parts) >= 4) & F.coalesce(sex.isin("F", "M", "X"), F.lit(False)) & (born.isNull() | F.coalesce(written, F.lit(False)))
+    return F.struct(known(0).alias("code"), F.when(sex.isin("F", "M"), sex).alias("sex"), day.alias("birth_date"), known(3).alias("name"), good.alias("conformant"))
+
+
+def recording_col(raw: Column) -> Column:
+    """struct<start_date, investigation_code, technician_code, equipment_code, extra_subfields, conformant> of a recording field."""
+    parts, known = _subfields_col(raw)
+    start, prefix = known(1), F.get(parts, 0)
+    day, written = _subfield_date_col(start)
+    good = (F.size(parts) >= 5) & F.coalesce(prefix == "Startdate", F.lit(False)) & (start.isNull() | F.coalesce(written, F.lit(False)))
+    return F.struct(F.when(F.lower(prefix) == "startdate", day).alias("start_date"), known(2).alias("investigation_code"), known(3).alias("technician_code"), known(4).alias("equipment_code"), F.slice(parts, 6, F.greatest(F.size(parts), F.lit(1))).alias("extra_subfields"), good.alias("conformant"))

@@ -1,7 +1,8 @@
 """Min/max envelopes: buckets over contiguous runs of samples, as mergeable aggregates.
 
-`samples` has path, run_id, signal_index, position (0 at the start of the run) and digital. `blocks_envelope`
-does the same from sample blocks and reduces each block before anything is shuffled.
+`samples` has path, run_id, signal_index, position (0 at the start of the run) and digital. `fold_blocks` does the
+same from sample blocks: positions of a block ascend, so a bucket holds a slice of it, and a block is reduced to
+one row for each bucket it touches before anything is shuffled; no sample becomes a row.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BudgetError
-from ..functions.ticks import WIDE, ceil_div, div, floor_div_col
+from ..functions.ticks import WIDE, ceil_div, ceil_div_col, div, floor_div_col
 
 KEY = ("path", "run_id", "signal_index")
 
@@ -43,18 +44,27 @@ def fold(samples: DataFrame, bucket: Column) -> DataFrame:
     return samples.groupBy(*KEY, bucket.alias("bucket")).agg(F.min("digital").alias("min"), F.max("digital").alias("max"), F.count("*").alias("count"))
 
 
-def blocks_envelope(blocks: DataFrame, bucket: Column) -> DataFrame:
-    """The same from blocks with run_id and first_position; bucket is an expression over `position`."""
-    rows = blocks.select(*KEY, "first_position", F.posexplode("digital").alias("_at", "digital")).withColumn("position", F.col("first_position") + F.col("_at"))
-    return fold(rows, bucket)
+def fold_blocks(blocks: DataFrame, num: Column, den: Column, buckets: Column) -> DataFrame:
+    """The envelope of blocks with run_id and first_position, where position p is in bucket p * num // den, at most buckets - 1.
+
+    num and den are exact and positive; products are taken in decimals, so no recording is too long.
+    """
+    wide = blocks.where(F.size("digital") > 0).withColumn("_num", num.cast(WIDE)).withColumn("_den", den.cast(WIDE)).withColumn("_buckets", buckets.cast("bigint"))
+    bucket_of = lambda p: F.least(floor_div_col(p.cast(WIDE) * F.col("_num"), F.col("_den")), F.col("_buckets") - 1)
+    size = F.size("digital").cast("bigint")
+    rows = wide.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("first_position")), bucket_of(F.col("first_position") + size - 1))))
+    first_in = lambda b: ceil_div_col(b.cast(WIDE) * F.col("_den"), F.col("_num")) - F.col("first_position")
+    low = F.greatest(first_in(F.col("bucket")), F.lit(0))
+    high = F.when(F.col("bucket") == F.col("_buckets") - 1, size).otherwise(F.least(first_in(F.col("bucket") + 1), size))
+    parts = rows.select(*KEY, F.col("bucket").cast("int").alias("bucket"), F.slice("digital", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("part")).where(F.size("part") > 0)
+    return parts.groupBy(*KEY, "bucket").agg(F.min(F.array_min("part")).alias("min"), F.max(F.array_max("part")).alias("max"), F.sum(F.size("part")).cast("bigint").alias("count"))
 
 
 def of_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
     """Even buckets over the samples in hand of each path, run and signal, however many records they are from."""
     sizes = blocks.groupBy(*KEY).agg(F.min("first_sample_index").alias("_first"), F.sum(F.size("digital")).alias("total"))
     placed = blocks.join(sizes, list(KEY)).withColumn("first_position", F.col("first_sample_index") - F.col("_first"))
-    rows = placed.select(*KEY, "first_position", "total", F.posexplode("digital").alias("_at", "digital")).withColumn("position", F.col("first_position") + F.col("_at"))
-    return fold(rows, even_bucket(F.col("position"), F.col("total"), buckets))
+    return fold_blocks(placed, F.lit(buckets), F.col("total"), F.lit(buckets))
 
 
 def with_empty(envelope: DataFrame, buckets: int) -> DataFrame:

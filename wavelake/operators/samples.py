@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import ScalingError
-from ..functions.ticks import WIDE, ceil_div_col, from_seconds
+from ..functions.ticks import WIDE, ceil_div_col, floor_div_col, from_seconds
+from ..sources.decode import budget
 from ..sources.header import Signal
 
 
@@ -83,18 +84,39 @@ def in_window(start_ticks: Column, start_seconds: float, duration_seconds: float
     return (start_ticks >= begin) & (start_ticks < begin + from_seconds(duration_seconds))
 
 
-def merge(blocks: DataFrame, duration_ticks: int) -> DataFrame:
+def trim(blocks: DataFrame, begin_ticks: int, end_ticks: int, signals: dict[int, tuple[int, int, int]], duration_ticks: int) -> DataFrame:
+    """Blocks cut to the samples that start in [begin, end), with first sample, start and out-of-range count of what is left.
+
+    signals: samples of a record and the two ends of the digital range, by signal_index. Blocks without such a sample go.
+    """
+    by = lambda i: F.create_map(*[F.lit(x) for k, v in signals.items() for x in (k, v[i])])[F.col("signal_index")] if signals else F.lit(0)
+    n, size = by(0), F.size("digital")
+    ahead = lambda t: F.lit(t) - F.col("start_ticks")
+    first_at = lambda t: F.greatest(F.least(floor_div_col((ahead(t) - 1).cast(WIDE) * n, F.lit(duration_ticks)) + 1, size), F.lit(0)) if duration_ticks else F.when(ahead(t) > 0, size).otherwise(0)
+    cut = blocks.withColumn("_low", first_at(begin_ticks)).withColumn("_high", first_at(end_ticks)).where("_high > _low")
+    kept = F.slice("digital", (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int"))
+    ticks = F.col("start_ticks") + (ceil_div_col(F.col("_low").cast(WIDE) * duration_ticks, n) if duration_ticks else F.lit(0))
+    trimmed = cut.withColumn("digital", kept).withColumn("start_ticks", ticks).withColumn("first_sample_index", F.col("first_sample_index") + F.col("_low"))
+    return trimmed.withColumn("out_of_range_count", out_of_range_count(F.col("digital"), by(1), by(2))).drop("_low", "_high")
+
+
+def merge(blocks: DataFrame, duration_ticks: int, max_bytes: float | None = None) -> DataFrame:
     """One row per path and signal with all samples of its blocks, which must follow one another without a break.
 
-    Raises where records aren't neighbours, where a block doesn't start when the one before ends, or where the
-    samples' numbers don't join up.
+    Raises where records aren't neighbours, where a block doesn't start when the one before ends, where the
+    samples' numbers don't join up, or before a row would hold more than max_bytes (256 MiB by default).
     """
+    most = budget(max_bytes)
     along = Window.partitionBy("path", "signal_index").orderBy("record_index")
     before = F.lag(F.struct("record_index", "start_ticks", (F.col("first_sample_index") + F.size("digital")).alias("next"))).over(along)
     joined = blocks.withColumn("_b", before)
     wrong = F.col("_b").isNotNull() & ((F.col("record_index") != F.col("_b.record_index") + 1) | (F.col("start_ticks") != F.col("_b.start_ticks") + duration_ticks) | (F.col("first_sample_index") != F.col("_b.next")))
     said = F.concat(F.lit("blocks cannot be merged at record "), F.col("record_index"), F.lit(" of signal "), F.col("signal_index"))
-    checked = joined.withColumn("digital", F.when(wrong, F.raise_error(said).cast("array<int>")).otherwise(F.col("digital")))
+    held = 4 * F.sum(F.size("digital")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    heavy = F.concat(F.lit(f"merging needs more than the budget of {most} bytes at record "), F.col("record_index"), F.lit(" of signal "), F.col("signal_index"))
+    joined = joined.withColumn("_held", held)
+    raised = F.when(wrong, F.raise_error(said).cast("array<int>")).when(F.col("_held") > most, F.raise_error(heavy).cast("array<int>"))
+    checked = joined.withColumn("digital", raised.otherwise(F.col("digital")))
     parts = F.array_sort(F.collect_list(F.struct("record_index", "digital")))
     merged = checked.groupBy("path", "signal_index").agg(F.min("record_index").alias("record_start"), F.count("*").alias("record_count"), F.min("first_sample_index").alias("first_sample_index"), F.min("start_ticks").alias("start_ticks"), parts.alias("_parts"), F.sum("out_of_range_count").alias("out_of_range_count"))
     return merged.withColumn("digital", F.flatten(F.transform("_parts", lambda p: p["digital"]))).drop("_parts")

@@ -14,6 +14,8 @@ from ..functions.ticks import WIDE, ceil_div_col, div, floor_div_col, from_secon
 
 #: Records that are put in order together; a longer recording is cut at these boundaries and joined up again.
 BLOCK = 1 << 20
+#: Width of the buckets by which points meet intervals, and records meet runs of records.
+HOUR, RECORDS = 36_000_000_000, 4096
 
 
 def steps(records: DataFrame, duration_ticks: Column | int) -> DataFrame:
@@ -76,11 +78,11 @@ def contiguity(found: DataFrame, complete: bool = True) -> DataFrame:
     return found.groupBy("path").agg(many.alias("contiguity"))
 
 
-def intervals_at(points: DataFrame, intervals: DataFrame, ticks: str = "ticks", bucket_ticks: int | None = None, how: str = "inner") -> DataFrame:
+def intervals_at(points: DataFrame, intervals: DataFrame, ticks: str = "ticks", bucket_ticks: int | None = HOUR, how: str = "inner") -> DataFrame:
     """Each point with the half-open intervals [start_ticks, end_ticks) of its path that hold it.
 
-    With bucket_ticks both sides meet by equal buckets of time (an interval stands in every bucket it touches),
-    which is the form for many points and many intervals; without, Spark joins by path and filters.
+    Both sides meet by equal buckets of time (an interval stands in every bucket it touches); with bucket_ticks
+    None, for intervals that span very many buckets, Spark joins by path and filters.
     """
     inside = (F.col(ticks) >= F.col("start_ticks")) & (F.col(ticks) < F.col("end_ticks"))
     if bucket_ticks is None:
@@ -140,11 +142,27 @@ def sample_at(located: DataFrame, samples_per_record: int, duration_ticks: int)
     return located.withColumn("sample_within_record", F.when(F.col("record_index").isNotNull(), within)).withColumn("sample_index", F.col("record_index") * samples_per_record + F.col("sample_within_record"))
 
 
+def with_run(rows: DataFrame, runs: DataFrame, record: Column, first: str = "run_first", count: str = "run_count") -> DataFrame:
+    """Each row with the run of records [first, first + count) that holds its record; rows outside all runs go.
+
+    Both meet by buckets of RECORDS records, and by path if both have one, so neither many runs nor a long one
+    make a join of all with all.
+    """
+    last = F.col(first) + F.col(count) - 1
+    placed = runs.where(F.col(count) > 0).withColumn("_bucket", F.explode(F.sequence(floor_div_col(F.col(first), RECORDS), floor_div_col(last, RECORDS))))
+    keys = ["_bucket", *(["path"] if "path" in runs.columns else [])]
+    met = rows.withColumn("_record", record).withColumn("_bucket", floor_div_col(F.col("_record"), RECORDS)).join(placed, keys)
+    return met.where((F.col("_record") >= F.col(first)) & (F.col("_record") < F.col(first) + F.col(count))).drop("_bucket", "_record")
+
+
+def onset_ticks(points: DataFrame, records: DataFrame) -> DataFrame:
+    """Each (path, record_index) with the start of that record; null where there is no such record."""
+    return points.join(records.select("path", "record_index", "onset_ticks"), ["path", "record_index"], "left")
+
+
 def sample_start_ticks(samples: DataFrame, found: DataFrame, samples_per_record: int, duration_ticks: int) -> DataFrame:
     """start_ticks of (path, sample_index) on the recording's axis, from the true start of its segment."""
-    record = div(F.col("sample_index"), F.lit(samples_per_record))
-    s = found.select(F.col("path").alias("_path"), "record_start", "record_count", F.col("start_ticks").alias("_begin"))
-    inside = (record >= F.col("record_start")) & (record < F.col("record_start") + F.col("record_count"))
-    joined = samples.join(s, [F.col("path") == F.col("_path"), inside])
-    relative = F.col("sample_index") - F.col("record_start") * samples_per_record
-    return joined.withColumn("start_ticks", F.col("_begin") + grid_start_ticks(relative, samples_per_record, duration_ticks)).drop("_path", "record_start", "record_count", "_begin")
+    runs = found.select("path", F.col("record_start").alias("run_first"), F.col("record_count").alias("run_count"), F.col("start_ticks").alias("_begin"))
+    joined = with_run(samples, runs, div(F.col("sample_index"), F.lit(samples_per_record)))
+    relative = F.col("sample_index") - F.col("run_first") * samples_per_record
+    return joined.withColumn("start_ticks", F.col("_begin") + grid_start_ticks(relative, samples_per_record, duration_ticks)).select(*samples.columns, "start_ticks")

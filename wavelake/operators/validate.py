@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import RECOMMENDED_RECORD_BYTES, signal_field_offset
-from ..diagnostics import ONCE_PER_CALL, Diagnostic, severity_of
+from ..diagnostics import Diagnostic, severity_of
 from ..functions import text as T
 from ..sources.bytesource import open_source
+from ..sources.decode import bounded
 from ..sources.header import Header, read_header
 from . import samples as S
 from . import timeline as L
@@ -20,6 +21,8 @@ from . import timeline as L
 #: Types that a label of the form "<type> <sensor>" begins with (fixed values).
 LABEL_TYPES = {"EEG", "ECG", "EOG", "ERG", "EMG", "MEG", "MCG", "EP", "Temp", "Resp", "SaO2", "Light", "Sound", "Event"}
 FILTER_TERMS = ("HP:", "LP:", "N:", "G:")
+#: What a finding or a segment is worth in bytes on the driver.
+FINDING_BYTES = 1024
 NO_FILTER = {"None", "none", "NONE", "No filtering"}
 
 
@@ -72,28 +75,29 @@ def structure_rules(h: Header, segments: list[dict]) -> list[Diagnostic]:
 
 def once_per_call(diagnostics: DataFrame) -> DataFrame:
     """Findings of all tasks with those a call reports once reduced to their first."""
-    once = F.col("code").isin(*ONCE_PER_CALL) | ((F.col("code") == "TIMEKEEPING_TAL_NONCONFORMANT") & ~F.col("message").contains("it carries ") | F.col("message").contains("carries the duration"))
+    once = F.coalesce("once", F.lit(False))
     rank = F.row_number().over(Window.partitionBy("path", "code").orderBy("record_index", "signal_index", "byte_offset"))
     return diagnostics.where(~once).unionByName(diagnostics.where(once).withColumn("_n", rank).where("_n = 1").drop("_n"))
 
 
-def validate(recording, scan_samples: bool = False, use_index: bool = True) -> dict:
+def validate(recording, scan_samples: bool = False, use_index: bool = True, max_bytes: float | None = None) -> dict:
     """Report of a recording: ok, diagnostics, records_scanned, bytes_read, signal_stats.
 
     Without samples to scan, records are read only if their starts aren't known: neither by arithmetic nor by a
-    complete index. The samples are reduced on the executors to one row for each signal.
+    complete index. The samples are reduced on the executors to one row for each signal. Findings and segments come
+    to the driver within max_bytes; `validate_files` gives them as rows of a table, however many there are.
     """
     h, known = recording.header, recording._index if use_index else None
     found = [*h.diagnostics, *header_rules(h), *recording.timeline["diagnostics"]]
     timed = bool(h.annotation_signals)
     reads = scan_samples or (timed and known is None)
     if reads and timed:
-        rows = once_per_call(recording.scan("diagnostics").where("stage = 'records'")).orderBy("record_index", "signal_index", "byte_offset").drop("path", "stage").collect()
-        found += [Diagnostic(**r.asDict()) for r in rows]
+        said = once_per_call(recording.scan("diagnostics", max_bytes=max_bytes).where("stage = 'records'")).orderBy("record_index", "signal_index", "byte_offset").drop("path", "stage")
+        found += [Diagnostic(**r.asDict()) for r in bounded(said, FINDING_BYTES, max_bytes, "findings")]
     segments = known
     if segments is None and timed:
         found_segments = L.segments(L.check_monotonic(recording.records()), h.record_duration_ticks, recording.timeline["start_offset_ticks"])
-        segments = [r.asDict() for r in found_segments.orderBy("segment_index").collect()]
+        segments = [r.asDict() for r in bounded(found_segments.orderBy("segment_index"), FINDING_BYTES, max_bytes, "segments")]
     found += structure_rules(h, segments or [])
     stats = []
     if scan_samples:

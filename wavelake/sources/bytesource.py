@@ -44,6 +44,23 @@ class BytesSource:
         pass
 
 
+class SliceSource:
+    """The head of a source and one stretch of it, in a task that was sent no more."""
+
+    def __init__(self, head: bytes, offset: int, data: bytes, byte_length: int):
+        self._parts, self.byte_length = ((0, head), (offset, data)), byte_length
+
+    def read(self, offset: int, length: int) -> bytes:
+        check_range(offset, length, self.byte_length)
+        for start, data in self._parts:
+            if start <= offset and offset + length <= start + len(data):
+                return data[offset - start : offset - start + length]
+        raise SourceError(f"bytes {offset}..{offset + length} weren't sent")
+
+    def close(self) -> None:
+        pass
+
+
 class HandleSource:
     """An open binary file, or anything that can seek and read; short reads are continued until the end."""
 

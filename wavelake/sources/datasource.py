@@ -2,7 +2,10 @@
 
 Options: path (a file, a folder, a glob, or several joined by line feeds), mode (blocks, records, annotations,
 diagnostics, headers), signals (indices or labels joined by commas; blocks only), records_per_partition (whole
-files are cut at this many bytes by default), strict.
+files are cut at this many bytes by default), strict; for URLs http_headers (a JSON object) and
+allow_full_download; block_bytes and cache_bytes read by blocks that a task keeps. A recording that is open passes
+what it knows (header, byte_length, time, ranges): then nothing is listed, tasks are planned for the asked-for
+records only, and a task reads just those.
 
 Partitions are planned from file sizes alone, so a million files cost the driver a listing and no reads. Each
 task reads the header of its file and at most three records more, to know where the time axis starts; hence no
@@ -11,8 +14,11 @@ row depends on how files are cut. Filters on path, record_index and signal_index
 
 from __future__ import annotations
 
+import base64
 import glob
+import json
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -22,9 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from ..diagnostics import SCHEMA as DIAGNOSTIC_SCHEMA
 from ..errors import ChannelNotFoundError, FormatError
-from .bytesource import open_source
+from .bytesource import CachedSource, HttpSource, open_source
 from .decode import annotations, digital, out_of_range, read_records, runs, timeline
-from .header import Header, read_header, signal_row
+from .header import Header, parse_header, read_header, signal_row
 
 SPLIT_BYTES = 64 << 20
 #: Files that share a partition at most: small ones are packed, so an archive of many isn't as many tasks.
@@ -54,15 +60,85 @@ diagnostics array<struct<{", ".join(f.strip().replace(" ", ":", 1) for f in DIAG
 }
 
 
-def list_files(path: str) -> list[tuple[str, int]]:
+def is_url(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+#: Sources with a cache that this worker keeps from task to task, by where they are and how they are read.
+_kept: OrderedDict[tuple, CachedSource] = OrderedDict()
+KEPT_SOURCES = 4
+
+
+class _Borrowed:
+    """A kept source; closing it leaves its cache to the worker's next task."""
+
+    def __init__(self, source: CachedSource):
+        self.byte_length, self.read = source.byte_length, source.read
+
+    def close(self) -> None:
+        pass
+
+
+def open_with(path: str, options: dict):
+    """The source of a path by the options that say how to fetch and to cache."""
+    full = str(options.get("allow_full_download", "false")).lower() == "true"
+    fetched = lambda: HttpSource(path, headers=json.loads(options.get("http_headers", "{}")), allow_full_download=full) if is_url(path) else open_source(path)
+    if "block_bytes" not in options and "cache_bytes" not in options:
+        return fetched()
+    sizes = int(options.get("block_bytes", 1 << 20)), int(options.get("cache_bytes", 64 << 20))
+    key = (path, *sizes, options.get("http_headers"), None if is_url(path) else os.stat(path.removeprefix("file://")).st_mtime_ns)
+    if key not in _kept:
+        _kept[key] = CachedSource(fetched(), *sizes)
+        if len(_kept) > KEPT_SOURCES:
+            _kept.popitem(last=False)[1].close()
+    _kept.move_to_end(key)
+    return _Borrowed(_kept[key])
+
+
+@dataclass(frozen=True)
+class Known:
+    """What an open recording passes on: its header, its time axis and the ranges (first record, number) that are wanted."""
+
+    header: Header
+    time: dict
+    ranges: tuple[tuple[int, int], ...]
+
+    @staticmethod
+    def options(header_bytes: bytes, byte_length: int, time: dict, ranges: list[tuple[int, int]] | None) -> dict[str, str]:
+        axis = {"start_offset_ticks": time["start_offset_ticks"], "starts": [[k, v] for k, v in time["starts"].items()]}
+        out = {"header": base64.b64encode(header_bytes).decode(), "byte_length": str(byte_length), "time": json.dumps(axis)}
+        return out if ranges is None else out | {"ranges": ",".join(f"{a}:{n}" for a, n in ranges)}
+
+    @classmethod
+    def read(cls, options: dict) -> Known | None:
+        if "header" not in options:
+            return None
+        header, time = parse_header(base64.b64decode(options["header"]), int(options["byte_length"])), json.loads(options["time"])
+        ranges = tuple(tuple(map(int, r.split(":"))) for r in options["ranges"].split(",") if r) if "ranges" in options else ((0, header.record_count),)
+        return cls(header, time | {"starts": dict(time["starts"])}, ranges)
+
+    def pieces(self, start: int, stop: int | None, split_bytes: int) -> list[tuple[int, int]]:
+        """[first, last) of at most split_bytes each that the ranges have in [start, stop)."""
+        step, out = max(1, split_bytes // max(1, self.header.record_byte_length)), []
+        for first, count in self.ranges:
+            low, high = max(first, start), first + count if stop is None else min(first + count, stop)
+            out += [(at, min(at + step, high)) for at in range(low, high, step)]
+        return out
+
+
+def list_files(path: str, options: dict | None = None) -> list[tuple[str, int]]:
+    """Files and their sizes. A URL costs one request."""
     found: list[str] = []
+    urls = [one for one in path.split("\n") if is_url(one)]
     for one in path.split("\n"):
         one = one.removeprefix("file://")
+        if is_url(one):
+            continue
         if os.path.isdir(one):
             found += sorted(os.path.join(top, f) for top, _, files in os.walk(one) for f in files if f.lower().endswith((".edf", ".bdf", ".rec")))
         else:
             found += sorted(glob.glob(one)) or [one]
-    return [(f, os.path.getsize(f)) for f in found]
+    return [(f, os.path.getsize(f)) for f in found] + [(u, open_with(u, options or {}).byte_length) for u in urls]
 
 
 def pick_signals(header: Header, wanted: str | None) -> list[int]:
@@ -96,7 +172,7 @@ def header_row(path: str, size: int, header: Header, time: dict, found: list) ->
     }
 
 
-def scan(source, path: str, mode: str, part: int = 0, parts: int = 1, start: int = 0, stop: int | None = None, signals: str | None = None, only: set[int] | None = None, strict: bool = False) -> Iterator[dict[str, list] | dict[str, np.ndarray]]:
+def scan(source, path: str, mode: str, part: int = 0, parts: int = 1, start: int = 0, stop: int | None = None, signals: str | None = None, only: set[int] | None = None, strict: bool = False, known: Known | None = None) -> Iterator[dict[str, list] | dict[str, np.ndarray]]:
     """Columns of a mode's rows for one part of a file; records outside [start, stop) and signals not in only are left out."""
     if mode == "headers":
         try:
@@ -107,8 +183,8 @@ def scan(source, path: str, mode: str, part: int = 0, parts: int = 1, start: int
             row = {"path": path, "ok": False, "byte_length": source.byte_length, "diagnostics": [d.row() for d in e.diagnostics]}
         yield {k: [v] for k, v in row.items()}
         return
-    header = read_header(source, strict)
-    time = timeline(source, header, strict)
+    header = known.header if known else read_header(source, strict)
+    time = known.time if known else timeline(source, header, strict)
     n, origin = header.record_count, time["start_offset_ticks"]
     first, last = max(start, n * part // parts), min(n if stop is None else stop, n * (part + 1) // parts)
     if mode == "diagnostics" and part == 0:
@@ -150,12 +226,12 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 @dataclass
 class Part(InputPartition):
-    """Pieces of files: (path, k, n) is the k-th of n parts of a file."""
+    """Pieces of files: (path, k, n, first, last) is the k-th of n parts of the records [first, last) of a file, None for all."""
 
-    pieces: tuple[tuple[str, int, int], ...]
+    pieces: tuple[tuple[str, int, int, int | None, int | None], ...]
 
 
-def packed(pieces: list[tuple[str, int, int]], weights: list[int], most: int) -> list[Part]:
+def packed(pieces: list[tuple], weights: list[int], most: int) -> list[Part]:
     """Neighbouring pieces together, up to so many bytes or PACKED_FILES files."""
     out, held, size = [], [], 0
     for piece, weight in zip(pieces, weights, strict=True):
@@ -190,31 +266,38 @@ class Reader(DataSourceReader):
             yield f  # Spark checks every filter again
 
     def partitions(self):
-        split = int(self.options.get("split_bytes", SPLIT_BYTES))
-        files = [(f, s) for f, s in list_files(self.options["path"]) if self.paths is None or f in self.paths]
+        split, known = int(self.options.get("split_bytes", SPLIT_BYTES)), Known.read(self.options)
+        if known:
+            path, size = self.options["path"], known.header.record_byte_length
+            if "records_per_partition" in self.options:
+                return [Part(((path, 0, 1, a, b),)) for a, b in known.pieces(self.start, self.stop, int(self.options["records_per_partition"]) * max(1, size))] or [Part(())]
+            pieces = known.pieces(self.start, self.stop, split)
+            return packed([(path, 0, 1, a, b) for a, b in pieces], [max(OPEN_BYTES, (b - a) * size) for a, b in pieces], split)
+        files = [(f, s) for f, s in list_files(self.options["path"], self.options) if self.paths is None or f in self.paths]
         if self.options.get("mode", "blocks") == "headers":
-            return packed([(f, 0, 1) for f, _ in files], [OPEN_BYTES] * len(files), split)
+            return packed([(f, 0, 1, None, None) for f, _ in files], [OPEN_BYTES] * len(files), split)
         if "records_per_partition" in self.options:
             out = []
             for f, _ in files:
-                source = open_source(f)
+                source = open_with(f, self.options)
                 n = max(1, -(-read_header(source).record_count // int(self.options["records_per_partition"])))
                 source.close()
-                out += [Part(((f, k, n),)) for k in range(n)]
+                out += [Part(((f, k, n, None, None),)) for k in range(n)]
             return out or [Part(())]
         pieces, weights = [], []
         for f, size in files:
             n = max(1, -(-size // split))
-            pieces += [(f, k, n) for k in range(n)]
+            pieces += [(f, k, n, None, None) for k in range(n)]
             weights += [max(OPEN_BYTES, size // n)] * n
         return packed(pieces, weights, split)
 
     def read(self, part: Part):
-        strict = str(self.options.get("strict", "false")).lower() == "true"
-        for path, k, n in part.pieces:
-            source = open_source(path)
+        strict, known = str(self.options.get("strict", "false")).lower() == "true", Known.read(self.options)
+        for path, k, n, first, last in part.pieces:
+            source = open_with(path, self.options)
+            start, stop = (self.start, self.stop) if first is None else (first, last)
             try:
-                for columns in scan(source, path, self.options.get("mode", "blocks"), k, n, self.start, self.stop, self.options.get("signals"), self.only, strict):
+                for columns in scan(source, path, self.options.get("mode", "blocks"), k, n, start, stop, self.options.get("signals"), self.only, strict, known):
                     if columns:
                         yield to_batch(columns, self.schema)
             finally:

@@ -131,13 +131,15 @@ def parse_region(data: bytes) -> tuple[list[Tal], list[Issue]]:
     return region.tals, list(region.issues.values())
 
 
+#: What a list that gives a record's start may hold besides: the sign of it, whether an annotation is lost, and the words.
+DEFECTS = (
+    (lambda texts, tal: bool(texts), True, lambda texts, tal: "it carries " + ", ".join(map(escape_controls, texts))),
+    (lambda texts, tal: tal.duration_raw is not None, False, lambda texts, tal: f"it carries the duration {tal.duration_raw!r}"),
+    (lambda texts, tal: len(tal.texts) != 1, False, lambda texts, tal: f"it has {len(tal.texts)} empty texts"),
+)
+
+
 def timekeeping_defect(tal: Tal) -> tuple[str, bool] | None:
     """What is wrong with a list that should give a record's start only, and whether an annotation is lost by it."""
     texts = [t.text for t in tal.texts if t.text]
-    if texts:
-        return "it carries " + ", ".join(escape_controls(t) for t in texts), True
-    if tal.duration_raw is not None:
-        return f"it carries the duration {tal.duration_raw!r}", False
-    if len(tal.texts) != 1:
-        return f"it has {len(tal.texts)} empty texts", False
-    return None
+    return next(((words(texts, tal), lost) for holds, lost, words in DEFECTS if holds(texts, tal)), None)
