@@ -203,12 +203,12 @@ def _tile_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
 
     A component that fills a tile has tiles of its own, and no two of them are paired; smaller ones share tiles.
     """
-    counted = written(rows.groupBy(group, "component").agg(F.count("*").alias("m")), "tile-counts")
+    counted = rows.groupBy(group, "component").agg(F.count("*").alias("m"))
     small = f"m < {size}"
     totals = counted.groupBy(group).agg(F.sum(F.expr(f"IF({small}, m, 0)")).alias("few"))
-    placed = written(counted.join(totals, group).select(group, "component", F.expr(f"IF({small}, NULL, component)").alias("owner"), F.ceil(F.expr(f"IF({small}, few, m)") / size).cast("int").alias("parts")), "tile-places")
+    placed = written(counted.join(totals, group).select(group, "component", F.expr(f"IF({small}, NULL, component)").alias("owner"), F.ceil(F.expr(f"IF({small}, few, m)") / size).cast("int").alias("parts")), "places")
     tiles = placed.select(group, F.struct("owner", "parts").alias("of")).distinct().select(group, "of.owner", F.explode(F.sequence(F.lit(0), F.col("of.parts") - 1)).alias("part"))
-    tiles = written(tiles.select(group, F.struct(F.coalesce("owner", F.lit(-(1 << 63))).alias("owner"), "part").alias("tile")), "tiles")
+    tiles = tiles.select(group, F.struct(F.coalesce("owner", F.lit(-(1 << 63))).alias("owner"), "part").alias("tile"))
     pairs = tiles.withColumnRenamed("tile", "i").join(tiles.withColumnRenamed("tile", "j"), group).where(f"i <= j AND (i.owner <> j.owner OR i.owner = {-(1 << 63)}L)")
     named = pairs.withColumn("pair", F.xxhash64("i", "j"))
     ends = named.withColumn("end", F.explode(F.expr("IF(i = j, array(struct(i AS tile, 2 AS side)), array(struct(i AS tile, 0 AS side), struct(j AS tile, 1 AS side)))")))
@@ -218,22 +218,29 @@ def _tile_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
 
 
 def _contracted(rows: DataFrame, group: str, size: int, near, percent: int) -> DataFrame | None:
-    """Edges (a, b) between the components of rows that join all those which `near` links in a group.
+    """(node, component): the components of rows that `near` links in a group, each with the smallest it is joined with.
+
+    rows: a written table of the groups that hold several components.
 
     In rounds: each component keeps one edge, the components so joined become one, and groups that hold several
     go on. A round writes at most one edge for each component and at least halves those that have a link.
     """
-    links = None
-    while True:
-        rows = written(_several(rows, group), "mixed")
-        if rows.isEmpty():
-            return links
+    joined = None
+    while not rows.isEmpty():
         met = map_groups(_tile_pairs(rows, group, size), [group, "pair"], "a bigint, b bigint", _joins(near, percent))
         edges = written(met.groupBy("a").agg(F.min("b").alias("b")), "joins")
         if edges.isEmpty():
-            return links
-        links = edges if links is None else links.union(edges)
-        rows = _relabelled(rows, components(edges))
+            break
+        found = components(edges)
+        joined = found if joined is None else written(_composed(joined, found), "joined")
+        rows = written(_several(_relabelled(rows, found), group), "mixed")
+    return joined
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """The labels (node, component) of first, whose components then joins, and those that only then has."""
+    moved = first.join(then.toDF("component", "now"), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return moved.unionByName(then.join(first.select("node"), "node", "left_anti"))
 
 
 def _several(rows: DataFrame, group: str) -> DataFrame:
@@ -251,7 +258,7 @@ def _star_links(stars: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
 
     The members of a leader are dealt to parts; its set goes once to each part, not to each member.
     """
-    parts = written(stars.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
+    parts = stars.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     wanted = stars.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
     sets = written(map_texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id bigint, items binary", lambda k, t: _sets(k, t, n)).distinct(), "sets")
     members = stars.join(parts, "leader").select("leader", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("doc_id"))
@@ -289,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     labelled = written(signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "labelled")
     # A doc_id with several texts holds their classes together.
     repeated = labelled.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("most")).where("a < most").select("doc_id", "a")
-    same_id = labelled.join(written(repeated, "repeated"), "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
+    same_id = labelled.join(repeated, "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
     firsts = signed.join(classes, (signed["class_key"] == classes["class_key"]) & (signed["doc_id"] == classes["class_id"]), "left_semi")
     firsts = written(firsts.select("doc_id", "n_shingles", "bands", "sketch").distinct(), "firsts")
     banded = firsts.select("doc_id", F.explode("bands").alias("band"))
@@ -299,17 +306,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     links = _star_links(written(stars, "stars"), read, words, percent).union(same_id)
     found = written(components(links), "components")
     parted = _relabelled(members.select("band", "doc_id", F.col("doc_id").alias("component")), found)
-    sketched = written(_several(parted, "band"), "parted").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    bridges = _contracted(sketched, "band", TILE, _by_sketch(percent), percent)
-    if bridges is not None:
-        families = written(components(bridges), "families").toDF("component", "family")
+    sketched = _several(parted, "band").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    families = _contracted(written(sketched, "mixed"), "band", TILE, _by_sketch(percent), percent)
+    if families is not None:
+        families = families.toDF("component", "family")
         relatives = written(_relabelled(firsts.select("doc_id", "n_shingles", F.col("doc_id").alias("component")), found).join(families, "component"), "relatives")
         texts = read.join(relatives.select("doc_id"), "doc_id", "left_semi")
         sets = written(map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, words)).distinct(), "sets")
         sized = relatives.drop("n_shingles").distinct().join(sets, "doc_id").withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
-        more = _contracted(sized, "family", FAMILY_TILE, _by_sets(percent), percent)
+        more = _contracted(written(_several(sized, "family"), "mixed"), "family", FAMILY_TILE, _by_sets(percent), percent)
         if more is not None:
-            found = written(components(links.union(more)), "components")
+            found = written(_composed(found, more), "components")
     out = labelled.join(found.toDF("class_id", "c"), "class_id", "left")
     component = F.coalesce("c", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "class_id")
