@@ -1,11 +1,16 @@
 """Near-duplicate vectors by tiled comparison in the order of principal components.
 
-Vectors are made unit length and turned to the axes of their second moments, largest first. The turned vectors
-are cut into tiles along the first axis, and a task compares two tiles: it accumulates the product over the
-leading axes, adds the bound that the norms of what is left of both vectors allow (Cauchy-Schwarz), and gives
-up pairs that cannot reach the threshold; the others go on to the next axes. Tiles that are further apart on
-the first axis than linked vectors can be never meet. What stays is decided by the cosine of the vectors as
-they came, in double precision. Nothing is sampled or capped: turning only orders the work.
+Vectors are made unit length and turned to the axes of their second moments, largest first. They are cut into
+tiles along the first axis, and a task compares two tiles: it accumulates the product over the leading axes,
+adds the bound that the norms of what is left of both vectors allow (Cauchy-Schwarz), and gives up pairs that
+cannot reach the threshold; the others go on to the next axes. Tiles that are further apart on the first axis
+than linked vectors can be never meet. What stays is decided by the cosine of the vectors as they came, in
+double precision. Nothing is sampled or capped: turning only orders the work.
+
+What grows how: a tile has at most MOST vectors, so a vector is sent to as many tasks as there are tiles within
+reach, each time as its own components (in single precision where that loses nothing); tasks turn their tiles
+themselves. Below MOST vectors a tile is as large as the cluster's cores allow. On vectors without any structure
+all tiles are in reach: work and shuffle then grow with the square, with 1 / MOST in front of the shuffle.
 
 Vectors that are equal in all components are one vector with a count. A task returns, for each of its vectors
 with links, how many vectors it is linked with, and the edges of a spanning forest of its links; pairs aren't
@@ -21,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: Vectors of a tile, about; beyond TILES tiles they get larger instead of more.
-TILE, TILES = 4096, 2048
+#: Vectors of a tile, about: never more than MOST; no fewer than LEAST to give every core a pair of tiles.
+LEAST, MOST = 4096, 32_768
 #: Axes that are accumulated before the first, second, ... bound is taken, as shares of all.
 STEPS = (0.25, 0.5)
 BLOCK = 1024
@@ -50,11 +56,74 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"size": size, "i": np.repeat(np.arange(size), size), "j": np.tile(np.arange(size), size), "m": m.ravel()})
 
 
-def _turned(axes: dict[int, np.ndarray]):
+def _pack(vector: np.ndarray) -> bytes:
+    """The components in single precision if that is exact, else in double."""
+    single = vector.astype(np.float32)
+    return single.tobytes() if np.array_equal(single.astype(np.float64), vector) else vector.tobytes()
+
+
+def _unpack(packed: list[bytes], size: int) -> np.ndarray:
+    if all(len(x) == 4 * size for x in packed):
+        return np.frombuffer(b"".join(packed), np.float32).reshape(-1, size).astype(np.float64)
+    return np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * size else np.float64) for x in packed]).astype(np.float64)
+
+
+def _placed(axes: dict[int, np.ndarray]):
+    """Packs vectors and gives their place on the first axis."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = {size: a[:, 0] for size, a in axes.items()}
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "n": b["n"], "size": [len(u) for u in b["unit"]], "first": [float(first[len(u)] @ u) for u in b["unit"]], "vector": [_pack(np.asarray(v, np.float64)) for v in b["vector"]]})
+
+    return run
+
+
+@dataclass(frozen=True)
+class Tiles:
+    """Slabs of the first axis, and the tiles of each: one, or more by a hash of the id where equal places fill a slab."""
+
+    edges: np.ndarray
+    parts: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.parts)])
+
+    def slab(self, first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges[1:-1], first, "right")
+
+    def reached(self, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each slab the first and one past the last tile whose slab lies within reach."""
+        low = np.searchsorted(self.edges[1:], self.edges[:-1] - reach, "left")
+        high = np.searchsorted(self.edges[:-1], self.edges[1:] + reach, "right")
+        return self.starts[np.minimum(low, len(self.parts) - 1)], self.starts[np.minimum(high, len(self.parts))]
+
+
+def _slabs(tiles: Tiles):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            slab, n = np.unique(tiles.slab(b["first"].to_numpy()), return_counts=True)
+            yield pd.DataFrame({"slab": slab, "n": n})
+
+    return run
+
+
+def _meets(tiles: Tiles, reach: float):
+    """Each vector once for every pair (i, j) of tiles that its own tile is in."""
+    low, high = tiles.reached(reach)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(axes[len(u)].T @ u).astype(np.float32) for u in b["unit"]]
-            yield pd.DataFrame({"id": b["id"], "n": b["n"], "size": [len(u) for u in out], "first": [float(u[0]) for u in out], "turned": [u.tobytes() for u in out], "vector": [np.asarray(v, np.float64).tobytes() for v in b["vector"]]})
+            slab = tiles.slab(b["first"].to_numpy())
+            tile = tiles.starts[slab] + (b["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles.parts[slab]
+            step = max(1, (1 << 16) // int((high - low).max()))
+            for k in range(0, len(b), step):
+                own = slice(k, k + step)
+                times = (high - low)[slab[own]]
+                at = np.repeat(np.arange(k, k + len(times)), times)
+                other = np.concatenate([np.arange(low[s], high[s]) for s in slab[own]])
+                yield pd.DataFrame({"i": np.minimum(tile[at], other), "j": np.maximum(tile[at], other), "tile": tile[at]}).assign(**{c: b[c].to_numpy()[at] for c in ("id", "n", "size", "vector")})
 
     return run
 
@@ -105,17 +174,17 @@ def _candidates(p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray,
     return a, b
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, axes: dict[int, np.ndarray]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         rows = rows.sort_values(["size", "id"], kind="stable", ignore_index=True)
         forest, links = _Forest(len(rows)), np.zeros(len(rows), np.int64)
         tile, weight, ids = rows["tile"].to_numpy(), rows["n"].to_numpy(np.int64), rows["id"].to_numpy()
         for size, own in rows.groupby("size").indices.items():
-            turned = np.frombuffer(b"".join(rows["turned"].iloc[own]), np.float32).reshape(-1, size)
-            vector = np.frombuffer(b"".join(rows["vector"].iloc[own]), np.float64).reshape(-1, size)
+            vector = _unpack(rows["vector"].iloc[own].to_list(), size)
             vector = vector / np.abs(vector).max(1, keepdims=True)
             length = np.sqrt((vector * vector).sum(1))
+            turned = ((vector / length[:, None]) @ axes[size]).astype(np.float32)
             left, right = np.flatnonzero(tile[own] == i), np.flatnonzero(tile[own] == j)
             for s in range(0, len(left), BLOCK):
                 for t in range(s if i == j else 0, len(right), BLOCK):
@@ -139,8 +208,7 @@ def _compare(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. cosine is above 0.
 
-    The driver gets the sums of second moments (as many numbers as axes squared) and the bounds of at most
-    TILES tiles.
+    The driver gets the sums of second moments (as many numbers as axes squared) and one bound for each tile.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -158,20 +226,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, embedding: str = "e
         m = np.zeros((size, size))
         m[own["i"], own["j"]] = own["m"]
         axes[int(size)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
-    turned = written(units.mapInPandas(_turned(axes), "id bigint, n bigint, size int, first float, turned binary, vector binary"), "turned")
-    n = turned.count()
-    tiles = max(1, min(TILES, -(-n // TILE)))
-    bounds = sorted(set(turned.approxQuantile("first", [k / tiles for k in range(1, tiles)], 0.25 / tiles))) if tiles > 1 else []
+    placed = written(units.mapInPandas(_placed(axes), "id bigint, n bigint, size int, first float, vector binary"), "placed")
+    total = placed.count()
+    tiles = max(-(-total // MOST), min(-(-total // LEAST), int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))), 1)
+    bounds = sorted(set(placed.approxQuantile("first", [k / tiles for k in range(1, tiles)], 0.1 / tiles))) if tiles > 1 else []
+    slabs = Tiles(np.array([-2.0, *bounds, 2.0]), np.ones(len(bounds) + 1, np.int64))
+    held = placed.select("first").mapInPandas(_slabs(slabs), "slab int, n bigint").groupBy("slab").agg(F.sum("n").alias("n")).toPandas()
+    parts = np.ones(len(bounds) + 1, np.int64)
+    parts[held["slab"]] = -(-held["n"] // MOST)
     # Unit vectors that are linked differ by at most this on any axis.
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
-    edges = [-2.0, *bounds, 2.0]
-    apart = np.searchsorted(np.array(edges[1:]), np.array(edges[:-1]) - reach, "left") if bounds else np.zeros(1, int)
-    tile = F.size(F.filter(F.lit(bounds).cast("array<double>") if bounds else F.array().cast("array<double>"), lambda x: x <= F.col("first")))
-    lowest = F.element_at(F.lit([int(k) for k in apart]), F.col("tile") + 1)
-    highest = F.element_at(F.lit([int(np.flatnonzero(apart <= k)[-1]) for k in range(len(apart))]), F.col("tile") + 1)
-    meets = turned.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(lowest, highest)))
-    meets = meets.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    compared = written(meets.groupBy("i", "j").applyInPandas(_compare(cosine), "id bigint, links bigint, root bigint"), "compared")
+    meets = placed.mapInPandas(_meets(Tiles(slabs.edges, parts), reach), "i int, j int, tile int, id bigint, n bigint, size int, vector binary")
+    compared = written(meets.groupBy("i", "j").applyInPandas(_compare(cosine, axes), "id bigint, links bigint, root bigint"), "compared")
     degree = compared.groupBy("id").agg(F.sum("links").alias("links"))
     joined = written(components(compared.select("id", "root")), "vector-components")
     known = written(classes.join(degree, "id", "left").join(joined.toDF("id", "c"), "id", "left").select("embedding", "id", F.coalesce("links", F.lit(0)).alias("links"), "n", F.coalesce("c", "id").alias("component")), "vector-labels")
