@@ -74,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_GRAMS = ", ".join(f"({t}, {str(exact).lower()}, '{label}', {at}, {n}, '{gram}')" for t, exact, label, at, n, gram in license_diagonals.template_rows())
+
 ORACLE: dict[str, str] = {
     "op1_minhash": f"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -87,6 +89,23 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(q.y, d.doc_id)) AS component_id,
                d.doc_id <= coalesce(q.y, d.doc_id) AS kept
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN q ON q.x = d.doc_id""",
+    "op9_license_scan": rf"""
+        WITH g(template, exact, label, t_pos, t_grams, gram) AS (VALUES {_GRAMS}),
+        d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({_LOWER}, '{license_diagonals.SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT row, w, unnest(range(0, len(w) - 2)) AS pos FROM d),
+        v AS (SELECT row, pos, g.* FROM p JOIN g ON g.gram = w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3]),
+        a AS (SELECT DISTINCT row, template, exact, pos - t_pos AS diagonal FROM v),
+        j AS (SELECT *, coalesce(CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {license_diagonals.NEAR} THEN 1 ELSE 0 END, 1) AS jump FROM a),
+        s AS (SELECT row, template, diagonal, sum(jump) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM j),
+        m AS (SELECT v.row, exact, label, t_grams, count(DISTINCT t_pos) / t_grams AS share, min(pos) AS first, max(pos) AS last
+              FROM v JOIN s ON s.row = v.row AND s.template = v.template AND s.diagonal = v.pos - v.t_pos GROUP BY v.row, v.template, exact, label, t_grams, span),
+        k AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE share >= {license_diagonals.COVERED} AND last - first < t_grams + {4 * license_diagonals.NEAR} END AS good FROM m)
+        SELECT d.doc_id, len(any_value(d.w)) AS n_words, count(*) FILTER (good AND exact) AS n_base,
+               min(first) FILTER (good AND exact) AS first_word, max(first) FILTER (good AND exact) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good AND exact), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good), '') AS labels,
+               coalesce(max(share), 0.0) AS score
+        FROM d LEFT JOIN k ON k.row = d.row GROUP BY d.row, d.doc_id""",
     "op8_embeddings": """
         WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         u AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
