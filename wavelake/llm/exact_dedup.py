@@ -5,6 +5,10 @@ first reduced to one row for each digest (map-side combining, so a hot group of
 shuffled); a sort-merge anti-join with the index finds the new digests, and those are appended. Only built-in
 functions run.
 
+Recovery. Appended digests belong to an open batch until `commit`, which is called once the batch's output is
+written. Digests of a batch that was never committed count as unknown to all later batches, so a job that dies
+between the two writes loses nothing: its rerun finds the same documents new.
+
 Defined results. Text: null counts as empty; texts are equal when identical after lower-casing A-Z. Ties and
 repeated rows: of equal texts the largest doc_id stays, a null doc_id only if there is no other; rows that
 repeat the doc_id that stays count in group_size, and `deduplicate` returns one of them, the one whose
@@ -42,29 +46,40 @@ class DigestIndex:
         last = self.entries().agg(F.max("batch")).first()[0]
         self.batch = -1 if last is None else last
 
-    def indexed(self) -> DataFrame:
+    def _at(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def committed(self) -> list[int]:
+        """Numbers of the committed batches; each is an empty file beside the index."""
+        store, folder = self._at(f"{self.path}_committed")
+        return sorted(int(f.getPath().getName()) for f in store.listStatus(folder)) if store.exists(folder) else []
+
+    def commit(self, batch: int | None = None) -> None:
+        """Makes the digests of a batch, the latest by default, known to later ones. To be called when its output is written."""
+        store, file = self._at(f"{self.path}_committed/{self.batch if batch is None else batch}")
+        store.create(file, True).close()
+
+    def indexed(self, batches: list[int]) -> DataFrame:
         """The index by its buckets: joins on digest move no row of it."""
-        return self.spark.table(self.table)
+        return self.spark.table(self.table).where(F.col("batch").isin(batches))
 
     def entries(self) -> DataFrame:
         """The index as plain files: adaptive execution may split a hot digest on the other side of a join."""
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if self._exists() else self.spark.createDataFrame([], self.SCHEMA)
-
-    def _exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        store, folder = self._at(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if store.exists(folder) else self.spark.createDataFrame([], self.SCHEMA)
 
     def append(self, digests: DataFrame) -> int:
-        """Adds the digests (digest, doc_id) that the index lacks, and returns the number of the batch."""
+        """Adds the digests (digest, doc_id) that committed batches lack as an open batch, and returns its number."""
         self.batch += 1
         # Written, because the optimiser would move the anti-join before the aggregation, to rows that a hot digest gathers.
         groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
-        new = groups.join(self.indexed().select("digest").hint("merge"), "digest", "left_anti")
+        new = groups.join(self.indexed(self.committed()).select("digest").hint("merge"), "digest", "left_anti")
         new.withColumn("batch", F.lit(self.batch)).repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         return self.batch
 
     def forget(self) -> None:
-        """Drops the catalogue's entry; the files stay for a later session."""
+        """Drops the catalogue's entry; the files stay, for DataFrames made of them and for a later session."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
@@ -72,29 +87,38 @@ def label(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index of earlier batches, keep_id may name a document of an earlier batch, and group_size counts
-    the rows of the batch that brought the digest.
+    the rows of the batch that brought the digest. Call index.commit() when the result is written; without an
+    index the batch is the only one.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession)
     rows = written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), digest_of(F.col(text)).alias("digest")), "digested")
-    batch = index.append(rows)
-    known = index.entries().withColumnRenamed("batch", "known_batch")
-    return rows.join(known, "digest").select("doc_id", "keep_id", "group_size", ((F.col("known_batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    earlier = own.committed()
+    batch = own.append(rows)
+    known = own.entries().where(F.col("batch").isin([*earlier, batch])).withColumnRenamed("batch", "known_batch")
+    out = rows.join(known, "digest").select("doc_id", "keep_id", "group_size", ((F.col("known_batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if index is None:
+        own.forget()
+    return out
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents whose text is new, one for each text, with the columns of docs.
 
-    One row for each digest leaves each map task; the whole row travels as one struct.
+    One row for each digest leaves each map task; the whole row travels as one struct. Call index.commit() when
+    the result is written; without an index the batch is the only one.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession)
     columns = docs.columns
     named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in reversed(list(enumerate(columns)))}
     digested = named.withColumn("digest", digest_of(F.col(at[text])))
-    batch = index.append(written(digested.select("digest", F.col(at[doc_id]).cast("bigint").alias("doc_id")), "digested"))
+    batch = own.append(written(digested.select("digest", F.col(at[doc_id]).cast("bigint").alias("doc_id")), "digested"))
     sortable = [f"c{i}" for i, field in enumerate(docs.schema.fields) if not field.dataType.simpleString().count("map<") and f"c{i}" not in (at[doc_id], at[text])]
     order = F.struct(F.col(at[doc_id]), *[F.col(c) for c in sortable])
     whole = digested.groupBy("digest").agg(F.max_by(F.struct(*named.columns), order).alias("row"))
-    fresh = index.indexed().where(F.col("batch") == batch).select("digest")
-    # An inner join stays after the aggregation; the index has each digest once.
-    return whole.join(fresh.hint("merge"), "digest").select("row.*").toDF(*columns)
+    fresh = own.indexed([batch]).select("digest")
+    # An inner join stays after the aggregation; a batch has each digest once.
+    out = whole.join(fresh.hint("merge"), "digest").select("row.*").toDF(*columns)
+    if index is None:
+        own.forget()
+    return out
