@@ -1,20 +1,27 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source gets a target number of words. A source repeats all of its documents as often as the target
-allows, and fits what remains of the budget exactly: documents are counted by exact length, most of the budget
-is shared over the lengths in proportion, and a bounded-knapsack dynamic programme over the counts that are
-left closes the gap. Which documents of a length are taken is decided by a seeded hash of doc_id.
+allows, and fits what remains of the budget: documents are counted by exact length, the budget is shared over
+all lengths in proportion to their counts (rounded at places that a seed shifts, so every length is as likely as
+any other), some of the chosen documents are given back, and a bounded-knapsack dynamic programme over the
+counts closes that last gap of a few thousand words. Which documents of a length are taken is decided by a
+seeded hash of doc_id.
+
+The total is the nearest one to the budget, above or below it, that documents of the source can make, whenever
+the gap can be closed exactly within ROOMS words; it nearly always can, as lengths have no common divisor but
+one that is taken out first. If all the source's words are fewer than the largest room, it always is.
 
 Defined results. A null text has size 0, as an empty one; such documents are taken 0 times more than their
 source's full repeats, which adds no words. A null source is a source of its own, the last one. Repeated rows
 and rows with the same doc_id are documents of their own; ties of the seeded hash are broken by doc_id, and
-rows that are equal in both are interchangeable. Long texts are counted whole. An empty table gives an empty
+then by the text, so a rerun takes the same documents however the
+input is cut; rows that are equal in all are interchangeable. Long texts are counted whole. An empty table gives an empty
 result. Other columns, whatever their names, don't matter to `plan` and are returned by `mix`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,8 +37,10 @@ MOST_REPEATS = 3
 BROADCAST_SOURCES = 10_000
 #: Documents of one source and length that are ranked together.
 RANKED_TOGETHER = 512
-#: Words that the dynamic programme covers at most; the greedy part before it leaves less than the longest length beyond this.
-DP_WORDS = 1 << 15
+#: Words that are left to the dynamic programme; the next room is tried if the budget isn't met exactly.
+ROOMS = (1 << 12, 1 << 14, 1 << 16)
+#: Bits that one run of the dynamic programme keeps at most; lengths beyond are left as they are.
+DP_BITS = 1 << 31
 
 
 def size_of(text: Column) -> Column:
@@ -61,54 +70,87 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3),
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come to budget or as near to it as found.
+def _shares(counts: np.ndarray, share: float, shift: float) -> np.ndarray:
+    """counts times share in whole numbers, rounded so that every stretch of lengths gets its part to within one."""
+    ends = np.floor(np.cumsum(counts) * share + shift)
+    return np.minimum(np.diff(ends, prepend=np.floor(shift)).astype(np.int64), counts)
 
-    lengths: distinct, positive, ascending. Proportional shares first, then the longest that fit, then an
-    exact bounded knapsack over a stretch of at most DP_WORDS words with what is left of each length.
-    """
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    take = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    left = budget - int((take * lengths).sum())
-    for i in range(len(lengths) - 1, -1, -1):
-        if left <= DP_WORDS // 2:
-            break
-        n = min(int(counts[i] - take[i]), max(0, left - DP_WORDS // 4) // int(lengths[i]))
-        take[i] += n
-        left -= n * int(lengths[i])
-    if left <= 0:
-        return take
-    most = left + int(lengths[0])
-    reach, steps, within = 1, [], (1 << (most + 1)) - 1
-    for i in range(len(lengths)):
-        n, size = int(counts[i] - take[i]), int(lengths[i])
-        if size > most or reach >> left & 1:
+
+def _subset_sum(lengths: np.ndarray, counts: np.ndarray, goal: int, order: np.ndarray) -> tuple[int, np.ndarray]:
+    """The sum nearest to goal that counts of lengths make, and how many of each length make it."""
+    most = goal + int(lengths.max())
+    within, reach, steps, take = (1 << (most + 1)) - 1, 1, [], np.zeros_like(counts)
+    for i in order:
+        size = int(lengths[i])
+        n, part = min(int(counts[i]), most // size), 1
+        if reach >> goal & 1 or len(steps) * most > DP_BITS:
             break
-        n, part = min(n, most // size), 1
         while n > 0:
             k = min(part, n)
-            steps.append((i, k, reach))
+            steps.append((int(i), k, reach))
             reach |= (reach << (k * size)) & within
             n, part = n - k, part * 2
-    at, above = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1, reach >> (left + 1)
-    over = left + (above & -above).bit_length() if above else None
-    if over is not None and over - left < left - at:
+    at, above = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1, reach >> (goal + 1)
+    over = goal + (above & -above).bit_length() if above else None
+    if over is not None and over - goal < goal - at:
         at = over
+    total = at
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k
             at -= k * int(lengths[i])
-    return take
+    return total, take
+
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int | Sequence[int] = 17) -> np.ndarray:
+    """How many documents of each length to take, so that their words come as near to budget as they can.
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
+    lengths: distinct, positive, ascending.
+    """
+    words = int((lengths * counts).sum())
+    if budget >= words or not words:
+        return counts.copy()
+    random = np.random.default_rng(seed)
+    unit = int(np.gcd.reduce(lengths))
+    lengths, words, goal = lengths // unit, words // unit, (2 * budget + unit) // (2 * unit)
+    shared = _shares(counts, goal / words, random.random())
+    order, best = random.permutation(len(lengths)), None
+    for room in ROOMS:
+        take = shared.copy()
+        left = goal - int((take * lengths).sum())
+        if words <= room:
+            take[:], left = 0, goal
+        # Too much is given back, then room is made; too little is filled up. Each in the seed's order of lengths.
+        while left < 0 or left < min(room, goal):
+            given = [i for i in order if take[i] and (left < 0 or lengths[i] <= room - left)]
+            if not given:
+                break
+            for i in given:
+                if take[i] and left < min(room, goal) and (left < 0 or lengths[i] <= room - left):
+                    take[i] -= 1
+                    left += int(lengths[i])
+        while left > room:
+            fits = [i for i in order if take[i] < counts[i] and lengths[i] <= left - room // 2]
+            if not fits:
+                break
+            for i in fits:
+                if lengths[i] <= left - room // 2:
+                    take[i] += 1
+                    left -= int(lengths[i])
+        total, more = _subset_sum(lengths, counts - take, left, order)
+        if best is None or abs(total - left) < best[0]:
+            best = abs(total - left), take + more
+        if not best[0]:
+            break
+    return best[1]
+
+
+def _fit_source(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     rows = rows.sort_values("size", ignore_index=True)
     lengths, counts = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     some = lengths > 0
     take = np.zeros(len(rows), np.int64)
-    take[some] = fit(lengths[some], counts[some], int(rows["budget"].iloc[0]))
+    take[some] = fit(lengths[some], counts[some], int(rows["budget"].iloc[0]), [seed, int(rows["source_index"].iloc[0])])
     return rows.assign(extra=take)[["source_index", "size", "n", "extra"]]
 
 
@@ -120,7 +162,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17,
     """
     spark = docs.sparkSession
     number = F.monotonically_increasing_id() if uid is None else F.col(uid)
-    sized = written(docs.select(number.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "sized")
+    sized = written(docs.select(number.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash")), "sized")
     totals = {r[0]: int(r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(totals, weights)
     rows = []
@@ -131,7 +173,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17,
     bounded = F.broadcast if len(rows) <= BROADCAST_SOURCES else lambda df: df
     placed = sized.join(bounded(by_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     counted = placed.groupBy("source_index", "size", "budget").agg(F.count("*").alias("n"))
-    fitted = written(counted.groupBy("source_index").applyInPandas(_fit_source, "source_index int, size bigint, n bigint, extra bigint"), "fitted")
+    fitted = written(counted.groupBy("source_index").applyInPandas(lambda rows: _fit_source(rows, seed), "source_index int, size bigint, n bigint, extra bigint"), "fitted")
     # A length with very many documents is ranked in parts; the parts are filled in their order.
     hashed = F.xxhash64(F.lit(seed), "doc_id")
     parts = written(placed.join(fitted, ["source_index", "size"]).withColumn("h", hashed).withColumn("part", F.pmod("h", F.ceil(F.col("n") / RANKED_TOGETHER))), "parts")
@@ -139,7 +181,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17,
     key = ["source_index", "size", "part"]
     before = Window.partitionBy("source_index", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = split.groupBy(*key, "extra").agg(F.count("*").alias("m")).withColumn("quota", F.col("extra") - F.coalesce(F.sum("m").over(before), F.lit(0)))
-    chosen = split.join(written(quota.where("quota > 0").select(*key, "quota"), "quota"), key).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id", "uid"))).where("rank <= quota").select("uid", F.lit(1).alias("picked"))
+    chosen = split.join(written(quota.where("quota > 0").select(*key, "quota"), "quota"), key).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id", "text_hash", "uid"))).where("rank <= quota").select("uid", F.lit(1).alias("picked"))
     times = F.col("full") + F.when(F.col("extra") >= F.col("n"), 1).otherwise(F.coalesce("picked", F.lit(0)))
     return parts.join(chosen, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("int").alias("times"))
 
@@ -157,8 +199,3 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     chosen = plan(numbered, uid=name, **options).where("taken > 0").select(F.col("uid").alias(name), F.col("times").alias(f"{name}times"))
     joined = numbered.join(chosen, name)
     return joined.withColumn(f"{name}n", F.explode(F.sequence(F.lit(1), F.col(f"{name}times")))).select(*docs.columns)
-
-
-def spread(texts: Iterator[str]) -> list[int]:
-    """Sizes of texts by the same rule, for tests and small reports."""
-    return [len((t or "").encode().split()) for t in texts]
