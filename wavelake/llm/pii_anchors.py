@@ -10,9 +10,11 @@ check are dropped and not tried again:
   ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+), parts at most 255
   card   [0-9]([\\x20-]?[0-9])+, 14 to 19 digits that pass Luhn's check
   phone  \\+[0-9][\\x20().0-9-]+[0-9], 10 to 15 digits
-Two more kinds are added: uri (mailto:, tel: and sip: addresses, and http(s) and ftp addresses with user data
+Three more kinds are added: uri (mailto:, tel: and sip: addresses, and http(s) and ftp addresses with user data
 before an at-sign) and account (a cue such as IBAN or account number, then an identifier of 6 to 34 letters
-and digits with at least 5 digits; IBANs must pass their check digits).
+and digits with at least 5 digits; IBANs must pass their check digits), and secret: what a cue such as token, api
+key or secret assigns with an equals sign or colon, if it has 16 characters or more, letters and digits; the
+same for passwords from 8 characters of two classes on; bearer tokens; and private keys in PEM, to their end.
 
 Defined results. A null text counts as empty and has no spans. Offsets count code points, ends are exclusive.
 Spans are sorted by start, then by kind as listed above; spans of different kinds may overlap. Texts are read
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .textbatch import map_texts
 
-KINDS = ("email", "ip", "card", "phone", "uri", "account")
+KINDS = ("email", "ip", "card", "phone", "uri", "account", "secret")
 BASE = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
@@ -39,6 +41,14 @@ DIGIT = frozenset("0123456789")
 DIALLED = frozenset(" ().0123456789-")
 SCHEMES = ("mailto:", "tel:", "sip:", "http://", "https://", "ftp://")
 CUES = ("iban", "account number", "account no", "acct no", "passport number", "passport no", "social security number", "ssn")
+#: Words that name a secret, and those that name a password.
+TOKENS = ("token", "secret", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "secret key", "secret_key", "auth key", "auth_key", "private key", "private_key", "client_secret", "credential", "credentials")
+PASSWORDS = ("password", "passwd", "passphrase", "pwd")
+PEM = "-----BEGIN "
+_ASSIGNED = re.compile(r"[\"'`\])]{0,2}[ \t]{0,4}(?:=>|:=|==?|:)[ \t]{0,4}[\"'`]?([^\s\"'`<>,;]{8,512})")
+_BEARER = re.compile(r"[ \t]{1,2}([A-Za-z0-9._~+/-]{16,4096}=*)")
+_PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_PEM_TAIL = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 _END_OF_URI = re.compile(r"[^\s<>\"'`|{}\\^]+")
 _IDENTIFIER = re.compile(r"[ \t]{0,2}(?:is|[.:#=])?[ \t]{0,2}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
 
@@ -54,6 +64,11 @@ def automaton() -> ahocorasick.Automaton:
     for s in CUES:
         for cased in {s, s.upper(), s.capitalize(), s.title()}:
             a.add_word(cased, ("cue", len(s)))
+    for words, what in ((TOKENS, "token"), (PASSWORDS, "password"), (("bearer",), "bearer")):
+        for s in words:
+            for cased in {s, s.upper(), s.capitalize(), s.title()}:
+                a.add_word(cased, (what, len(s)))
+    a.add_word(PEM, ("pem", len(PEM)))
     a.make_automaton()
     return a
 
@@ -77,6 +92,7 @@ class _Scan:
     def __init__(self, text: str):
         self.text, self.n = text, len(text)
         self.spans: list[tuple[int, int, int]] = []
+        self.tail: tuple[int, int] | None = None
         self.email_end = self.phone_end = self.run_end = self.dots_end = self.uri_end = 0
 
     def email(self, at: int) -> None:
@@ -177,6 +193,30 @@ class _Scan:
             self.spans.append((found.start(1), 5, found.start(1) + len(first)))
 
 
+    def secret(self, what: str, start: int, here: int) -> None:
+        text = self.text
+        if (start and text[start - 1].isalnum()) or (here < self.n and text[here].isalnum()):
+            return
+        found = (_BEARER if what == "bearer" else _ASSIGNED).match(text, here)
+        if not found:
+            return
+        value = found[1].rstrip(".:!?)]}")
+        digit, lower, upper = (any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper))
+        if what == "password":
+            good = len(value) >= 8 and digit + lower + upper + (not value.isalnum()) >= 2
+        else:
+            good = len(value) >= 16 and digit and (lower or upper)
+        if good and "://" not in value:
+            self.spans.append((found.start(1), 6, found.start(1) + len(value)))
+
+    def pem(self, start: int) -> None:
+        if head := _PEM_HEAD.match(self.text, start):
+            if self.tail is None or self.tail[0] < head.end():
+                tail = _PEM_TAIL.search(self.text, head.end())
+                self.tail = tail.span() if tail else (self.n, 0)
+            self.spans.append((start, 6, max(head.end(), self.tail[1])))
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span of a text."""
     scan = _Scan(text)
@@ -190,16 +230,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
             scan.phone(last)
         elif what == "scheme":
             scan.scheme(last + 1 - size, last + 1)
-        else:
+        elif what == "cue":
             scan.cue(last + 1 - size, last + 1)
+        elif what == "pem":
+            scan.pem(last + 1 - size)
+        else:
+            scan.secret(what, last + 1 - size, last + 1)
     return [(KINDS[k], a, b) for a, k, b in sorted(set(scan.spans))]
 
 
 def _rows(keys: list, texts: list[str]) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": keys} | {f"n_{k}": [] for k in KINDS[:BASE]} | {"base_sha256": [], "spans": []}
+    out: dict[str, list] = {"doc_id": keys} | {f"n_{k}": [] for k in KINDS[:BASE]} | {"base_sha256": [], "spans": []} | {f"n_{k}": [] for k in KINDS[BASE:]} | {"n_spans": []}
     for text in texts:
         spans = find(text)
-        for k in KINDS[:BASE]:
+        out["n_spans"].append(len(spans))
+        for k in KINDS:
             out[f"n_{k}"].append(sum(s[0] == k for s in spans))
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k in KINDS[:BASE])
         out["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
@@ -208,5 +253,5 @@ def _rows(keys: list, texts: list[str]) -> dict[str, list]:
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of every document; nothing is shuffled."""
-    return map_texts(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", _rows)
+    """doc_id, counts of the base kinds, base_sha256, spans and counts of the other kinds and of all; nothing is shuffled."""
+    return map_texts(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_uri bigint, n_account bigint, n_secret bigint, n_spans bigint", _rows)
