@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from wavelake import file_queries  # noqa: F401
 from wavelake import queries as Q
 
 SF = "/root/testdata/sf0.001"

@@ -160,6 +160,12 @@ def onset_ticks(points: DataFrame, records: DataFrame) -> DataFrame:
     return points.join(records.select("path", "record_index", "onset_ticks"), ["path", "record_index"], "left")
 
 
+def gap_before(points: DataFrame, found: DataFrame) -> DataFrame:
+    """Each (path, record_index) with the gap that ends where that record starts; null where none does."""
+    ends = gaps(found).join(found.select("path", F.col("segment_index").alias("after_segment_index"), F.col("record_start").alias("record_index")), ["path", "after_segment_index"])
+    return points.join(ends, ["path", "record_index"], "left")
+
+
 def sample_start_ticks(samples: DataFrame, found: DataFrame, samples_per_record: int, duration_ticks: int) -> DataFrame:
     """start_ticks of (path, sample_index) on the recording's axis, from the true start of its segment."""
     runs = found.select("path", F.col("record_start").alias("run_first"), F.col("record_count").alias("run_count"), F.col("start_ticks").alias("_begin"))

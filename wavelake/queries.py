@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .operators import triggers as G
 from .plans import adapters as X
 from .plans.adapters import D, MINUTE, S
 from .recording import register
+from .sources.bytesource import open_source
+from .sources.header import Header, read_header
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,11 +186,35 @@ def out_of_range_count(spark, d):
 
 
 # -- files -----------------------------------------------------------------------------------------------------
-def _read(spark: SparkSession, d: str, kind: str, mode: str = "blocks", **options) -> DataFrame:
-    folder = X.archive(spark, d, kind, {"edf": X.edf, "gaps": X.edf_gaps, "bdf": X.bdf, "notes": X.edf_notes}[kind])
+KINDS = {"edf": X.edf, "gaps": X.edf_gaps, "bdf": X.bdf, "notes": X.edf_notes, "late": X.edf_late}
+
+
+def _read(spark: SparkSession, d: str, kind: str, mode: str = "blocks", at: str | None = None, **options) -> DataFrame:
+    """A mode of an archive, by its folder or at the paths given."""
+    folder = at or X.archive(spark, d, kind, KINDS[kind])
     return register(spark).read.format("biosignal").options(path=folder, mode=mode, **options).load()
 
 
+def per_file(files: DataFrame, rows: Callable[[str, object, Header], list[tuple]], schema: str) -> DataFrame:
+    """path and the columns of schema that rows(path, source, header) gives for each file of files, by tasks."""
+    columns = ["path", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                source = open_source(path)
+                try:
+                    yield pd.DataFrame([(path, *r) for r in rows(path, source, read_header(source))], columns=columns)
+                finally:
+                    source.close()
+
+    return files.select("path").mapInPandas(run, f"path string, {schema}")
+
+
+#: The files of an archive with their numbers of samples and records, for DuckDB.
+FL = f"fl AS (SELECT event_id // {S * X.FILE_RECORDS} AS file, count(*) AS n, CAST(ceil(count(*) / {S}.0) AS BIGINT) AS records FROM events GROUP BY 1)"
+
+
 def _global(column: str) -> Column:
     return F.col(column) + X.file_part(F.col("path")) * (S * X.FILE_RECORDS)
 
@@ -216,7 +243,7 @@ def bdf_roundtrip_samples(spark, d):
 
 @query(f"WITH {EV} SELECT event_id AS sample_index, bv * (655.35::DOUBLE / bv - 32767 + (digital - 32768)) AS physical FROM ev, (SELECT 655.35::DOUBLE / 65535 AS bv)")
 def edf_roundtrip_physical(spark, d):
-    s = F.broadcast(_read(spark, d, "edf", "headers").select("path", F.col("signals")[0]["scale"].alias("s")))
+    s = _read(spark, d, "edf", "headers").select("path", F.col("signals")[0]["scale"].alias("s"))
     rows = _samples(_read(spark, d, "edf", signals="EEG value")).join(s, "path")
     return _whole(spark, d, rows.select(_global("sample_index").alias("sample_index"), SA.physical(F.col("digital"), F.col("s.bit_value"), F.col("s.offset")).alias("physical")))
 
@@ -236,20 +263,20 @@ def signals_listing(spark, d):
     return s.groupBy("signal_index", "label", "kind", F.col("samples_per_record").cast("int").alias("samples_per_record"), "sample_rate_hz", "unit").agg(F.sum("sample_count").alias("sample_count"))
 
 
-@query("SELECT * FROM (VALUES ('exact', 0), ('pattern', 0), ('pattern', 1), ('status', 1)) v(lookup, signal_index)")
+@query(f"WITH {FL} SELECT file, lookup, signal_index FROM fl, (VALUES ('exact', 0), ('pattern', 0), ('pattern', 1), ('status', 1)) v(lookup, signal_index)")
 def signal_lookup(spark, d):
-    from .recording import find_signals, match_signals, open_recording, status_signal
+    """Signals of every file by label, pattern and status."""
+    from .recording import find_signals, match_signals, status_signal
 
-    plain = open_recording(spark, _first(spark, d, "edf")).header
-    other = open_recording(spark, _first(spark, d, "bdf")).header
-    rows = [("exact", s.index) for s in find_signals(plain, "EEG value")] + [("pattern", s.index) for s in match_signals(plain, "^EEG")] + [("status", status_signal(other).index)]
-    return spark.createDataFrame(rows, "lookup string, signal_index int")
+    plain = per_file(_read(spark, d, "edf", "headers"), lambda path, source, h: [("exact", s.index) for s in find_signals(h, "EEG value")] + [("pattern", s.index) for s in match_signals(h, "^EEG")], "lookup string, signal_index int")
+    status = per_file(_read(spark, d, "bdf", "headers"), lambda path, source, h: [("status", status_signal(h).index)], "lookup string, signal_index int")
+    return _file(plain.union(status), "lookup", "signal_index")
 
 
 def _first(spark: SparkSession, d: str, kind: str) -> str:
     import os
 
-    folder = X.archive(spark, d, kind, {"edf": X.edf, "gaps": X.edf_gaps, "bdf": X.bdf, "notes": X.edf_notes}[kind])
+    folder = X.archive(spark, d, kind, KINDS[kind])
     return os.path.join(folder, sorted(os.listdir(folder))[0])
 
 
@@ -281,18 +308,26 @@ def window_across_gap(spark, d):
     return _samples(blocks).join(blocks.select("record_index", "run_id"), "record_index").select("sample_index", "digital", "run_id")
 
 
-@query("SELECT 0::BIGINT AS n")
+@query(f"""WITH r AS (SELECT DISTINCT event_id // {S} AS record_index FROM events WHERE event_id < {S * X.FILE_RECORDS}), w AS (SELECT * FROM (VALUES (22, 5), (15, 10), (28, 2), (0, 40)) v(begin, length))
+SELECT begin, length, (SELECT count(*) FROM r WHERE record_index + 10 * (record_index // 20) < begin + length AND record_index + 10 * (record_index // 20) + 1 > begin) AS n FROM w""")
 def window_in_gap(spark, d):
+    """Windows of a recording inside a gap, into one, at the end of one and across one; a gap gives no records."""
     r = _open(spark, d, "gaps")
     r.build_index()
-    return r.read_window(22, 5, [0]).agg(F.count("*").alias("n"))
+    found = None
+    for begin, length in ((22, 5), (15, 10), (28, 2), (0, 40)):
+        one = r.read_window(begin, length, [0]).agg(F.count("*").alias("n")).select(F.lit(begin).alias("begin"), F.lit(length).alias("length"), "n")
+        found = one if found is None else found.union(one)
+    return found
 
 
-@query(f"""WITH r AS (SELECT DISTINCT event_id // {S} AS record_index FROM events WHERE event_id < {S * X.FILE_RECORDS})
-SELECT CAST(record_index // 20 AS INTEGER) AS segment_index, min(record_index) AS record_start, count(*) AS record_count, min(record_index + 10 * (record_index // 20)) * {D} AS start_ticks FROM r GROUP BY 1""")
+@query(f"""WITH r AS (SELECT DISTINCT event_id // {S * X.FILE_RECORDS} AS file, event_id % {S * X.FILE_RECORDS} // {S} AS record_index FROM events),
+g AS (SELECT file, record_index // 20 AS k, min(record_index) AS record_start, max(record_index) + 1 AS stop FROM r GROUP BY 1, 2)
+SELECT file, count(*) AS segments, sum(stop - record_start) AS records, max(record_start + 10 * k) * {D} AS last_start_ticks FROM g GROUP BY file""")
 def segments_of_file(spark, d):
-    r = _open(spark, d, "gaps")
-    return L.segments(r.records(), D, 0).select("segment_index", "record_start", "record_count", "start_ticks")
+    """What the index of each recording holds."""
+    found = L.segments(_read(spark, d, "gaps", "records"), D)
+    return _file(found.groupBy("path").agg(F.count("*").alias("segments"), F.sum("record_count").alias("records"), F.max("start_ticks").alias("last_start_ticks")), "segments", "records", "last_start_ticks")
 
 
 @query(f"""WITH {EV} SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'E' || event_id % 7 END AS channel_label, event_type AS text, (event_id % {S * X.FILE_RECORDS}) * {D // S} AS onset_ticks,
@@ -302,19 +337,26 @@ def annotations_roundtrip(spark, d):
     return a.select((K.div(F.col("onset_ticks"), F.lit(D // S)) + X.file_part(F.col("path")) * (S * X.FILE_RECORDS)).alias("event_id"), "channel_label", "text", "onset_ticks", "duration_ticks")
 
 
-@query(f"""WITH {EV}, w AS (SELECT event_id, CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END AS epoch, k // 10 AS trigger FROM ev WHERE event_id < {S * X.FILE_RECORDS}),
-p AS (SELECT *, lag(trigger) OVER (ORDER BY event_id) AS b FROM w), i AS (SELECT * FROM p WHERE event_id >= 250 AND event_id < 750)
-SELECT event_id AS sample_index, event_id * {D // S} AS ticks, trigger, epoch = 1 AS new_epoch FROM i WHERE trigger <> b OR event_id = (SELECT min(event_id) FROM i)""")
+@query(f"""WITH {EV}, w AS (SELECT event_id // {S * X.FILE_RECORDS} AS file, event_id % {S * X.FILE_RECORDS} AS pos, k % 2 = 1 AS new_epoch, k // 10 AS trigger FROM ev),
+z AS (SELECT file, n AS pos, false AS new_epoch, 0 AS trigger FROM (SELECT file, max(pos) + 1 AS n FROM w GROUP BY 1) WHERE n % {S} > 0),
+p AS (SELECT *, lag(trigger) OVER (PARTITION BY file ORDER BY pos) AS b FROM (SELECT * FROM w UNION ALL SELECT * FROM z))
+SELECT file, pos AS sample_index, pos * {D // S} AS ticks, CAST(trigger AS INTEGER) AS trigger, new_epoch FROM p WHERE b IS NULL OR trigger <> b""")
 def triggers_file(spark, d):
-    return _open(spark, d, "bdf").triggers(2.5, 5).select("sample_index", "ticks", "trigger", "new_epoch")
+    """Triggers of every recording, whole; the last record is padded with zeros."""
+    blocks = _read(spark, d, "bdf", signals="Status").withColumn("run_id", F.lit(0))
+    rows = SA.explode(blocks, {1: S}, D).withColumn("run_id", F.lit(0))
+    return _file(G.triggers(rows), "sample_index", "ticks", "trigger", "new_epoch")
 
 
-@query(f"""WITH {EV}, n AS (SELECT *, max(event_id) OVER () + 1 AS total FROM ev WHERE event_id < 30 * {S})
-SELECT CAST(event_id * 64 // total AS INTEGER) AS bucket, min(digital) - 32768 AS min, max(digital) - 32768 AS max, count(*) AS count FROM n GROUP BY 1""")
+@query(f"""WITH {EV}, f AS (SELECT event_id // {S * X.FILE_RECORDS} AS file, event_id % {S * X.FILE_RECORDS} AS pos, CAST(user_id % 30000 AS INTEGER) AS v FROM ev),
+t AS (SELECT file, count(*) AS n, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} AS total FROM f GROUP BY 1),
+p AS (SELECT * FROM f UNION ALL SELECT file, unnest(range(n, total)), 0 FROM t)
+SELECT file, CAST(least(pos * {D // S} // 77777777, CAST(ceil(total * {D // S}::DOUBLE / 77777777) AS BIGINT) - 1) AS INTEGER) AS bucket, min(v) AS min, max(v) AS max, count(*) AS count FROM p JOIN t USING (file) GROUP BY 1, 2""")
 def envelope_file(spark, d):
-    """The first thirty seconds, or all if there are fewer; every record of the archive's first file is padded whole."""
-    r = _open(spark, d, "edf")
-    return r.envelope(0, min(30, r.header.record_count), [0], 64).select("bucket", "min", "max", "count")
+    """Each recording's whole span in buckets of a fixed width; the last record is padded with zeros."""
+    blocks = _read(spark, d, "edf", signals="EEG user").withColumn("run_id", F.lit(0)).withColumn("first_position", F.col("first_sample_index"))
+    runs = _read(spark, d, "edf", "headers").select("path", F.ceil(F.col("record_count") * D / F.lit(77_777_777)).alias("buckets"))
+    return _file(E.fold_blocks(blocks.join(runs, "path"), F.lit(D), F.lit(77_777_777 * S), F.col("buckets")), "bucket", "min", "max", "count")
 
 
 @query(f"""WITH {EV} SELECT 0 AS signal_index, count(*) AS sample_count, min(digital) - 32768 AS lo, max(digital) - 32768 AS hi, 0::BIGINT AS out_of_range FROM ev
@@ -324,31 +366,35 @@ def signal_stats(spark, d):
     return s.groupBy("signal_index").agg(F.sum("sample_count").alias("sample_count"), F.min("observed_digital_min").alias("lo"), F.max("observed_digital_max").alias("hi"), F.sum("out_of_range_count").alias("out_of_range"))
 
 
-@query(f"WITH {EV} SELECT count(*) AS n, CAST(sum(digital - 32768) AS BIGINT) AS total FROM ev WHERE event_id < {10 * S}")
+@query(f"WITH {EV} SELECT event_id // {S * X.FILE_RECORDS} AS file, CAST(ceil(count(*) / {S}.0) AS BIGINT) AS records, CAST(sum(user_id % 30000) AS BIGINT) AS total, count(*) FILTER (WHERE user_id % 30000 > 32000) AS out_of_range FROM ev GROUP BY 1")
 def merge_chunks(spark, d):
-    r = _open(spark, d, "edf")
-    parts = r.blocks([0], 0, 4).union(r.blocks([0], 4, 6))
-    return SA.merge(parts, D).select(F.size("digital").cast("bigint").alias("n"), F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+    """Chunks of seven records of every recording, each read by itself and all merged again."""
+    chunks = [_read(spark, d, "edf", signals="EEG user").where(K.div(F.col("record_index"), F.lit(7)) % 3 == k) for k in range(3)]
+    merged = SA.merge(chunks[0].union(chunks[1]).union(chunks[2]), D)
+    total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return _file(merged, F.col("record_count").alias("records"), total.alias("total"), F.col("out_of_range_count").alias("out_of_range"))
 
 
-@query(f"WITH {EV} SELECT event_id AS sample_index, digital - 32768 AS digital FROM ev WHERE event_id < {10 * S}")
+@query(f"WITH {EV} SELECT event_id AS sample_index, CAST(user_id % 30000 AS INTEGER) AS digital FROM ev")
 def stream_equals_window(spark, d):
-    r = _open(spark, d, "edf")
-    rows = [(b["first_sample_index"] + i, v) for chunk in r.stream_records(0, 10, [0], 3) for b in chunk for i, v in enumerate(b["digital"])]
-    return spark.createDataFrame(rows, "sample_index bigint, digital int")
+    """Every recording as a stream in chunks of 17 records."""
+    from .streaming.chunks import stream_files
+
+    rows = _samples(stream_files(_read(spark, d, "edf", "headers"), "EEG user", 17), (1,))
+    return _whole(spark, d, rows.select(_global("sample_index").alias("sample_index"), "digital"))
 
 
-@query("SELECT * FROM (VALUES ('edf', true, 1, 0, 0), ('gaps', true, 1, 0, 0), ('bdf', true, 1, 0, 0)) v(kind, ok, info, warning, error)")
+@query(f"""WITH {FL} SELECT kind, code, severity, CAST(per * (SELECT count(*) FROM fl) AS BIGINT) AS n FROM (VALUES ('edf', 'DATE_CLIPPED_TO_1985_2084', 'info', 1), ('gaps', 'DATE_CLIPPED_TO_1985_2084', 'info', 1),
+('bdf', 'DATE_CLIPPED_TO_1985_2084', 'info', 1), ('bdf', 'LABEL_CONVENTION_NONCONFORMANT', 'warning', 2)) v(kind, code, severity, per)""")
 def validate_summary(spark, d):
-    from .diagnostics import summarize
-    from .operators.validate import validate
+    """Findings in all recordings of each kind, by code; every file is validated by a task."""
+    from .operators.validate import validate_files
 
-    rows = []
+    found = None
     for kind in ("edf", "gaps", "bdf"):
-        report = validate(_open(spark, d, kind), scan_samples=True)
-        found = summarize(x for x in report["diagnostics"] if not x.code.startswith("LABEL_"))
-        rows.append((kind, report["ok"], found["info"], found["warning"], found["error"]))
-    return spark.createDataFrame(rows, "kind string, ok boolean, info int, warning int, error int")
+        rows = validate_files(lambda mode, kind=kind: _read(spark, d, kind, mode), D).groupBy("code", "severity").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "code", "severity", "n")
+        found = rows if found is None else found.union(rows)
+    return found
 
 
 # -- archives: the same operators over every record of every file -------------------------------------------------
@@ -453,30 +499,48 @@ def _damaged() -> list[tuple[str, bytes]]:
     ]
 
 
-@query("""SELECT * FROM (VALUES ('good', NULL), ('short', 'SOURCE_TOO_SMALL'), ('no header', 'SOURCE_TOO_SMALL'), ('not one', 'NOT_AN_EDF_FILE'), ('no signals', 'SIGNAL_COUNT_INVALID'),
+#: The codes of each fault in order of the list above, after the note on the two-digit year that every header with a date has.
+_CODES = """('good', NULL), ('short', 'SOURCE_TOO_SMALL'), ('no header', 'SOURCE_TOO_SMALL'), ('not one', 'NOT_AN_EDF_FILE'), ('no signals', 'SIGNAL_COUNT_INVALID'),
 ('comma', 'COMMA_DECIMAL_SEPARATOR'), ('text', 'NUMERIC_FIELD_INVALID'), ('no samples', 'RECORD_SIZE_ZERO'), ('no samples', 'ZERO_SAMPLES_PER_RECORD'), ('truncated', 'TRUNCATED_FILE'), ('partial', 'TRUNCATED_FILE'), ('partial', 'PARTIAL_FINAL_RECORD'),
 ('trailing', 'TRAILING_BYTES'), ('open', 'RECORD_COUNT_RECOVERED'), ('size', 'HEADER_SIZE_MISMATCH'), ('zero duration', 'ZERO_RECORD_DURATION'), ('bad date', 'DATE_UNPARSEABLE'), ('bad time', 'STARTTIME_UNPARSEABLE'),
 ('flat digital', 'DEGENERATE_DIGITAL_RANGE'), ('flat physical', 'DEGENERATE_PHYSICAL_RANGE'), ('inverted digital', 'INVERTED_DIGITAL_RANGE'), ('inverted physical', 'INVERTED_PHYSICAL_RANGE'), ('log', 'LOG_TRANSFORMED_CHANNEL'),
 ('twins', 'DUPLICATE_SIGNAL_LABEL'), ('padded', 'NUMERIC_FIELD_NOT_LEFT_JUSTIFIED'), ('reserved', 'NONSTANDARD_RESERVED_FIELD'), ('wide', 'DIGITAL_RANGE_EXCEEDS_FORMAT'), ('no plus', 'MISSING_EDFPLUS_MARKER'),
-('no notes', 'EDFPLUS_WITHOUT_ANNOTATION_SIGNAL'), ('plus id', 'PATIENT_ID_NONCONFORMANT'), ('latin', 'NON_ASCII_HEADER_FIELD'), ('endless', 'RECORDING_SPAN_UNREPRESENTABLE')) v(fault, code)""")
-def header_diagnostics_matrix(spark, d):
-    from .recording import inspect
+('no notes', 'EDFPLUS_WITHOUT_ANNOTATION_SIGNAL'), ('plus id', 'PATIENT_ID_NONCONFORMANT'), ('latin', 'NON_ASCII_HEADER_FIELD'), ('endless', 'RECORDING_SPAN_UNREPRESENTABLE')"""
+_NAMES = [name for name, _ in _damaged()]
+_FAULTY = f"fa AS (SELECT p_partkey, list_extract([{', '.join(repr(n) for n in _NAMES)}], CAST(p_partkey % {len(_NAMES)} AS INTEGER) + 1) AS fault FROM part)"
 
-    rows = []
-    for name, data in _damaged():
-        codes = {x.code for x in inspect(data)["diagnostics"]} - {"DATE_CLIPPED_TO_1985_2084"}
-        rows += [(name, c) for c in sorted(codes)] or [(name, None)]
-    return spark.createDataFrame(rows, "fault string, code string")
 
+def _inspected(spark: SparkSession, d: str) -> DataFrame:
+    """fault, code, severity of what an inspection finds in a damaged header, one header for each row of part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .recording import inspect
+
+        files = _damaged()
+        for batch in batches:
+            found = []
+            for key in batch["p_partkey"]:
+                name, data = files[key % len(files)]
+                found += [(name, x.code, x.severity) for x in inspect(data)["diagnostics"]] or [(name, None, None)]
+            yield pd.DataFrame(found, columns=["fault", "code", "severity"])
+
+    register(spark)
+    return X.table(spark, d, "part").select("p_partkey").mapInPandas(run, "fault string, code string, severity string")
 
-@query("SELECT * FROM (VALUES ('SOURCE_TOO_SMALL', 'error', 2), ('NUMERIC_FIELD_INVALID', 'error', 1), ('COMMA_DECIMAL_SEPARATOR', 'error', 1), ('DATE_CLIPPED_TO_1985_2084', 'info', 20)) v(code, severity, n)")
-def diagnostic_counts(spark, d):
-    from .diagnostics import summarize
-    from .recording import inspect
 
-    found = summarize(x for _, data in _damaged() for x in inspect(data)["diagnostics"])
-    kept = ("SOURCE_TOO_SMALL", "NUMERIC_FIELD_INVALID", "COMMA_DECIMAL_SEPARATOR", "DATE_CLIPPED_TO_1985_2084")
-    return spark.createDataFrame([r for r in found["by_code"] if r[0] in kept], "code string, severity string, n int")
+@query(f"WITH {_FAULTY}, c AS (SELECT * FROM (VALUES {_CODES}) v(fault, code)) SELECT fault, code, count(*) AS n FROM fa JOIN c USING (fault) WHERE code IS NOT NULL GROUP BY ALL")
+def header_diagnostics_matrix(spark, d):
+    found = _inspected(spark, d).where("code <> 'DATE_CLIPPED_TO_1985_2084'").groupBy("fault", "code")
+    return found.agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_FAULTY}, n AS (SELECT fault, count(*) AS n FROM fa GROUP BY 1), c AS (SELECT * FROM (VALUES ('short', 'SOURCE_TOO_SMALL', 'error'), ('no header', 'SOURCE_TOO_SMALL', 'error'), ('text', 'NUMERIC_FIELD_INVALID', 'error'), ('comma', 'COMMA_DECIMAL_SEPARATOR', 'error'),
+('truncated', 'TRUNCATED_FILE', 'warning'), ('partial', 'TRUNCATED_FILE', 'warning'), ('inverted physical', 'INVERTED_PHYSICAL_RANGE', 'info')) v(fault, code, severity))
+SELECT code, severity, CAST(sum(n) AS BIGINT) AS n FROM c JOIN n USING (fault) GROUP BY 1, 2""")
+def diagnostic_counts(spark, d):
+    """Totals by code, as `summarize` gives them for one file, over a header for each row of part."""
+    kept = ("SOURCE_TOO_SMALL", "NUMERIC_FIELD_INVALID", "COMMA_DECIMAL_SEPARATOR", "TRUNCATED_FILE", "INVERTED_PHYSICAL_RANGE")
+    return _inspected(spark, d).where(F.col("code").isin(*kept)).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 # -- time ------------------------------------------------------------------------------------------------------
@@ -555,15 +619,17 @@ def contiguity(spark, d):
     return L.contiguity(_segments(spark, d)).select("contiguity")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 2), (1, 2, 1), (1, 3, 1), (2, 1, 1), (5, 1, 2), (5, 3, 3), (6, 0, 1)) v(asked, first, count)")
+_ASKED = f"asked AS (SELECT CAST(i AS INTEGER) AS asked, i * 1375 * {D} AS since, i * 1375 * {D} + (i % 7) * 130 * {D} AS till FROM range(60) r(i))"
+
+
+@query(f"""WITH {SEG}, {_ASKED} SELECT asked, CAST(min(record_index) AS INTEGER) AS first, CAST(count(*) AS INTEGER) AS count FROM asked JOIN gr ON onset_ticks < till AND onset_ticks + {MINUTE} > since WHERE till > since GROUP BY asked, segment_index""")
 def window_planning(spark, d):
-    """Record ranges of windows over two segments of three records, [0, 3) and [13, 16) seconds."""
+    """Record ranges of sixty windows over the segments of the minutes with events."""
     from .plans.window import resolve
 
-    time = {"record_count": 6, "span_ticks": 16 * D, "covered_ticks": 6 * D}
-    index = [{"record_start": 0, "record_count": 3, "start_ticks": 0}, {"record_start": 3, "record_count": 3, "start_ticks": 13 * D}]
-    asked = [(0.5, 1.0), (2.0, 11.5), (1.0, 1.0), (5.0, 3.0), (1.5, 0.0), (1.0, 20.0), (-5.0, 5.1)]
-    rows = [(a, *r) for a, (start, length) in enumerate(asked) for r in resolve(time, D, index, start, length)]
+    index = [r.asDict() for r in _segments(spark, d).orderBy("segment_index").collect()]
+    time = {"record_count": sum(s["record_count"] for s in index), "span_ticks": index[-1]["end_ticks"] - index[0]["start_ticks"], "covered_ticks": sum(s["duration_ticks"] for s in index)}
+    rows = [(i, *r) for i in range(60) for r in resolve(time, MINUTE, index, i * 1375.0, (i % 7) * 130.0)]
     return spark.createDataFrame(rows, "asked int, first int, count int")
 
 
@@ -584,9 +650,15 @@ def annotations_in_windows(spark, d):
     return A.in_windows(_notes(spark, d), windows, 600 * D).select("user_id", "event_id")
 
 
-@query(f"WITH {NOTE} SELECT event_id, text FROM note WHERE (coalesce(duration_ticks, 0) = 0 AND onset_ticks = {40000 * D}) OR (coalesce(duration_ticks, 0) > 0 AND onset_ticks <= {40000 * D} AND onset_ticks + duration_ticks > {40000 * D})")
+_AT = "(SELECT onset_ticks FROM note WHERE event_id = (SELECT count(*) // 2 FROM note))"
+
+
+@query(f"WITH {NOTE} SELECT event_id, text FROM note WHERE (coalesce(duration_ticks, 0) = 0 AND onset_ticks = {_AT}) OR (coalesce(duration_ticks, 0) > 0 AND onset_ticks <= {_AT} AND onset_ticks + duration_ticks > {_AT})")
 def annotations_at(spark, d):
-    return A.at(_notes(spark, d), 40_000).select("event_id", "text")
+    """What is in force when the event in the middle begins."""
+    middle = X.table(spark, d, "events").count() // 2
+    ticks = X.events(spark, d).where(F.col("event_id") == middle).select("ticks").first()[0]
+    return A.at(_notes(spark, d), K.to_seconds(ticks)).select("event_id", "text")
 
 
 @query(f"WITH {NOTE} SELECT event_id, text FROM note WHERE text = 'error' OR regexp_matches(text, '^s.*p$')")
