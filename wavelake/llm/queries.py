@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, trie_counts
-from .common import read_table
+from .common import SPACE_WORD, read_table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +43,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(ship(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can state: the size of each document, its source's size and target."""
+    return op6_mixing(spark, sf_dir).drop("taken")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(read_table(ship(spark), sf_dir, "documents"), tokenizer_path())
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "mix_sizes": mix_sizes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,6 +112,16 @@ ORACLE: dict[str, str] = {
                coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good), '') AS labels,
                coalesce(max(share), 0.0) AS score
         FROM d LEFT JOIN k ON k.row = d.row GROUP BY d.row, d.doc_id""",
+    "mix_sizes": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS total, 1.0 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+        r AS (SELECT *, {mixing.MOST_REPEATS} * total / weight AS limit_, row_number() OVER (ORDER BY {mixing.MOST_REPEATS} * total / weight, encode(source) NULLS LAST) AS place FROM s),
+        c AS (SELECT *, sum(total) OVER () - coalesce({mixing.MOST_REPEATS} * sum(total) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+              sum(weight) OVER (ORDER BY place DESC) AS weights FROM r),
+        f AS (SELECT min(place) AS first_open FROM c WHERE rest * weight / weights <= {mixing.MOST_REPEATS} * total),
+        o AS (SELECT rest, weights FROM c WHERE place = (SELECT first_open FROM f)),
+        t AS (SELECT source, total, CASE WHEN place < (SELECT first_open FROM f) THEN {mixing.MOST_REPEATS} * total ELSE (SELECT rest FROM o) * weight / (SELECT weights FROM o) END AS target FROM r)
+        SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source""",
     "op8_embeddings": """
         WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         u AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
