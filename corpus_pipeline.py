@@ -2,6 +2,14 @@
 
 Quality filter, exact deduplication, near deduplication, mixing of the sources, and encoding. All but the last
 return the columns of documents. A document that the mix takes more than once stands in its result as often.
+
+Defined results. A null text counts as empty: it is scored as an empty text is, is an exact copy of empty texts,
+near to nothing, and not taken by the mix, as it has no words. Of exact copies the largest doc_id stays, of near ones
+the smallest. Rows that share a doc_id are texts of their own for the exact stage and the mix, and one document for the
+near stage, which keeps or drops them together. Rows with a null doc_id are never learned from, are exact copies like
+others (and stay only without another), near to nothing, and mixed like others. Null sources are one source. Texts are
+read whole, whatever their length. Further columns, also with names that the stages use themselves, come through
+unchanged up to the mix. An empty table gives empty stages; without labels every document passes the first.
 """
 
 from __future__ import annotations
