@@ -41,6 +41,9 @@ class Issue:
     occurrences: int = 1
 
 
+_ONE = {"onset": "an onset", "duration": "a duration"}
+
+
 class _Skip(Exception):
     pass
 
@@ -62,44 +65,44 @@ class _Region:
     def time(self, name: str, offset: int, end: int, signed: bool) -> tuple[str, int, bool]:
         """Raw text, ticks, and whether a sign that must be there was missing."""
         if end - offset > LONGEST_TIME:
-            self.skip(f"{name}-field-too-long", offset, end - offset)
+            self.skip(f"{_ONE[name]} is too long", offset, end - offset)
         raw = latin1(self.data[offset:end])
         ticks = parse_signed(raw) if signed else parse_unsigned(raw)
         bare = signed and ticks is None
         if bare:
             ticks = parse_unsigned(raw)
         if ticks is None:
-            self.skip(f"{name}-grammar", offset, max(end - offset, 1))
+            self.skip(f"{_ONE[name]} isn't a time", offset, max(end - offset, 1))
         if not INT64_MIN <= ticks <= INT64_MAX:
-            self.skip(f"{name}-out-of-range", offset, max(end - offset, 1))
+            self.skip(f"{_ONE[name]} is beyond 64 bits", offset, max(end - offset, 1))
         return raw, ticks, bare
 
     def text(self, start: int, end: int) -> Text:
         run = self.data[start:end]
         if ONSET_END in run:
-            self.note("TAL_MALFORMED", "text-contains-separator", start, end - start)
+            self.note("TAL_MALFORMED", "a text holds a separator", start, end - start)
         try:
             return Text(run.decode("utf-8"), "utf-8", start)
         except UnicodeDecodeError:
-            self.note("ANNOTATION_TEXT_NOT_UTF8", "text-not-utf8", start, end - start)
+            self.note("ANNOTATION_TEXT_NOT_UTF8", "a text isn't UTF-8", start, end - start)
             return Text(latin1(run), "latin-1-fallback", start)
 
     def tal(self, start: int, end: int, ordinal: int) -> Tal:
         data = self.data
         stamp = data.find(TEXT_END, start, end)
         if stamp < 0:
-            self.skip("timestamp-unterminated", start, end - start)
+            self.skip("a time has no end", start, end - start)
         split = data.find(ONSET_END, start, stamp)
         onset_raw, onset, bare = self.time("onset", start, stamp if split < 0 else split, True)
         duration_raw, duration = self.time("duration", split + 1, stamp, False)[:2] if split >= 0 else (None, None)
         if bare:
-            self.note("TAL_MALFORMED", "onset-unsigned", start, len(onset_raw))
+            self.note("TAL_MALFORMED", "an onset has no sign", start, len(onset_raw))
         texts, at = [], stamp + 1
         while (stop := data.find(TEXT_END, at, end)) >= 0:
             texts.append(self.text(at, stop))
             at = stop + 1
         if at < end:
-            self.note("TAL_MALFORMED", "last-text-unterminated", at, end - at)
+            self.note("TAL_MALFORMED", "the last text has no end", at, end - at)
             texts.append(self.text(at, end))
         return Tal(ordinal, start, end + 1 - start, onset_raw, onset, duration_raw, duration, tuple(texts))
 
@@ -116,12 +119,12 @@ def parse_region(data: bytes) -> tuple[list[Tal], list[Issue]]:
             while at < len(data) and data[at] == TAL_END:
                 at += 1
             if at < len(data):
-                region.note("TAL_REGION_NOT_NUL_TERMINATED", "region-tail-not-nul", at, len(data) - at)
+                region.note("TAL_REGION_NOT_NUL_TERMINATED", "bytes follow the padding", at, len(data) - at)
                 ordinal = max(ordinal, 1)
             continue
         end = data.find(TAL_END, at)
         if end < 0:
-            region.note("TAL_TRUNCATED_AT_REGION_END", "tal-unterminated", at, len(data) - at)
+            region.note("TAL_TRUNCATED_AT_REGION_END", "a list has no end", at, len(data) - at)
             break
         try:
             region.tals.append(region.tal(at, end, ordinal))
