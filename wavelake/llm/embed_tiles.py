@@ -46,12 +46,21 @@ SLACK = 1e-5
 CHUNK = 1 << 20
 
 
+def _units(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(axes, places, vectors, unit vectors) of the vectors of each length; no square overflows or vanishes."""
+    sizes = vectors.map(len).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x = np.stack(vectors.iloc[at].to_list()).astype(np.float64)
+        scaled = x / np.abs(x).max(1, keepdims=True)
+        yield int(size), at, x, scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+
+
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for size, rows in b["unit"].groupby(b["unit"].map(len)):
-            x = np.stack(rows.to_list())
-            sums[size] = sums.get(size, 0) + x.T @ x
+        for size, _, _, unit in _units(b["embedding"]):
+            sums[size] = sums.get(size, 0) + unit.T @ unit
     for size, m in sums.items():
         yield pd.DataFrame({"size": size, "i": np.repeat(np.arange(size), size), "j": np.tile(np.arange(size), size), "m": m.ravel()})
 
@@ -72,9 +81,9 @@ def _placed(axes: dict[int, np.ndarray]):
     """Packs vectors and gives their place on the first axis."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = {size: a[:, 0] for size, a in axes.items()}
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "n": b["n"], "size": [len(u) for u in b["unit"]], "first": [float(first[len(u)] @ u) for u in b["unit"]], "vector": [_pack(np.asarray(v, np.float64)) for v in b["vector"]]})
+            for size, at, x, unit in _units(b["embedding"]):
+                yield pd.DataFrame({"id": b["id"].to_numpy()[at], "n": b["n"].to_numpy()[at], "size": size, "first": (unit @ axes[size][:, 0]).astype(np.float32), "vector": [_pack(v) for v in x]})
 
     return run
 
@@ -216,17 +225,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, embedding: str = "e
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()
     read = written(read.withColumn("embedding", F.when(usable, v)), "vectors")
     classes = written(read.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-classes")
-    largest = F.array_max(F.transform("embedding", F.abs))
-    scaled = classes.withColumn("scaled", F.transform("embedding", lambda x: x / largest))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    units = scaled.select("id", "n", F.col("embedding").alias("vector"), F.transform("scaled", lambda x: x / norm).alias("unit"))
-    sums = units.select("unit").mapInPandas(_moments, "size int, i int, j int, m double").groupBy("size", "i", "j").agg(F.sum("m").alias("m")).toPandas()
+    sums = classes.select("embedding").mapInPandas(_moments, "size int, i int, j int, m double").groupBy("size", "i", "j").agg(F.sum("m").alias("m")).toPandas()
     axes = {}
     for size, own in sums.groupby("size"):
         m = np.zeros((size, size))
         m[own["i"], own["j"]] = own["m"]
         axes[int(size)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
-    placed = written(units.mapInPandas(_placed(axes), "id bigint, n bigint, size int, first float, vector binary"), "placed")
+    placed = written(classes.mapInPandas(_placed(axes), "id bigint, n bigint, size int, first float, vector binary"), "placed")
     total = placed.count()
     tiles = max(-(-total // MOST), min(-(-total // LEAST), int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))), 1)
     bounds = sorted(set(placed.approxQuantile("first", [k / tiles for k in range(1, tiles)], 0.1 / tiles))) if tiles > 1 else []
