@@ -2,7 +2,7 @@
 
 A rolling hash over the characters cuts texts where their content says so, hence passages that documents share
 fall into the same chunks. A chunk is encoded and decoded once for each worker while it stays in a bounded
-cache; a chunk that isn't there is cut further at every safe place, and only unseen pieces reach the library.
+cache, which keeps what it meets again; a chunk that isn't there is cut further at every safe place, and only unseen pieces reach the library.
 
 A place is safe where a space follows a character that isn't white space and precedes one: the tokenizer's
 splitting pattern always starts a new match there, and no added token holds a space, so the pieces' ids can be
@@ -33,14 +33,13 @@ CUT_MASK = np.uint32(7 << 20)
 WINDOW = 8
 #: Longest piece that is encoded in one go; longer ones are cut and their joins repaired.
 LONGEST = 1 << 14
-#: Entries that a worker keeps of chunks and of pieces.
-CHUNKS, PIECES = 40_000, 250_000
+#: Entries of chunks and of pieces after which a worker lets go of those that it didn't meet again meanwhile.
+CHUNKS, PIECES = 20_000, 125_000
 #: Longer chunks and pieces aren't kept.
 KEPT_CHARS = 512
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Characters of no added token that never join a letter or digit before them.
 _CLOSING = ".,;:!?%$#&*"
-_WORDS = re.compile(r" ?[^ ]+")
 
 
 @lru_cache(1)
@@ -73,6 +72,28 @@ def cuts(texts: list[str]) -> list[list[int]]:
     return out
 
 
+class Kept:
+    """A bounded cache in two generations: what is asked for moves to the new one, and the old one goes when that is full."""
+
+    def __init__(self):
+        self.new: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def __contains__(self, key: str) -> bool:
+        if key in self.new:
+            return True
+        found = self.old.get(key)
+        if found is not None:
+            self.new[key] = found
+        return found is not None
+
+    def turn(self, most: int) -> bool:
+        full = len(self.new) > most
+        if full:
+            self.old, self.new = self.new, {}
+        return full
+
+
 class Codec:
     """ids and decoded text of whole texts; equal to the library's on every text."""
 
@@ -86,8 +107,7 @@ class Codec:
         self.longest = longest
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.digits = [str(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
-        self.chunks: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
+        self.chunks, self.pieces = Kept(), Kept()
         self.odd: dict[str, str] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -166,19 +186,22 @@ class Codec:
         needed.update(dict.fromkeys(apart.values()))
         needed.update(dict.fromkeys(p[len(b) :] for p, b in apart.items()))
         new = self._learn([p for p in needed if p not in self.pieces])
-        self.pieces.update(new)
-        look = self.pieces.__getitem__
+        known = self.pieces.new
+        known.update(new)
         for p, b in apart.items():
             tail = p[len(b) :]
-            new[p] = f"{look(b)},{look(tail)}"
+            new[p] = known[p] = f"{known[b]},{known[tail]}"
             if self.odd and (b in self.odd or tail in self.odd):
                 self.odd[p] = self.odd.get(b, b) + self.odd.get(tail, tail)
         return new
 
     def _parts(self, chunk: str) -> list[str]:
         """A chunk cut at every safe place."""
-        words = chunk.split()
-        return _WORDS.findall(chunk) if words and " ".join(words) == chunk.lstrip(" ") and chunk[:2] != "  " else _SAFE.split(chunk)
+        words, led = chunk.split(" "), chunk[0] == " "
+        if words[led:] != chunk.split():
+            return _SAFE.split(chunk)
+        parts = [" " + w for w in words[1:]]
+        return parts if led else [words[0], *parts]
 
     def _decoded(self, chunk: str) -> str:
         return "".join([self.odd.get(p, p) for p in self._parts(chunk)]) if self.odd else chunk
@@ -186,12 +209,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids in decimal joined by commas, decoded text) of each text."""
         chunks, pieces = self.chunks, self.pieces
-        if len(chunks) > CHUNKS:
-            chunks.clear()
-        if len(pieces) > PIECES:
-            pieces.clear()
-            self.odd.clear()
-            chunks.clear()
+        chunks.turn(CHUNKS)
+        if pieces.turn(PIECES):
+            self.odd = {p: t for p, t in self.odd.items() if p in pieces.old}
+            chunks.old, chunks.new = {}, {}  # their odd pieces may be gone
         cut_up, unseen = [], {}
         for text, ends in zip(texts, cuts(texts), strict=True):
             start, own = 0, []
@@ -202,17 +223,16 @@ class Codec:
             for chunk in own:
                 if chunk not in chunks and chunk not in unseen:
                     unseen[chunk] = self._parts(chunk)
-        new = self._learn_all(list(dict.fromkeys(p for parts in unseen.values() for p in parts if p not in pieces)))
-        pieces.update(new)
-        look = pieces.__getitem__
-        chunks.update((chunk, ",".join(map(look, parts))) for chunk, parts in unseen.items())
-        look, out = chunks.__getitem__, []
+        new = self._learn_all([p for p in {p for parts in unseen.values() for p in parts} if p not in pieces])
+        look = pieces.new.__getitem__
+        chunks.new.update((chunk, ",".join(map(look, parts))) for chunk, parts in unseen.items())
+        look, out = chunks.new.__getitem__, []
         for text, own in zip(texts, cut_up, strict=True):
             ids = ",".join(map(look, own))
             out.append((ids.count(",") + 1 if ids else 0, ids, "".join(map(self._decoded, own)) if self.odd else text))
-        for kept in (pieces, chunks):
-            for long in [k for k in (new if kept is pieces else unseen) if len(k) > KEPT_CHARS]:
-                del kept[long]
+        for kept, fresh in ((pieces, new), (chunks, unseen)):
+            for long in [k for k in fresh if len(k) > KEPT_CHARS]:
+                del kept.new[long]
         return out
 
 
