@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, trie_counts
+from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, piece_spans, trie_counts
 from .common import SPACE_WORD, read_table
 
 
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.scan(read_table(ship(spark), sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_spans.round_trip(read_table(ship(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_html": op2_html,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op13_sentencepiece": op13_sentencepiece,
     "mix_sizes": mix_sizes,
 }
 
