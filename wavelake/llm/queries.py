@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, piece_spans, trie_counts
+from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, piece_spans, prefix_trie, trie_counts
 from .common import SPACE_WORD, read_table
 
 
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.scan(read_table(ship(spark), sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(read_table(ship(spark), sf_dir, "conversations")))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_spans.round_trip(read_table(ship(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -79,12 +83,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_sentencepiece": op13_sentencepiece,
     "mix_sizes": mix_sizes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The crc32 of a decimal number's text: eight steps for each byte, the first of which takes the byte in.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+          lambda c, b: xor(xor(c, b) >> 1, 3988292384::UBIGINT * (xor(c, b) & 1))), 4294967295::UBIGINT)"""
+
 _GRAMS = ", ".join(f"({t}, {str(exact).lower()}, '{label}', {at}, {n}, '{gram}')" for t, exact, label, at, n, gram in license_diagonals.template_rows())
 
 ORACLE: dict[str, str] = {
@@ -141,4 +150,18 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op12_prefix_trie": rf"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS s FROM c GROUP BY conv_id),
+        h AS (SELECT conv_id, s, CAST({_CRC} % {prefix_trie.HEADS} AS INT) AS h FROM o),
+        r AS (SELECT a.conv_id, list_concat(coalesce(b.s[1:h], []), a.s[h + 1:]) AS s FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % {prefix_trie.FAMILY}),
+        p AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s FROM r),
+        n AS (SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+        k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.p[depth].t, '{SPACE_WORD}')) END AS own FROM n LEFT JOIN k ON k.p = n.p),
+        a AS (SELECT p, unnest(range(0, depth + 1)) AS up, n_children, own FROM m),
+        t AS (SELECT p[1:up] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM a GROUP BY 1)
+        SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves, t.saved_tokens, m.ends_sha256
+        FROM m JOIN t ON t.p = m.p LEFT JOIN n q ON m.depth > 0 AND q.p = m.p[1:m.depth - 1]""",
 }
