@@ -10,7 +10,7 @@ from wavelake.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
-KEYS = {"op2_html": ("page_id", "pages"), "op8_embeddings": ("vec_id", "embeddings"), "op12_prefix_trie": (None, "conversations")}
+KEYS = {"op2_html": ("page_id", "pages"), "op8_embeddings": ("vec_id", "embeddings"), "op12_prefix_trie": (None, "conversations"), "op11_collocations": (None, "documents")}
 
 
 @pytest.fixture(scope="module")

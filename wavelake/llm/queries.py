@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, pii_anchors, piece_spans, prefix_trie, trie_counts
+from . import bpe_chunks, embed_tiles, exact_dedup, fm_quality, html_paths, license_diagonals, minhash, mixing, phrase_mining, pii_anchors, piece_spans, prefix_trie, trie_counts
 from .common import SPACE_WORD, read_table
 
 
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.scan(read_table(ship(spark), sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(read_table(ship(spark), sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(read_table(ship(spark), sf_dir, "conversations")))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_sentencepiece": op13_sentencepiece,
     "mix_sizes": mix_sizes,
@@ -164,4 +169,20 @@ ORACLE: dict[str, str] = {
         t AS (SELECT p[1:up] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM a GROUP BY 1)
         SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves, t.saved_tokens, m.ends_sha256
         FROM m JOIN t ON t.p = m.p LEFT JOIN n q ON m.depth > 0 AND q.p = m.p[1:m.depth - 1]""",
+    "op11_collocations": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+        g AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, {phrase_mining.LONGEST + 1}) t(k)),
+        f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+        c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE words > 1 AND f >= {phrase_mining.LEAST}),
+        u AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM c),
+        s AS (SELECT u.lang, u.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS score FROM u
+              JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[:k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        b AS (SELECT lang, phrase, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS cut FROM s GROUP BY ALL),
+        i AS (SELECT lang, unnest(flatten(list_transform(range(2, len(w)), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS phrase, a FROM c WHERE len(w) > 2),
+        m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+        k AS (SELECT b.lang, b.phrase, b.a, cut FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < {phrase_mining.COVERED} * CAST(b.a AS HUGEINT)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank FROM k)
+        SELECT o.lang, rank, phrase, a, cut.l AS l, cut.r AS r, n, CAST(cut.score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= {phrase_mining.TOP}""",
 }
