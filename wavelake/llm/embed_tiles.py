@@ -41,11 +41,16 @@ LEAST, MOST = 4096, 32_768
 #: Axes that are accumulated before the first, second, ... bound is taken, as shares of all.
 STEPS = (0.25, 0.5)
 BLOCK = 1024
-#: More than rounding to single precision can change in a product of unit vectors.
+#: More than rounding to single precision can change in one coordinate.
 SLACK = 1e-5
 CHUNK = 1 << 20
 
 
+def slack(axes: int) -> float:
+    """More than single precision can change in a product of unit vectors: an error for each product and each sum."""
+    return SLACK + 2 * axes * 2.0**-24
+
+
 def _units(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(axes, places, vectors, unit vectors) of the vectors of each length; no square overflows or vanishes."""
     sizes = vectors.map(len).to_numpy()
@@ -165,7 +170,7 @@ def _candidates(p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray,
     stop = stops[0] if stops else size
     part = p[:, :stop] @ q[:, :stop].T
     rest = np.sqrt((p[:, stop:] ** 2).sum(1))[:, None] * np.sqrt((q[:, stop:] ** 2).sum(1))[None, :]
-    a, b = np.nonzero(part + rest >= least - SLACK)
+    a, b = np.nonzero(part + rest >= least - slack(size))
     if not stops:
         return a, b  # the first product was the whole one
     for stop, then in zip(stops, [*stops[1:], size], strict=True):
@@ -176,7 +181,7 @@ def _candidates(p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray,
         for k in range(0, len(a), CHUNK // 16):
             x, y = a[k : k + CHUNK // 16], b[k : k + CHUNK // 16]
             part[x, y] += np.einsum("ij,ij->i", p[x, stop:then], q[y, stop:then])
-            good = part[x, y] + left_p[x] * left_q[y] >= least - SLACK
+            good = part[x, y] + left_p[x] * left_q[y] >= least - slack(size)
             kept_a.append(x[good])
             kept_b.append(y[good])
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, scratch_path, written
+from .common import drop_written, lower_ascii, scratch_path, written
 
 
 def digest_of(text: Column) -> Column:
@@ -37,10 +37,20 @@ class DigestIndex:
     SCHEMA = "digest binary, keep_id bigint, group_size bigint, batch int"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        """path: where the index lives, in a folder that all executors share; an existing index there is opened."""
+        """path: where the index lives, in a folder that all executors share; an existing index there is opened.
+
+        The number of buckets belongs to the index: it is written beside it when it is made, and read when it is
+        opened, whatever the session's settings are. Another number than that raises ValueError.
+        """
         self.spark = spark
         self.path = path or scratch_path(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        known = self._known_buckets()
+        if known and buckets and buckets != known:
+            raise ValueError(f"the index at {self.path} has {known} buckets, not {buckets}")
+        self.buckets = known or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not known:
+            store, file = self._at(f"{self.path}_buckets/{self.buckets}")
+            store.create(file, True).close()
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch INT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
         last = self.entries().agg(F.max("batch")).first()[0]
@@ -50,6 +60,14 @@ class DigestIndex:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
+    def _known_buckets(self) -> int | None:
+        """The number of buckets of an existing index; it is the name of an empty file beside it."""
+        store, folder = self._at(f"{self.path}_buckets")
+        names = sorted(int(f.getPath().getName()) for f in store.listStatus(folder)) if store.exists(folder) else []
+        if len(names) > 1 or (not names and store.exists(self._at(self.path)[1])):
+            raise ValueError(f"the index at {self.path} doesn't say how many buckets it has: {names}")
+        return names[0] if names else None
+
     def committed(self) -> list[int]:
         """Numbers of the committed batches; each is an empty file beside the index."""
         store, folder = self._at(f"{self.path}_committed")
@@ -76,6 +94,7 @@ class DigestIndex:
         groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
         new = groups.join(self.indexed(self.committed()).select("digest").hint("merge"), "digest", "left_anti")
         new.withColumn("batch", F.lit(self.batch)).repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+        drop_written(groups)
         return self.batch
 
     def forget(self) -> None:
@@ -112,7 +131,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in reversed(list(enumerate(columns)))}
     digested = named.withColumn("digest", digest_of(F.col(at[text])))
-    batch = own.append(written(digested.select("digest", F.col(at[doc_id]).cast("bigint").alias("doc_id")), "digested"))
+    digests = written(digested.select("digest", F.col(at[doc_id]).cast("bigint").alias("doc_id")), "digested")
+    batch = own.append(digests)
+    drop_written(digests)
     sortable = [f"c{i}" for i, field in enumerate(docs.schema.fields) if not field.dataType.simpleString().count("map<") and f"c{i}" not in (at[doc_id], at[text])]
     order = F.struct(F.col(at[doc_id]), *[F.col(c) for c in sortable])
     whole = digested.groupBy("digest").agg(F.max_by(F.struct(*named.columns), order).alias("row"))

@@ -127,18 +127,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Machine:
-    """A model of labels.quality, from at most `sample` labelled rows outside the held-out fold."""
+    """A model of labels.quality, from at most `sample` labelled texts outside the held-out fold.
+
+    A doc_id that several rows of docs or of labels have gives a text for each pair of them. The order of all texts
+    is fixed by doc_id, label and digest of the text, and so is which of them are taken; no more reach the driver.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole.alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [inputs(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.astype(np.int32) for a, _ in rows], "x": [x.astype(np.float32) for _, x in rows]})
+            rows = [inputs(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "digest": b["digest"], "at": [a.astype(np.int32) for a, _ in rows], "x": [x.astype(np.float32) for _, x in rows]})
 
-    found = texts.select("doc_id", "y", "text").mapInPandas(run, "doc_id bigint, y int, at array<int>, x array<float>").toPandas()
-    found = found.sort_values(["doc_id", "y"], kind="stable")
+    made = texts.select("doc_id", "y", F.sha2("text", 256).alias("digest"), "text").mapInPandas(run, "doc_id bigint, y int, digest string, at array<int>, x array<float>")
+    found = made.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "digest").limit(sample).toPandas().sort_values(["doc_id", "y", "digest"], kind="stable")
     return fit([(np.asarray(a, np.int64), np.asarray(x, np.float64), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"], strict=True)])
 
 

@@ -45,11 +45,13 @@ CUES = ("iban", "account number", "account no", "acct no", "passport number", "p
 TOKENS = ("token", "secret", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "secret key", "secret_key", "auth key", "auth_key", "private key", "private_key", "client_secret", "credential", "credentials")
 PASSWORDS = ("password", "passwd", "passphrase", "pwd")
 PEM = "-----BEGIN "
-_ASSIGNED = re.compile(r"[\"'`\])]{0,2}[ \t]{0,4}(?:=>|:=|==?|:)[ \t]{0,4}[\"'`]?([^\s\"'`<>,;]{8,512})")
-_BEARER = re.compile(r"[ \t]{1,2}([A-Za-z0-9._~+/-]{16,4096}=*)")
+_ASSIGNED = re.compile(r"[\"'`\])]{0,2}[ \t]{0,4}(?:=>|:=|==?|:)[ \t]{0,4}[\"'`]?(?=[^\s\"'`<>,;]{8})")
+_BEARER = re.compile(r"[ \t]{1,2}([A-Za-z0-9._~+/-]{16,}=*)")
+_VALUE = re.compile(r"[^\s\"'`<>,;]*")
 _PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 _PEM_TAIL = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-_END_OF_URI = re.compile(r"[^\s<>\"'`|{}\\^]+")
+_URI = re.compile(r"[^\s<>\"'`|{}\\^]*")
+_BREAKS = {"mailto:": re.compile("[@/?]"), "//": re.compile("[/?#@]")}
 _IDENTIFIER = re.compile(r"[ \t]{0,2}(?:is|[.:#=])?[ \t]{0,2}([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
 
 
@@ -86,6 +88,47 @@ def iban(text: str) -> bool:
     return text[:2].isalpha() and text[2:4].isdigit() and 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+class _Run:
+    """A stretch of a text that several anchors may lie in: its end, and the last places of what their validators ask for.
+
+    What is asked of the rest of the stretch from some place on is answered without reading it again, so the anchors
+    of a text take time in proportion to it.
+    """
+
+    def __init__(self, text: str, start: int, end: int, trimmed: str):
+        self.start, self.end = start, end
+        body = text[start:end].rstrip(trimmed)
+        self.stop = start + len(body)
+        self._last: dict = {}
+        self._text, self._body = text, body
+
+    def holds(self, at: int) -> bool:
+        return self.start <= at < self.end
+
+    def after(self, at: int, what) -> bool:
+        """Whether a character for which `what` holds stands in the stretch at or after a place."""
+        if what not in self._last:
+            self._last[what] = next((self.start + k for k in range(len(self._body) - 1, -1, -1) if what(self._body[k])), -1)
+        return self._last[what] >= at
+
+    def nth_digit_from_end(self, n: int) -> int:
+        """Where the n-th digit from the end of the stretch is, or -1."""
+        if n not in self._last:
+            places = [k for k, c in enumerate(self._body) if c in DIGIT]
+            self._last[n] = self.start + places[-n] if len(places) >= n else -1
+        return self._last[n]
+
+    def last_of(self, word: str) -> int:
+        if word not in self._last:
+            at = self._body.rfind(word)
+            self._last[word] = self.start + at if at >= 0 else -1
+        return self._last[word]
+
+
+def _no_letter_or_digit(c: str) -> bool:
+    return not c.isalnum()
+
+
 class _Scan:
     """Spans of one text; for each kind, where the last match ended."""
 
@@ -94,6 +137,17 @@ class _Scan:
         self.spans: list[tuple[int, int, int]] = []
         self.tail: tuple[int, int] | None = None
         self.email_end = self.phone_end = self.run_end = self.dots_end = self.uri_end = 0
+        self.uri = self.value = _Run(text, 0, 0, "")
+        self.breaks = {k: (0, -1) for k in _BREAKS}
+
+    def next_break(self, kind: str, at: int) -> int:
+        """The first character at or after a place that ends the part before the at-sign, or that is the at-sign."""
+        since, found = self.breaks[kind]
+        if not since <= at <= found:
+            hit = _BREAKS[kind].search(self.text, at)
+            found = hit.start() if hit else self.n
+            self.breaks[kind] = (at, found)
+        return found
 
     def email(self, at: int) -> None:
         text, start = self.text, at
@@ -101,12 +155,13 @@ class _Scan:
             start -= 1
         if start == at:
             return
-        end, here = 0, at + 1
+        end, here, dotted = 0, at + 1, False
         while here < self.n and text[here] in LABEL:
             while here < self.n and text[here] in LABEL:
                 here += 1
-            if here > at + 1 and "." in text[at + 1 : here]:
+            if dotted:
                 end = here
+            dotted = True
             if here < self.n and text[here] == ".":
                 here += 1
             else:
@@ -156,20 +211,21 @@ class _Scan:
                     self.spans.append((runs[i][0], 1, runs[i + 3][1]))
 
     def scheme(self, start: int, here: int) -> None:
-        found = _END_OF_URI.match(self.text, here)
-        if start < self.uri_end or not found or (start and self.text[start - 1].isalnum()):
+        text = self.text
+        if start < self.uri_end or (start and text[start - 1].isalnum()):
             return
-        body = found[0].rstrip(".,;:!?)]")
-        head = self.text[start:here].lower()
-        if head in ("mailto:", "sip:"):
-            good = re.match(r"[^@/?]+@[^@/?]+", body)
-        elif head == "tel:":
-            good = sum(c in DIGIT for c in body) >= 7
+        if not self.uri.holds(here):
+            self.uri = _Run(text, here, _URI.match(text, here).end(), ".,;:!?)]")
+        stop, head = self.uri.stop, text[start:here].lower()
+        if head == "tel:":
+            good = self.uri.nth_digit_from_end(7) >= here
         else:
-            good = re.match(r"[^/?#@]+@[^/?#@]+", body)
+            kind = "mailto:" if head in ("mailto:", "sip:") else "//"
+            at = self.next_break(kind, here)
+            good = here < at < stop - 1 and text[at] == "@" and not _BREAKS[kind].match(text, at + 1)
         if good:
-            self.uri_end = here + len(body)
-            self.spans.append((start, 4, self.uri_end))
+            self.uri_end = stop
+            self.spans.append((start, 4, stop))
 
     def cue(self, start: int, here: int) -> None:
         text = self.text
@@ -197,17 +253,28 @@ class _Scan:
         text = self.text
         if (start and text[start - 1].isalnum()) or (here < self.n and text[here].isalnum()):
             return
-        found = (_BEARER if what == "bearer" else _ASSIGNED).match(text, here)
-        if not found:
-            return
-        value = found[1].rstrip(".:!?)]}")
-        digit, lower, upper = (any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper))
+        if what == "bearer":
+            found = _BEARER.match(text, here)
+            if not found:
+                return
+            at = found.start(1)
+            run = _Run(text, at, found.end(1), ".:!?)]}")
+        else:
+            found = _ASSIGNED.match(text, here)
+            if not found:
+                return
+            at = found.end()
+            if not self.value.holds(at):
+                self.value = _Run(text, at, _VALUE.match(text, at).end(), ".:!?)]}")
+            run = self.value
+        size = run.stop - at
+        digit, lower, upper = (run.after(at, f) for f in (str.isdigit, str.islower, str.isupper))
         if what == "password":
-            good = len(value) >= 8 and digit + lower + upper + (not value.isalnum()) >= 2
+            good = size >= 8 and digit + lower + upper + run.after(at, _no_letter_or_digit) >= 2
         else:
-            good = len(value) >= 16 and digit and (lower or upper)
-        if good and "://" not in value:
-            self.spans.append((found.start(1), 6, found.start(1) + len(value)))
+            good = size >= 16 and digit and (lower or upper)
+        if good and run.last_of("://") < at:
+            self.spans.append((at, 6, run.stop))
 
     def pem(self, start: int) -> None:
         if head := _PEM_HEAD.match(self.text, start):
