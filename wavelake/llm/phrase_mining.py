@@ -4,15 +4,19 @@ A sample of the documents is mined with a lowered threshold. Its frequent phrase
 the proposal and its negative border, that is every phrase that isn't proposed but whose parts (without its first or
 its last word) all are; every single word belongs to one of the two. Where a border phrase turns out frequent, phrases
 that hold it may be frequent too and were not counted: the proposal grows by it, and a further pass counts what has
-come into reach, until no border phrase fails. As a frequent phrase has frequent parts, all frequent phrases then have
-exact counts, whatever the sample was. Phrases have up to 4 words, so there are at most 4 full passes.
+come into reach, until no border phrase fails. As a frequent phrase has frequent parts, all frequent phrases are then
+among those counted, whatever the sample was. Phrases have up to 4 words, so there are at most 4 full passes.
+
+These passes count by a 64-bit key of lang and phrase, made from the bytes by NumPy without a Python object for each
+word. A key's count is that of its phrase, or more where two phrases should share a key, never less. A last pass
+counts the phrases of the frequent keys as they are written, by their words: those are the counts that are returned.
 
 What tasks are sent of a proposal is a Bloom filter of BITS bits, whatever the number of phrases. A phrase that the
 filter takes for proposed by chance is one more phrase to count, never one less, as filters only grow and each pass
 counts exactly what its filter reaches and the filter before doesn't.
 
-A task turns words into numbers, and phrases of one word more into pairs of numbers, for CHUNK words at a time; each
-distinct phrase of a chunk leaves it once, so a phrase that is everywhere meets as one row for each chunk.
+A task holds CHUNK words at a time; each distinct phrase of a chunk leaves it once, so a phrase that is everywhere
+meets as one row for each chunk.
 
 Defined results. A null text counts as empty, a null lang as `und`. Texts are read whole; a phrase doesn't reach over
 the end of a piece. Repeated rows count each. An empty table gives an empty result; a lang without candidates has no
@@ -23,6 +27,7 @@ Counts are 64-bit, products and sums of them decimals of up to 38 digits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -43,23 +48,28 @@ SAMPLE, SAMPLE_LEAST = 8, 2
 BITS, PROBES = 1 << 27, 3
 #: floor(2000000 * a / (l + r)) in decimals: products and sums may pass 64 bits.
 SCORE = "CAST(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0)) DIV (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0))) AS BIGINT)"
-#: Words that a task holds at a time.
-CHUNK = 3_000_000
-#: The ends of pieces (fixed set) become a word of their own, which no text can hold as it ends pieces itself.
-_END = b"\n"
+#: Words that a task holds at a time, and bytes that it turns into words at a time (a longer word makes it more).
+CHUNK, BLOCK = 1_000_000, 1 << 20
+#: The bytes that end a piece (fixed set) become line feeds, tabs become spaces, A-Z lower case.
 _BYTES = bytearray(range(256))
 _BYTES[65:91] = bytes(range(97, 123))
 _BYTES[9] = 32
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _BYTES[_c] = 10
 _BYTES = bytes(_BYTES)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
+
 
+def plain_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES)
 
-def words_of(text: str) -> list[bytes]:
-    """The lower-cased words of a text in turn, with a line feed wherever a piece ends."""
-    data = text.encode("utf-8", "surrogatepass").translate(_BYTES)
-    return [w for w in data.replace(_END, b" \n ").split(b" ") if w]
+
+@lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2^64."""
+    with np.errstate(over="ignore"):
+        one = np.ones(1, np.uint64)
+        return tuple(np.cumprod(np.concatenate([one, np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -69,158 +79,202 @@ def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def phrase_hash(words: list[bytes]) -> int:
-    """The 64-bit hash of a phrase, word after word."""
-    out = np.array([xxhash.xxh3_64_intdigest(words[0])], np.uint64)
-    for w in words[1:]:
-        out = _mixed(out, np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))
-    return int(out[0])
-
-
-def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The places of phrases in a filter."""
+def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, pieces) of the words of plain bytes; pieces numbers the line feeds before each."""
+    keys, starts, pieces, at, seen = [], [], [], 0, 0
+    while at < len(data):
+        end = at + BLOCK
+        if end < len(data):
+            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            if cut < 0:
+                cut = min((k for k in (data.find(b" ", end), data.find(b"\n", end)) if k >= 0), default=len(data) - 1)
+            end = cut + 1
+        block = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        ends_piece = block == 10
+        word = np.concatenate([[False], (block != 32) & ~ends_piece, [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        first, last = edges[::2], edges[1::2]
+        up, down = _powers(max(BLOCK, 1 << (len(block) - 1).bit_length()) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)])])
+            keys.append(_mixed((sums[last] - sums[first]) * down[first], (last - first).astype(np.uint64)))
+        starts.append(first + at)
+        lines = np.concatenate([[0], np.cumsum(ends_piece)])
+        pieces.append(lines[first] + seen)
+        at, seen = end, seen + int(lines[-1])
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(pieces)
+
+
+def lang_key(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+
+
+def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of keys in a filter."""
     with np.errstate(over="ignore"):
-        step = (hashes * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-        return [((hashes + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits) for k in range(PROBES)]
+        step = (keys * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+        return [((keys + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits) for k in range(PROBES)]
 
 
 class Filter:
-    """Phrases of up to LONGEST - 1 words, some others by chance."""
+    """Keys of phrases, and some others by chance."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at in probes(hashes, 64 * len(self.words)):
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in probes(keys, 64 * len(self.words)):
             out &= (self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
 
+def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, now: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, keys, counts) of the phrases that `now` reaches and `before` doesn't, by their number of words.
+
+    keys and pieces: of each word in turn. A phrase is reached if both its parts are, and the filter has them; all
+    words are. Without `now` all phrases are reached, without `before` none was before.
+    """
+    place, own = np.arange(len(keys)), keys
+    held, held_before = (f.has(own) if f else np.full(len(own), default) for f, default in ((now, True), (before, False)))
+    if before is None:
+        yield (1, *np.unique(own, return_counts=True))
+    for size in range(2, longest + 1):
+        # Phrases of one word less that start at neighbouring words, in one piece.
+        pair = np.flatnonzero((np.diff(place) == 1) & held[:-1] & held[1:])
+        pair = pair[pieces[place[pair]] == pieces[place[pair] + size - 1]]
+        both_before = held_before[pair] & held_before[pair + 1]
+        place, own = place[pair], _mixed(own[pair], keys[place[pair] + size - 1])
+        yield (size, *np.unique(own[~both_before], return_counts=True))
+        held = now.has(own) if now else np.ones(len(own), bool)
+        held_before = both_before & before.has(own) if before else both_before
+
+
+def _made(schema: str) -> tuple[StructType, pa.Schema]:
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+    return kind, to_arrow_schema(kind)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Lists of (lang, plain bytes) that hold about so many words."""
+    held, size = [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = plain_bytes(text.as_py())
+            held.append((lang, data))
+            size += len(data) // 6 + 1
+            if size >= words:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _by_key(docs: DataFrame, chunk: int, longest: int, now=None, before=None) -> DataFrame:
+    """key, words, f of the phrases in reach; f is summed by chunk only."""
+    kind, schema = _made("key bigint, words int, f bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, chunk):
+            keys, starts, pieces = word_keys(b"\n".join([d for _, d in held]))
+            sizes = np.array([len(d) + 1 for _, d in held])
+            counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+            known = {lang: lang_key(lang) for lang in {lang for lang, _ in held}}
+            keys = _mixed(keys, np.repeat(np.array([known[lang] for lang, _ in held], np.uint64), counts))
+            for size, found, n in reached(keys, pieces, longest, now.value if now else None, before.value if before else None):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), size, np.int32)), pa.array(n.astype(np.int64))], schema=schema)
+
+    return docs.mapInArrow(run, kind).groupBy("key", "words").agg(F.sum("f").alias("f"))
+
+
 class _Counts:
-    """Counts of phrases of one lang in a chunk. now and before: filters of this pass and of the one before; without them all phrases count."""
+    """Exact counts of phrases of one lang in a chunk: words are numbered, phrases of one word more are pairs of numbers."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.next = count().__next__
         self.texts: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, text: str) -> int:
-        words, number, step = words_of(text), self.number, self.next
-        ids = [number[w] if w in number else number.setdefault(w, step()) for w in words]
-        ids.append(number[_END] if _END in number else number.setdefault(_END, step()))
-        self.texts.append(np.array(ids, np.int64))
-        return len(ids)
+    def add(self, data: bytes) -> None:
+        words, number, step = [w for w in data.replace(b"\n", b" \n ").split(b" ") if w], self.number, self.next
+        words.append(b"\n")
+        self.texts.append(np.array([number[w] if w in number else number.setdefault(w, step()) for w in words], np.int64))
 
-    def counted(self, now: Filter | None, before: Filter | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For 1 to LONGEST words: the phrases (as a list of bytes), their counts, and whether the filter has them (phrases of the longest: true)."""
+    def counted(self, lang: str, wanted: Filter) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+        """(words, phrases, counts) of phrases whose keys the filter has, and those of their parts; first all words as (0, one empty phrase)."""
         ids, names = np.concatenate(self.texts), list(self.number)
-        end = self.number[_END]
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
-        always = lambda f, h: np.ones(len(h), bool) if f is None else f.has(h)
-        never = lambda f, h: np.zeros(len(h), bool) if f is None else f.has(h)
-        real = ids != end
-        # Of each place: which phrase of n words starts there (or -1), and whether its parts are in reach of the filters.
-        place, base = np.where(real, ids, -1), len(names)
-        phrases, in_now, in_before = names, always(now, hashes), never(before, hashes)
-        if before is None:
-            n = np.bincount(ids, minlength=base)
-            keep = np.arange(base) != end
-            at = np.flatnonzero(keep)
-            yield [names[k] for k in at.tolist()], n[at], in_now[at]
-        own = hashes
+        end, base = self.number[b"\n"], len(names)
+        keys = np.zeros(base, np.uint64)
+        keys[[k for k in range(base) if k != end]] = _mixed(word_keys(b" ".join([w for w in names if w != b"\n"]))[0], lang_key(lang))
+        n = np.bincount(ids, minlength=base)
+        n[end] = 0
+        yield 0, [b""], np.array([n.sum()])
+        held = wanted.has(keys) & (np.arange(base) != end)
+        at = np.flatnonzero(held)
+        yield 1, [names[k] for k in at.tolist()], n[at]
+        place, own, phrases = np.where(held[ids], ids, -1), keys, names
         for size in range(2, LONGEST + 1):
-            left, right = place[:-1], place[1:]
-            there = np.flatnonzero((left >= 0) & (right >= 0))
-            there = there[in_now[left[there]] & in_now[right[there]]]
-            last = ids[there + size - 1]
-            keys, first, inverse, n = np.unique(left[there] * base + last, return_index=True, return_inverse=True, return_counts=True)
-            a, b = left[there][first], right[there][first]
-            reached = in_before[a] & in_before[b]
-            head, tail = keys // base, keys % base
-            own = _mixed(own[head], hashes[tail])
-            known = np.flatnonzero(~reached)
-            found = phrases
-            phrases = _Later(found, names, head, tail)
-            in_now, in_before = always(now, own), reached & never(before, own)
-            yield [phrases[k] for k in known.tolist()], n[known], in_now[known] if size < LONGEST else np.ones(len(known), bool)
-            place = np.full(len(place) - 1, -1, np.int64)
-            place[there] = inverse
+            there = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
             if not len(there):
                 return
+            pairs, inverse, n = np.unique(place[there] * base + ids[there + size - 1], return_inverse=True, return_counts=True)
+            head, last = pairs // base, pairs % base
+            own = _mixed(own[head], keys[last])
+            held = wanted.has(own)
+            at = np.flatnonzero(held)
+            number = np.cumsum(held) - 1
+            phrases = [phrases[a] + b" " + names[b] for a, b in zip(head[at].tolist(), last[at].tolist(), strict=True)]
+            own = own[at]
+            yield size, phrases, n[at]
+            place = np.full(len(place) - 1, -1, np.int64)
+            place[there] = np.where(held, number, -1)[inverse]
 
 
-class _Later:
-    """Phrases put together when asked for: one of the shorter ones and a word."""
+def _exact(docs: DataFrame, chunk: int, wanted) -> DataFrame:
+    """lang, phrase, words, f of the phrases whose keys are wanted, and of each lang's empty phrase, which has all its words."""
+    kind, schema = _made("lang string, phrase string, words int, f bigint")
 
-    def __init__(self, shorter, names: list[bytes], head: np.ndarray, tail: np.ndarray):
-        self.shorter, self.names, self.head, self.tail = shorter, names, head.tolist(), tail.tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, chunk):
+            langs: dict[str, _Counts] = {}
+            for lang, data in held:
+                langs.setdefault(lang, _Counts()).add(data)
+            for lang, counts in langs.items():
+                for size, phrases, n in counts.counted(lang, wanted.value):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(n.astype(np.int64))], schema=schema)
 
-    def __getitem__(self, k: int) -> bytes:
-        return self.shorter[self.head[k]] + b" " + self.names[self.tail[k]]
+    return docs.mapInArrow(run, kind).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def _counted(docs: DataFrame, chunk_words: int, now=None, before=None) -> DataFrame:
-    """lang, phrase, words, f and known (whether the filter has it), summed by chunk only; the empty phrase of no words has all words of a lang."""
-    kind = _parse_datatype_string("lang string, phrase string, words int, f bigint, known boolean")
-    assert isinstance(kind, StructType)
-    schema = to_arrow_schema(kind)
-
-    def made(chunk: dict[str, _Counts]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in chunk.items():
-            for size, (phrases, n, known) in enumerate(counts.counted(now.value if now else None, before.value if before else None), 1 if before is None else 2):
-                for k in range(0, len(phrases), 100_000):
-                    part = phrases[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), size, np.int32)), pa.array(n[k : k + 100_000].astype(np.int64)), pa.array(known[k : k + 100_000])], schema=schema
-                    )
-                if size == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([int(n.sum())]), pa.array([True])], schema=schema)
+def _filter(keys: DataFrame, base: np.ndarray):
+    """A broadcast filter of the keys and of those in base; its size is that of base, whatever their number."""
+    kind, schema = _made("place bigint, bits bigint")
+    size = 64 * len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: dict[str, _Counts] = {}
-        held = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = chunk.get(lang)
-                if own is None:
-                    own = chunk[lang] = _Counts()
-                held += own.add(text.as_py())
-                if held >= chunk_words:
-                    yield from made(chunk)
-                    chunk, held = {}, 0
-        yield from made(chunk)
-
-    return docs.mapInArrow(run, kind)
-
+            at = np.concatenate(probes(batch.column(0).to_numpy().view(np.uint64), size))
+            bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], schema=schema)
 
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.max("known").alias("known")).where(f"f >= {least} OR words = 0")
+    # At most size / 64 rows of two numbers.
+    found = keys.select("key").mapInArrow(run, kind).groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = base.copy()
+    words[found.column("place").to_numpy()] |= found.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Filter(words))
 
 
-def _filter_words(phrases: DataFrame, size: int) -> DataFrame:
-    """place and bits of each 64-bit word that phrases of up to LONGEST - 1 words set in a filter; at most size / 64 rows."""
-    kind = _parse_datatype_string("place bigint, bits bigint")
-    assert isinstance(kind, StructType)
-    schema = to_arrow_schema(kind)
+def _outside(keys: DataFrame, known) -> DataFrame:
+    """The rows whose keys a filter hasn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.array([phrase_hash(p.encode().split(b" ")) for p in batch.column(0).to_pylist()], np.uint64)
-            at = np.concatenate(probes(hashes, size))
-            bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], schema=schema)
+            yield batch.filter(pa.array(~known.value.has(batch.column(0).to_numpy().view(np.uint64))))
 
-    return phrases.where(f"words BETWEEN 1 AND {LONGEST - 1}").select("phrase").mapInArrow(run, kind).groupBy("place").agg(F.bit_or("bits").alias("bits"))
-
-
-def _filter(phrases: DataFrame, base: np.ndarray):
-    """A broadcast filter of the phrases and of those in base; its size is that of base, whatever their number."""
-    words = base.copy()
-    found = _filter_words(phrases, 64 * len(base)).toArrow()
-    words[found.column("place").to_numpy()] |= found.column("bits").to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(Filter(words))
+    return keys.mapInArrow(run, keys.schema)
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, sample: int = SAMPLE, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
@@ -229,21 +283,23 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     The sample is the documents that a hash of their text chooses. sample, bits and chunk change the work, not the result.
     """
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    none = np.zeros(bits // 64, np.uint64)
     chosen = read.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    proposed = written(_frequent(_counted(chosen, chunk), SAMPLE_LEAST), "proposed")
-    now, before, found = _filter(proposed, np.zeros(bits // 64, np.uint64)), None, []
+    now, before, found = _filter(_by_key(chosen, chunk, LONGEST - 1).where(f"f >= {SAMPLE_LEAST}"), none), None, []
     while True:
-        counted = written(_frequent(_counted(read, chunk, now, before), least), "phrases")
+        counted = written(_by_key(read, chunk, LONGEST, now, before).where(f"f >= {least}"), "phrase-keys")
         found.append(counted)
-        failed = counted.where(f"NOT known AND words < {LONGEST}")
+        failed = written(_outside(counted.where(f"words < {LONGEST}"), now), "border-failures")
         if failed.isEmpty():
             break
         before, now = now, _filter(failed, now.value.words)
-    drop_written(proposed)
-    out = found[0]
+    frequent = found[0]
     for more in found[1:]:
-        out = out.union(more)
-    return out.drop("known")
+        frequent = frequent.union(more)
+    out = written(_exact(read, chunk, _filter(frequent, none)).where(f"f >= {least} OR words = 0"), "phrases")
+    for done in (*found, failed):
+        drop_written(done)
+    return out
 
 
 def _big(column) -> F.Column:
@@ -256,7 +312,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     a is the phrase's count, l and r those of the parts of its weakest cut, n the lang's words. Phrases inside a longer
     frequent one that has at least `covered` per cent of their count are left out. how: sample, bits and chunk of `mine`.
     """
-    phrases = written(mine(docs, text, lang, least, **how), "mined")
+    phrases = mine(docs, text, lang, least, **how)
     counts = phrases.select("lang", "phrase", "f")
     candidates = phrases.where("words >= 2").select("lang", F.col("phrase"), F.split("phrase", " ").alias("w"), F.col("f").alias("a"))
     cuts = candidates.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
