@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ticks import floor_div_col, from_seconds, saturate_col
+from ..functions.ticks import from_seconds, saturate, saturate_col
+from .intervals import end_of, overlaps
 
 ORDER = ("onset_ticks", "signal_index", "byte_offset_in_record", "record_index")
 
@@ -19,7 +20,7 @@ def rebase(annotations: DataFrame, origin_ticks: Column | int) -> DataFrame:
 
 
 def _overlaps(begin: Column, end: Column, onset: Column, duration: Column) -> Column:
-    stop = onset + F.coalesce(duration, F.lit(0))
+    stop = end_of(onset, duration)
     return (onset < end) & ((stop > begin) | ((stop == onset) & (onset >= begin)))
 
 
@@ -28,22 +29,16 @@ def in_window(annotations: DataFrame, start_seconds: float, duration_seconds: fl
     begin, length = from_seconds(start_seconds), from_seconds(duration_seconds)
     if length <= 0:
         return annotations.where(F.lit(False))
-    return annotations.where(_overlaps(F.lit(begin), F.lit(begin + length), F.col("onset_ticks_from_first_record"), F.col("duration_ticks")))
+    return annotations.where(_overlaps(F.lit(saturate(begin)), F.lit(saturate(begin + length)), F.col("onset_ticks_from_first_record"), F.col("duration_ticks")))
 
 
-def in_windows(annotations: DataFrame, windows: DataFrame, bucket_ticks: int) -> DataFrame:
+def in_windows(annotations: DataFrame, windows: DataFrame) -> DataFrame:
     """Every pair of a window (path, start_ticks, end_ticks) and an annotation of its path that overlaps it.
 
-    Both stand in each bucket of time that they touch, and a pair is given in the first bucket they share: an
-    equi-join, whatever the number of windows and annotations.
+    They meet by dyadic cells, each in a few rows whatever its length; windows without length hold nothing.
     """
-    onset = F.col("onset_ticks_from_first_record")
-    stop = onset + F.coalesce("duration_ticks", F.lit(0))
-    left = annotations.withColumn("_b", F.explode(F.sequence(floor_div_col(onset, bucket_ticks), floor_div_col(F.greatest(stop - 1, onset), bucket_ticks))))
-    right = windows.where("end_ticks > start_ticks").withColumnRenamed("path", "_path").withColumn("_w", F.explode(F.sequence(floor_div_col(F.col("start_ticks"), bucket_ticks), floor_div_col(F.col("end_ticks") - 1, bucket_ticks))))
-    first = F.col("_b") == F.greatest(floor_div_col(onset, bucket_ticks), floor_div_col(F.col("start_ticks"), bucket_ticks))
-    joined = left.join(right, [F.col("path") == F.col("_path"), F.col("_b") == F.col("_w"), first, _overlaps(F.col("start_ticks"), F.col("end_ticks"), onset, F.col("duration_ticks"))])
-    return joined.drop("_path", "_b", "_w")
+    found = annotations.withColumn("_stop", end_of(F.col("onset_ticks_from_first_record"), F.col("duration_ticks")))
+    return overlaps(found, windows.where("end_ticks > start_ticks"), ("onset_ticks_from_first_record", "_stop"), ("start_ticks", "end_ticks")).drop("_stop")
 
 
 def by_text(annotations: DataFrame, match: str | Column | Callable[[str], bool], regex: bool = False) -> DataFrame:
@@ -69,6 +64,6 @@ def counts_by_text(annotations: DataFrame) -> DataFrame:
 
 def at(annotations: DataFrame, seconds: float) -> DataFrame:
     """Annotations in force at an instant; those without duration only exactly then."""
-    t = from_seconds(seconds)
+    t = saturate(from_seconds(seconds))
     onset, length = F.col("onset_ticks_from_first_record"), F.coalesce("duration_ticks", F.lit(0))
-    return annotations.where(F.when(length == 0, onset == t).otherwise((onset <= t) & (onset + length > t)))
+    return annotations.where(F.when(length == 0, onset == t).otherwise((onset <= t) & (end_of(onset, length) > t)))

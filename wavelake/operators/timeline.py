@@ -1,7 +1,7 @@
 """Segments, gaps and point lookups over DataFrames of record starts.
 
 `records` has path, record_index and onset_ticks (see the source's mode "records"). Windows run within a path;
-what a lookup joins to is small by nature (segments), or is met by equal buckets of time when it isn't.
+points meet intervals of any length by dyadic cells.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ticks import WIDE, ceil_div_col, div, floor_div_col, from_seconds_col
+from .intervals import points_in
 
 #: Records that are put in order together; a longer recording is cut at these boundaries and joined up again.
 BLOCK = 1 << 20
-#: Width of the buckets by which points meet intervals, and records meet runs of records.
-HOUR, RECORDS = 36_000_000_000, 4096
+#: Width of the buckets by which records meet runs of records.
+RECORDS = 4096
 
 
 def steps(records: DataFrame, duration_ticks: Column | int) -> DataFrame:
@@ -78,24 +79,14 @@ def contiguity(found: DataFrame, complete: bool = True) -> DataFrame:
     return found.groupBy("path").agg(many.alias("contiguity"))
 
 
-def intervals_at(points: DataFrame, intervals: DataFrame, ticks: str = "ticks", bucket_ticks: int | None = HOUR, how: str = "inner") -> DataFrame:
-    """Each point with the half-open intervals [start_ticks, end_ticks) of its path that hold it.
-
-    Both sides meet by equal buckets of time (an interval stands in every bucket it touches); with bucket_ticks
-    None, for intervals that span very many buckets, Spark joins by path and filters.
-    """
-    inside = (F.col(ticks) >= F.col("start_ticks")) & (F.col(ticks) < F.col("end_ticks"))
-    if bucket_ticks is None:
-        return points.join(intervals, [points["path"] == intervals["path"], inside], how).drop(intervals["path"])
-    last = F.greatest(floor_div_col(F.col("end_ticks") - 1, bucket_ticks), floor_div_col(F.col("start_ticks"), bucket_ticks))
-    right = intervals.withColumnRenamed("path", "_path").withColumn("_bucket", F.explode(F.sequence(floor_div_col(F.col("start_ticks"), bucket_ticks), last)))
-    left = points.withColumn("_at", floor_div_col(F.col(ticks), bucket_ticks))
-    return left.join(right, [F.col("path") == F.col("_path"), F.col("_at") == F.col("_bucket"), inside], how).drop("_path", "_bucket", "_at")
+def intervals_at(points: DataFrame, intervals: DataFrame, ticks: str = "ticks") -> DataFrame:
+    """Each point with the half-open intervals [start_ticks, end_ticks) of its path that hold it, met by dyadic cells."""
+    return points_in(points, intervals, ticks)
 
 
-def first_interval_at(points: DataFrame, intervals: DataFrame, key: str, index: str, **options) -> DataFrame:
+def first_interval_at(points: DataFrame, intervals: DataFrame, key: str, index: str, ticks: str = "ticks") -> DataFrame:
     """At most one interval for each point: where intervals overlap, the earliest by `index`."""
-    found = intervals_at(points, intervals, **options)
+    found = intervals_at(points, intervals, ticks)
     columns = [c for c in found.columns if c not in points.columns]
     best = found.groupBy(key).agg(F.min_by(F.struct(*columns), index).alias("_hit"))
     return points.join(best, key, "left").select(*points.columns, "_hit.*")

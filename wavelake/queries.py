@@ -575,13 +575,13 @@ def _points(spark: SparkSession, d: str, path: str = "minutes") -> DataFrame:
 
 @query(f"WITH {SEG}, {_POINTS} SELECT event_id, segment_index FROM points p LEFT JOIN seg ON p.ticks >= start_ticks AND p.ticks < end_ticks")
 def segment_at(spark, d):
-    return L.first_interval_at(_points(spark, d), _segments(spark, d), "event_id", "segment_index", bucket_ticks=60 * MINUTE).select("event_id", "segment_index")
+    return L.first_interval_at(_points(spark, d), _segments(spark, d), "event_id", "segment_index").select("event_id", "segment_index")
 
 
 @query(f"WITH {SEG}, g AS (SELECT segment_index AS before_segment_index, end_ticks AS a, lead(start_ticks) OVER (ORDER BY segment_index) AS b FROM seg), {_POINTS} SELECT event_id, before_segment_index FROM points p JOIN g ON p.ticks >= a AND p.ticks < b")
 def gap_at(spark, d):
     found = L.gaps(_segments(spark, d))
-    return L.intervals_at(_points(spark, d), found, bucket_ticks=60 * MINUTE).select("event_id", "before_segment_index")
+    return L.intervals_at(_points(spark, d), found).select("event_id", "before_segment_index")
 
 
 @query(f"WITH {MI}, {_POINTS} SELECT event_id, record_index, ticks - onset_ticks AS offset_in_record_ticks FROM points p LEFT JOIN mi ON p.ticks >= onset_ticks AND p.ticks < onset_ticks + {MINUTE}")
@@ -647,7 +647,7 @@ def annotations_in_window(spark, d):
 def annotations_in_windows(spark, d):
     user = F.col("user_id")
     windows = X.events(spark, d).where(user % 60 > 0).select("path", user, ((user * 17 % 20_000) * D).alias("start_ticks"), ((user * 17 % 20_000 + user % 60) * D).alias("end_ticks")).distinct()
-    return A.in_windows(_notes(spark, d), windows, 600 * D).select("user_id", "event_id")
+    return A.in_windows(_notes(spark, d), windows).select("user_id", "event_id")
 
 
 _AT = "(SELECT onset_ticks FROM note WHERE event_id = (SELECT count(*) // 2 FROM note))"
