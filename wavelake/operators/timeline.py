@@ -42,19 +42,20 @@ def check_monotonic(records: DataFrame) -> DataFrame:
     return found.where(F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))).drop("block", "before", "breaks")
 
 
-def segments(records: DataFrame, duration_ticks: int, origin_ticks: int | Column = 0) -> DataFrame:
+def segments(records: DataFrame, duration_ticks: int | Column, origin_ticks: int | Column = 0) -> DataFrame:
     """path, segment_index, record_start, record_count, start_ticks, duration_ticks, end_ticks on the recording's axis.
 
+    Columns for duration and origin are columns of the records, so each file may have its own.
     Only the records at which a segment begins are numbered, and the last record of each path closes the last.
     """
-    origin = F.lit(origin_ticks) if isinstance(origin_ticks, int) else origin_ticks
+    origin, each = (F.lit(x).cast("bigint") if isinstance(x, int) else x for x in (origin_ticks, duration_ticks))
     found = steps(records, duration_ticks)
-    starts = found.where("breaks").select("path", "record_index", "onset_ticks")
+    starts = found.where("breaks").select("path", "record_index", (F.col("onset_ticks") - origin).alias("_start"), each.alias("_each"))
     totals = records.groupBy("path").agg((F.max("record_index") + 1).alias("stop"))
     along = Window.partitionBy("path").orderBy("record_index")
-    numbered = starts.join(totals, "path").select("path", (F.row_number().over(along) - 1).cast("int").alias("segment_index"), F.col("record_index").alias("record_start"), (F.coalesce(F.lead("record_index").over(along), F.col("stop")) - F.col("record_index")).alias("record_count"), (F.col("onset_ticks") - origin).alias("start_ticks"))
-    length = F.col("record_count") * duration_ticks
-    return numbered.withColumn("duration_ticks", length).withColumn("end_ticks", F.col("start_ticks") + length)
+    numbered = starts.join(totals, "path").select("path", (F.row_number().over(along) - 1).cast("int").alias("segment_index"), F.col("record_index").alias("record_start"), (F.coalesce(F.lead("record_index").over(along), F.col("stop")) - F.col("record_index")).alias("record_count"), F.col("_start").alias("start_ticks"), "_each")
+    length = F.col("record_count") * F.col("_each")
+    return numbered.withColumn("duration_ticks", length).withColumn("end_ticks", F.col("start_ticks") + length).drop("_each")
 
 
 def gaps(found: DataFrame) -> DataFrame:

@@ -619,18 +619,41 @@ def contiguity(spark, d):
     return L.contiguity(_segments(spark, d)).select("contiguity")
 
 
-_ASKED = f"asked AS (SELECT CAST(i AS INTEGER) AS asked, i * 1375 * {D} AS since, i * 1375 * {D} + (i % 7) * 130 * {D} AS till FROM range(60) r(i))"
+_ASKED = f"asked AS (SELECT event_id AS asked, ticks - (event_id % 3) * {MINUTE} AS since, ticks - (event_id % 3) * {MINUTE} + (event_id % 7) * 130 * {D} AS till FROM ev)"
 
 
-@query(f"""WITH {SEG}, {_ASKED} SELECT asked, CAST(min(record_index) AS INTEGER) AS first, CAST(count(*) AS INTEGER) AS count FROM asked JOIN gr ON onset_ticks < till AND onset_ticks + {MINUTE} > since WHERE till > since GROUP BY asked, segment_index""")
+@query(f"""WITH {SEG}, {_ASKED}, r AS (SELECT asked, segment_index, min(record_index) AS first, count(*) AS count FROM asked JOIN gr ON onset_ticks < till AND onset_ticks + {MINUTE} > since WHERE till > since GROUP BY 1, 2)
+SELECT asked, CAST(row_number() OVER (PARTITION BY asked ORDER BY segment_index) - 1 AS INTEGER) AS run_id, first, count FROM r""")
 def window_planning(spark, d):
-    """Record ranges of sixty windows over the segments of the minutes with events."""
-    from .plans.window import resolve
+    """Record ranges of a window around each event over the segments of the minutes with events."""
+    from .plans.windows import plan
 
-    index = [r.asDict() for r in _segments(spark, d).orderBy("segment_index").collect()]
-    time = {"record_count": sum(s["record_count"] for s in index), "span_ticks": index[-1]["end_ticks"] - index[0]["start_ticks"], "covered_ticks": sum(s["duration_ticks"] for s in index)}
-    rows = [(i, *r) for i in range(60) for r in resolve(time, MINUTE, index, i * 1375.0, (i % 7) * 130.0)]
-    return spark.createDataFrame(rows, "asked int, first int, count int")
+    begin = F.col("ticks") - F.col("event_id") % 3 * MINUTE
+    windows = X.events(spark, d).select(F.lit("minutes").alias("path"), F.col("event_id").alias("window_id"), begin.alias("start_ticks"), (begin + F.col("event_id") % 7 * (130 * D)).alias("end_ticks"))
+    found = _segments(spark, d).withColumn("record_duration_ticks", F.lit(MINUTE).cast("bigint"))
+    return plan(windows, found).select(F.col("window_id").alias("asked"), "run_id", "first", "count")
+
+
+_PLACE = f"(event_id % {S * X.FILE_RECORDS} // {S})"
+_SINCE = f"({_PLACE} + 10 * ({_PLACE} // 20)) * {D} + (event_id % 5 - 2) * {D // 4}"
+
+
+@query(f"""WITH {EV}, w AS (SELECT event_id AS window_id, {_FILE} AS file, {_SINCE} AS since, {_SINCE} + (event_id % 9) * {3 * D // 2} AS till FROM ev),
+r AS (SELECT {_FILE} AS file, {_PLACE} AS record_index, count(*) AS n, sum(digital - 32768) AS total FROM ev GROUP BY 1, 2),
+o AS (SELECT *, (record_index + 10 * (record_index // 20)) * {D} AS onset FROM r)
+SELECT window_id, count(*) AS records, count(DISTINCT record_index // 20) AS runs, CAST(sum(total) AS BIGINT) AS total FROM w JOIN o ON o.file = w.file AND onset < till AND onset + {D} > since WHERE till > since GROUP BY 1""")
+def windows_archive(spark, d):
+    """A window around each event's place in its file, over all files with gaps; records that windows share are read once."""
+    from .plans.windows import read_windows
+
+    folder = X.archive(spark, d, "gaps", KINDS["gaps"])
+    place = F.call_function("div", F.col("event_id") % (S * X.FILE_RECORDS), F.lit(S))
+    begin = (place + 10 * F.call_function("div", place, F.lit(20))) * D + (F.col("event_id") % 5 - 2) * (D // 4)
+    files = _read(spark, d, "gaps", "headers").select("path", X.file_part(F.col("path")).alias("file"))
+    asked = X.table(spark, d, "events").select(F.call_function("div", F.col("event_id"), F.lit(S * X.FILE_RECORDS)).alias("file"), F.col("event_id").alias("window_id"), begin.alias("start_ticks"), (begin + F.col("event_id") % 9 * (3 * D // 2)).alias("end_ticks"))
+    blocks = read_windows(spark, folder, asked.join(files, "file"), "EEG value")
+    total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return blocks.groupBy("window_id").agg(F.count("*").alias("records"), F.countDistinct("run_id").alias("runs"), F.sum(total).alias("total"))
 
 
 # -- annotations -----------------------------------------------------------------------------------------------
@@ -650,6 +673,16 @@ def annotations_in_windows(spark, d):
     return A.in_windows(_notes(spark, d), windows).select("user_id", "event_id")
 
 
+@query(f"""WITH {NOTE}, w AS (SELECT DISTINCT (user_id * 17 % 20000) * {D} AS a, (user_id * 17 % 20000 + user_id % 60) * {D} AS b, user_id FROM ev WHERE user_id % 60 > 0)
+SELECT user_id, count(*) AS n FROM note JOIN w ON text = 'error' AND onset_ticks < b GROUP BY 1""")
+def annotations_without_end(spark, d):
+    """Errors that last as long as 64 bits can say: each window has those that began before its end."""
+    user = F.col("user_id")
+    windows = X.events(spark, d).where(user % 60 > 0).select("path", user, ((user * 17 % 20_000) * D).alias("start_ticks"), ((user * 17 % 20_000 + user % 60) * D).alias("end_ticks")).distinct()
+    notes = _notes(spark, d).where("text = 'error'").withColumn("duration_ticks", F.lit(2**63 - 1))
+    return A.in_windows(notes, windows).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 _AT = "(SELECT onset_ticks FROM note WHERE event_id = (SELECT count(*) // 2 FROM note))"
 
 
