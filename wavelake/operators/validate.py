@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 from ..constants import RECOMMENDED_RECORD_BYTES, signal_field_offset
 from ..diagnostics import Diagnostic, severity_of
 from ..functions import text as T
-from ..sources.bytesource import open_source
-from ..sources.decode import bounded
-from ..sources.header import Header, read_header
-from . import samples as S
+from ..functions.ticks import WIDE
+from ..shared import held
+from ..sources.decode import bounded, check_monotonic
+from ..sources.header import Header
 from . import timeline as L
 
 #: Types that a label of the form "<type> <sensor>" begins with (fixed values).
@@ -80,60 +80,101 @@ def once_per_call(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.where(~once).unionByName(diagnostics.where(once).withColumn("_n", rank).where("_n = 1").drop("_n"))
 
 
+def joined_runs(runs: DataFrame) -> DataFrame:
+    """Segments of each path from the runs that parts of its file saw: the columns of `segments`, continuity, and whether starts go back (backwards)."""
+    along = Window.partitionBy("path").orderBy("record_index")
+    ends = F.col("start_ticks").cast(WIDE) + F.col("record_count") * F.col("record_duration_ticks").cast(WIDE)
+    before, last = F.lag(ends).over(along), F.lag(ends - F.col("record_duration_ticks")).over(along)
+    marked = runs.withColumn("_new", (before.isNull() | (before != F.col("start_ticks"))).cast("int")).withColumn("_back", F.coalesce(F.col("start_ticks") < last, F.lit(False)))
+    numbered = marked.withColumn("segment_index", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
+    found = numbered.groupBy("path", "segment_index", "continuity", "record_duration_ticks").agg(F.min("record_index").alias("record_start"), F.sum("record_count").alias("record_count"), F.min_by("start_ticks", "record_index").alias("start_ticks"), F.max("_back").alias("backwards"))
+    length = F.col("record_count") * F.col("record_duration_ticks")
+    return found.withColumn("duration_ticks", length).withColumn("end_ticks", F.col("start_ticks") + length)
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """path, signal_index, observed_digital_min and _max, out_of_range_count, sample_count of an audit's rows."""
+    found = rows.where("kind = 'stats'").groupBy("path", "signal_index")
+    return found.agg(F.min("observed_digital_min").alias("observed_digital_min"), F.max("observed_digital_max").alias("observed_digital_max"), F.sum("out_of_range_count").alias("out_of_range_count"), F.sum("sample_count").alias("sample_count"))
+
+
 def validate(recording, scan_samples: bool = False, use_index: bool = True, max_bytes: float | None = None) -> dict:
     """Report of a recording: ok, diagnostics, records_scanned, bytes_read, signal_stats.
 
     Without samples to scan, records are read only if their starts aren't known: neither by arithmetic nor by a
-    complete index. The samples are reduced on the executors to one row for each signal. Findings and segments come
-    to the driver within max_bytes; `validate_files` gives them as rows of a table, however many there are.
+    complete index. One traversal by tasks gives findings, starts and statistics; they come to the driver within
+    max_bytes. `validate_files` gives them as rows of a table, however many there are.
     """
     h, known = recording.header, recording._index if use_index else None
     found = [*h.diagnostics, *header_rules(h), *recording.timeline["diagnostics"]]
     timed = bool(h.annotation_signals)
     reads = scan_samples or (timed and known is None)
-    if reads and timed:
-        said = once_per_call(recording.scan("diagnostics", max_bytes=max_bytes).where("stage = 'records'")).orderBy("record_index", "signal_index", "byte_offset").drop("path", "stage")
-        found += [Diagnostic(**r.asDict()) for r in bounded(said, FINDING_BYTES, max_bytes, "findings")]
-    segments = known
-    if segments is None and timed:
-        found_segments = L.segments(L.check_monotonic(recording.records()), h.record_duration_ticks, recording.timeline["start_offset_ticks"])
-        segments = [r.asDict() for r in bounded(found_segments.orderBy("segment_index"), FINDING_BYTES, max_bytes, "segments")]
+    segments, stats = known, []
+    if reads:
+        rows = [r.asDict() for r in bounded(recording.scan("audit", max_bytes=max_bytes, signals=None if scan_samples else ""), FINDING_BYTES, max_bytes, "findings")]
+        told, said = set(), [r for r in rows if r["kind"] == "finding"]
+        for r in sorted(said, key=lambda r: tuple((r[k] is not None, r[k] or 0) for k in ("record_index", "signal_index", "byte_offset"))):
+            if not r["once"] or r["code"] not in told:
+                found.append(Diagnostic(**{k: r[k] for k in Diagnostic.__dataclass_fields__}))
+            told.add(r["code"])
+        if segments is None and timed:
+            segments = _segments_of([r for r in rows if r["kind"] == "run"], h.record_duration_ticks)
+        if scan_samples:
+            by: dict[int, list[dict]] = {}
+            for r in rows:
+                if r["kind"] == "stats":
+                    by.setdefault(r["signal_index"], []).append(r)
+            for i in h.data_signals:
+                parts = by.get(i, [])
+                row = {name: f((r[name] for r in parts), default=0) for name, f in (("observed_digital_min", min), ("observed_digital_max", max))}
+                stats.append({"signal_index": i} | row | {name: sum(r[name] for r in parts) for name in ("out_of_range_count", "sample_count")})
     found += structure_rules(h, segments or [])
-    stats = []
-    if scan_samples:
-        by = {r["signal_index"]: r.asDict() for r in S.signal_stats(recording.blocks(h.data_signals)).collect()} if h.data_signals else {}
-        empty = {"observed_digital_min": 0, "observed_digital_max": 0, "out_of_range_count": 0, "sample_count": 0}
-        stats = [{k: v for k, v in ({"signal_index": i} | by.get(i, empty)).items() if k != "path"} for i in h.data_signals]
     return {"ok": all(d.severity != "error" for d in found), "diagnostics": found, "records_scanned": h.record_count if reads else 0, "bytes_read": h.data_byte_length if reads else 0, "signal_stats": stats}
 
 
-def validate_files(read: Callable[[str], DataFrame], duration_ticks: int) -> DataFrame:
-    """path, code, severity of the findings in every file of an archive; `read` gives the archive in a mode of the source.
+def _segments_of(runs: list[dict], duration: int) -> list[dict]:
+    """Segments of the runs of one recording; starts that go back raise."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: r["record_index"]):
+        if out and r["start_ticks"] == out[-1]["end_ticks"]:
+            out[-1]["record_count"] += r["record_count"]
+        else:
+            if out:
+                check_monotonic([out[-1]["end_ticks"] - duration, r["start_ticks"]], r["record_index"] - 1)
+            out.append({"segment_index": len(out), "record_start": r["record_index"], "record_count": r["record_count"], "start_ticks": r["start_ticks"]})
+        out[-1]["duration_ticks"] = out[-1]["record_count"] * duration
+        out[-1]["end_ticks"] = out[-1]["start_ticks"] + out[-1]["duration_ticks"]
+    return out
 
-    The rules are those of `validate`; files are looked at by tasks, and nothing comes to the driver.
-    """
-    headers, columns = read("headers").select("path", "continuity"), ["path", "code", "severity"]
-
-    def rules(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                source = open_source(path)
-                try:
-                    rows += [(path, d.code, d.severity) for d in header_rules(read_header(source))]
-                finally:
-                    source.close()
-            yield pd.DataFrame(rows, columns=columns)
-
-    said = read("diagnostics")
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    """path, code, severity of the findings that an audit's rows show; nothing comes to the driver."""
+    columns = ["path", "code", "severity"]
+    said = rows.where("kind = 'finding'")
     records = once_per_call(said.where("stage = 'records'")).select(columns)
-    found = L.segments(L.check_monotonic(read("records")), duration_ticks)
-    broken = found.groupBy("path").count().where("count > 1").join(headers.where("continuity = 'continuous'"), "path", "left_semi")
-    overlaps = L.gaps(found).where("duration_ticks < 0")
+    found = joined_runs(rows.where("kind = 'run'"))
+    counted = found.groupBy("path", "continuity").agg(F.count("*").alias("n"), F.max("backwards").alias("backwards"))
     coded = lambda df, code: df.select("path", F.lit(code).alias("code"), F.lit(severity_of(code)).alias("severity"))
-    parts = [said.where("stage <> 'records'").select(columns), headers.select("path").mapInPandas(rules, "path string, code string, severity string"), coded(broken, "DISCONTINUITY_IN_CONTINUOUS_FILE"), coded(overlaps, "RECORD_ONSET_SPACING_VIOLATION")]
+    parts = [
+        said.where("stage <> 'records'").select(columns),
+        coded(counted.where("n > 1 AND continuity = 'continuous'"), "DISCONTINUITY_IN_CONTINUOUS_FILE"),
+        coded(L.gaps(found).where("duration_ticks < 0"), "RECORD_ONSET_SPACING_VIOLATION"),
+        coded(counted.where("backwards"), "TIMELINE_NOT_MONOTONIC"),
+    ]
     for part in parts:
         records = records.unionByName(part)
     return records
+
+
+def audited(read: Callable[[str], DataFrame]) -> DataFrame:
+    """The audit of an archive as a table in the shared folder: every record is read once, whatever is asked of it later."""
+    return held(read("audit"), "audit")
+
+
+def validate_files(read: Callable[[str], DataFrame]) -> DataFrame:
+    """path, code, severity of the findings in every file of an archive; `read` gives the archive in a mode of the source.
+
+    The rules are those of `validate`, except that starts that go back are a finding of their file. Files are looked
+    at by tasks, in one traversal of headers, findings, starts and samples.
+    """
+    return findings_of(audited(read))

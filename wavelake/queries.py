@@ -392,7 +392,7 @@ def validate_summary(spark, d):
 
     found = None
     for kind in ("edf", "gaps", "bdf"):
-        rows = validate_files(lambda mode, kind=kind: _read(spark, d, kind, mode), D).groupBy("code", "severity").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "code", "severity", "n")
+        rows = validate_files(lambda mode, kind=kind: _read(spark, d, kind, mode)).groupBy("code", "severity").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "code", "severity", "n")
         found = rows if found is None else found.union(rows)
     return found
 
@@ -441,16 +441,17 @@ def segments_archive(spark, d):
 (SELECT {_FILE} AS file, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} * 2 AS n FROM events GROUP BY 1) f""")
 def validate_archive(spark, d):
     """A row for each file: its findings by severity, without those on labels, and the samples that were looked at."""
-    from .operators.validate import validate_files
+    from .operators.validate import audited, findings_of, statistics
 
     found = None
     for kind in ("edf", "gaps", "bdf"):
         read = lambda mode, kind=kind: _read(spark, d, kind, mode)
-        findings = validate_files(read, D)
+        seen = audited(read)
+        findings = findings_of(seen)
         number = lambda severity: F.count(F.when((F.col("severity") == severity) & ~F.col("code").startswith("LABEL_"), 1)).alias(severity)
         totals = findings.groupBy("path").agg(*map(number, ("info", "warning", "error")), F.count(F.when(F.col("severity") == "error", 1)).alias("_bad"))
-        samples = SA.signal_stats(read("blocks")).groupBy("path").agg(F.sum("sample_count").alias("sample_count"))
-        rows = read("headers").select("path").join(totals, "path", "left").join(samples, "path", "left").na.fill(0)
+        samples = statistics(seen).groupBy("path").agg(F.sum("sample_count").alias("sample_count"))
+        rows = seen.select("path").distinct().join(totals, "path", "left").join(samples, "path", "left").na.fill(0)
         rows = _file(rows, F.lit(kind).alias("kind"), (F.col("_bad") == 0).alias("ok"), "info", "warning", "error", "sample_count")
         found = rows if found is None else found.unionByName(rows)
     return found

@@ -105,7 +105,7 @@ class Recording:
     # -- scans
     def scan(self, mode: str, ranges: list[tuple[int, int]] | None = None, max_bytes: float | None = None, **options) -> DataFrame:
         """Rows of a mode; of the ranges (first record, number) only, if given."""
-        known = mode in ("blocks", "records", "annotations")
+        known = mode in ("blocks", "records", "annotations", "audit")
         if self._held is not None:
             return self._sent(mode, ranges if known and ranges is not None else [(0, self.header.record_count)], max_bytes, options.get("signals"))
         given = {"path": self.path, "mode": mode, **self.options, **{k: v for k, v in options.items() if v is not None}}

@@ -1,7 +1,7 @@
 """spark.read.format("biosignal"): recordings as rows of records, sample blocks, annotations or diagnostics.
 
 Options: path (a file, a folder, a glob, or several joined by line feeds), mode (blocks, records, annotations,
-diagnostics, headers), signals (indices or labels joined by commas; blocks only), records_per_partition (whole
+diagnostics, headers, audit), signals (indices or labels joined by commas; blocks only), records_per_partition (whole
 files are cut at this many bytes by default), strict; for URLs http_headers (a JSON object) and
 allow_full_download; block_bytes and cache_bytes read by blocks that a task keeps. A recording that is open passes
 what it knows (header, byte_length, time, ranges): then nothing is listed, tasks are planned for the asked-for
@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from ..diagnostics import SCHEMA as DIAGNOSTIC_SCHEMA
 from ..errors import ChannelNotFoundError, FormatError
 from .bytesource import CachedSource, HttpSource, open_source
-from .decode import annotations, digital, out_of_range, read_records, runs, timeline
+from .decode import annotations, digital, out_of_range, read_records, runs, starts, timeline
 from .header import Header, parse_header, read_header, signal_row
 
 SPLIT_BYTES = 64 << 20
@@ -48,6 +48,8 @@ SCHEMAS = {
     "annotations": """path string, signal_index int, record_index bigint, byte_offset_in_record bigint, onset_ticks bigint,
 onset_ticks_from_first_record bigint, onset_raw string, duration_ticks bigint, duration_raw string, text string, channel_label string, text_encoding string""",
     "diagnostics": f"path string, stage string, {DIAGNOSTIC_SCHEMA}",
+    "audit": f"""path string, kind string, stage string, {DIAGNOSTIC_SCHEMA}, record_count bigint, start_ticks bigint, record_duration_ticks bigint, continuity string,
+observed_digital_min int, observed_digital_max int, out_of_range_count bigint, sample_count bigint""",
     "headers": f"""path string, ok boolean, byte_length bigint, variant string, continuity string, bytes_per_sample int, header_byte_length bigint,
 declared_header_byte_length double, record_byte_length bigint, data_byte_length bigint, record_duration_seconds double, record_duration_ticks bigint,
 record_count bigint, declared_record_count double, record_count_source string,
@@ -183,35 +185,95 @@ def scan(source, path: str, mode: str, part: int = 0, parts: int = 1, start: int
             row = {"path": path, "ok": False, "byte_length": source.byte_length, "diagnostics": [d.row() for d in e.diagnostics]}
         yield {k: [v] for k, v in row.items()}
         return
+    if mode == "audit":
+        yield from audit(source, path, part, parts, start, stop, known, signals != "")
+        return
     header = known.header if known else read_header(source, strict)
     time = known.time if known else timeline(source, header, strict)
-    n, origin = header.record_count, time["start_offset_ticks"]
-    first, last = max(start, n * part // parts), min(n if stop is None else stop, n * (part + 1) // parts)
+    origin = time["start_offset_ticks"]
+    first, last = _share(header.record_count, part, parts, start, stop)
     if mode == "diagnostics" and part == 0:
         for stage, found in (("header", header.diagnostics), ("timeline", time["diagnostics"])):
             yield _diagnostic_columns(path, stage, found)
     chosen = [i for i in pick_signals(header, signals) if only is None or i in only] if mode == "blocks" else []
     timed = bool(header.annotation_signals)
+    whole = strict or mode in ("annotations", "diagnostics")
     for at, count in runs(header, first, last):
         data = read_records(source, header, at, count) if timed or mode == "blocks" else b""
-        found = annotations(header, data, at, origin, strict=strict) if timed else {"annotations": [], "diagnostics": [], "onsets": [(at + i) * header.record_duration_ticks for i in range(count)], "observed": [False] * count}
-        onsets = found["onsets"]
-        # What record 0 itself doesn't say, record 1 or the grid does.
-        onsets = [time["starts"].get(at + i, o) if not seen else o for i, (o, seen) in enumerate(zip(onsets, found["observed"], strict=True))]
+        found = annotations(header, data, at, origin, strict=strict) if timed and whole else {"annotations": [], "diagnostics": []}
+        onsets, observed = record_starts(header, data, at, count, time)
         if mode == "records":
-            yield {"path": [path] * count, "record_index": np.arange(at, at + count), "onset_ticks": onsets, "onset_observed": found["observed"], "byte_offset": [header.record_offset(r) for r in range(at, at + count)]}
+            yield {"path": [path] * count, "record_index": np.arange(at, at + count), "onset_ticks": onsets, "onset_observed": observed, "byte_offset": header.record_offset(at) + np.arange(count) * header.record_byte_length}
         elif mode == "annotations":
             rows = [a for a in found["annotations"] if only is None or a["signal_index"] in only]
             yield {k: [a[k] for a in rows] for k in rows[0]} | {"path": [path] * len(rows), "onset_ticks_from_first_record": [max(-(2**63), min(2**63 - 1, a["onset_ticks"] - origin)) for a in rows]} if rows else {}
         elif mode == "diagnostics":
             yield _diagnostic_columns(path, "records", found["diagnostics"])
         else:
-            starts = np.array([o - origin for o in onsets], np.int64)
             for i in chosen:
                 signal = header.signals[i]
                 values = digital(header, data, signal)
                 offsets = np.arange(0, values.size + 1, max(1, values.shape[1])) if values.shape[1] else np.zeros(count + 1, int)
-                yield {"path": [path] * count, "record_index": np.arange(at, at + count), "signal_index": np.full(count, i, np.int32), "first_sample_index": np.arange(at, at + count) * signal.samples_per_record, "start_ticks": starts, "digital": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel(), pa.int32())), "out_of_range_count": out_of_range(values, signal)}
+                yield {"path": [path] * count, "record_index": np.arange(at, at + count), "signal_index": np.full(count, i, np.int32), "first_sample_index": np.arange(at, at + count) * signal.samples_per_record, "start_ticks": onsets - origin, "digital": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel(), pa.int32())), "out_of_range_count": out_of_range(values, signal)}
+
+
+def _share(n: int, part: int, parts: int, start: int, stop: int | None) -> tuple[int, int]:
+    """[first, last) of the part-th of so many parts of n records, within [start, stop)."""
+    return max(start, n * part // parts), min(n if stop is None else stop, n * (part + 1) // parts)
+
+
+def record_starts(header: Header, data: bytes, at: int, count: int, time: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(onsets, observed) of records; what record 0 itself doesn't say, record 1 or the grid does."""
+    if not header.annotation_signals:
+        return np.arange(at, at + count) * header.record_duration_ticks, np.zeros(count, bool)
+    onsets, observed = starts(header, data, at, time["start_offset_ticks"])
+    for record, onset in time["starts"].items():
+        if at <= record < at + count and not observed[record - at]:
+            onsets[record - at] = onset
+    return onsets, observed
+
+
+def audit(source, path: str, part: int, parts: int, start: int, stop: int | None, known: Known | None, samples: bool) -> Iterator[dict]:
+    """All that validation asks of a part of a file, by reading each record once.
+
+    kind `finding`: what the header, the rules on it, the time axis and the records show; `run`: a run of records
+    that follow each other without a gap, as far as this part sees; `stats`: of the samples of a signal in this part.
+    A header that can't be read is a finding.
+    """
+    from ..operators.validate import header_rules
+
+    def findings(stage: str, found) -> dict:
+        return _diagnostic_columns(path, stage, found) | {"kind": ["finding"] * len(found)} if found else {}
+
+    try:
+        header = known.header if known else read_header(source)
+    except FormatError as e:
+        if part == 0:
+            yield findings("header", e.diagnostics)
+        return
+    time = known.time if known else timeline(source, header)
+    origin, d = time["start_offset_ticks"], header.record_duration_ticks
+    if part == 0 and not known:
+        for stage, found in (("header", header.diagnostics), ("rules", header_rules(header)), ("timeline", time["diagnostics"])):
+            yield findings(stage, found)
+    chosen = [header.signals[i] for i in header.data_signals] if samples else []
+    timed, stats = bool(header.annotation_signals), {}
+    for at, count in runs(header, *_share(header.record_count, part, parts, start, stop)):
+        data = read_records(source, header, at, count) if timed or chosen else b""
+        if timed:
+            yield findings("records", annotations(header, data, at, origin)["diagnostics"])
+        onsets, _ = record_starts(header, data, at, count, time)
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(onsets) != d]))
+        yield {"path": [path] * len(begins), "kind": ["run"] * len(begins), "record_index": at + begins, "record_count": np.diff(np.append(begins, count)), "start_ticks": onsets[begins] - origin, "record_duration_ticks": np.full(len(begins), d), "continuity": [header.continuity] * len(begins)}
+        for s in chosen:
+            values = digital(header, data, s)
+            if values.size:
+                low, high, out, n = stats.get(s.index, (values.max(), values.min(), 0, 0))
+                stats[s.index] = min(low, values.min()), max(high, values.max()), out + int(out_of_range(values, s).sum()), n + values.size
+    rows = [(i, *map(int, v)) for i, v in stats.items()]
+    if rows:
+        names = ("signal_index", "observed_digital_min", "observed_digital_max", "out_of_range_count", "sample_count")
+        yield {"path": [path] * len(rows), "kind": ["stats"] * len(rows), **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))}
 
 
 def _diagnostic_columns(path: str, stage: str, found) -> dict[str, list]:

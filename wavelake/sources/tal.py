@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from ..constants import INT64_MAX, INT64_MIN, ONSET_END, TAL_END, TEXT_END
+import numpy as np
+
+from ..constants import INT64_MAX, INT64_MIN, ONSET_END, TAL_END, TEXT_END, TICKS_PER_SECOND
 from ..functions.text import escape_controls, latin1
 from ..functions.ticks import parse_signed, parse_unsigned
 
@@ -134,6 +136,39 @@ def parse_region(data: bytes) -> tuple[list[Tal], list[Issue]]:
     return region.tals, list(region.issues.values())
 
 
+#: Of a start in its usual form: integer digits and bytes at most. 11 digits of seconds are ticks of 62 bits.
+USUAL_DIGITS, USUAL_BYTES = 11, 32
+
+
+def usual_starts(regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ticks, whether it is so) of each row of bytes that begins with a signed time, an end of text, and later the list's end.
+
+    Rows that begin otherwise, with a duration too, or with more digits may still give a start: their ticks aren't told here.
+    """
+    count, width = regions.shape
+    head = np.zeros((count, USUAL_BYTES + 1), np.uint8)
+    head[:, : min(width, USUAL_BYTES)] = regions[:, :USUAL_BYTES]
+    stamp, list_end = (head == TEXT_END).argmax(1), (regions == TAL_END).argmax(1) if width else np.zeros(count, int)
+    good = (stamp > 0) & (list_end > stamp) & np.isin(head[:, 0], (43, 45))
+    dots = head == 46
+    dot = np.where(dots.any(1), dots.argmax(1), USUAL_BYTES)
+    dot = np.minimum(dot, stamp)
+    place = np.arange(USUAL_BYTES + 1)
+    inside = (place >= 1) & (place < stamp[:, None])
+    digit = (head >= 48) & (head <= 57)
+    good &= (inside & ~digit & (place != dot[:, None])).sum(1) == 0
+    fraction = stamp - dot - 1
+    good &= (dot >= 2) & (dot <= USUAL_DIGITS + 1) & (fraction != 0)
+    whole, part = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for k in range(1, USUAL_BYTES):
+        value = head[:, k].astype(np.int64) - 48
+        whole = np.where(good & (k < dot), whole * 10 + value, whole)
+        part = np.where(good & (k > dot) & (k < stamp) & (k <= dot + 7), part * 10 + value, part)
+    part *= 10 ** np.clip(7 - np.maximum(fraction, 0), 0, 7)
+    ticks = whole * TICKS_PER_SECOND + part
+    return np.where(head[:, 0] == 45, -ticks, ticks), good
+
+
 #: What a list that gives a record's start may hold besides: the sign of it, whether an annotation is lost, and the words.
 DEFECTS = (
     (lambda texts, tal: bool(texts), True, lambda texts, tal: "it carries " + ", ".join(map(escape_controls, texts))),
