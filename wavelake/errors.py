@@ -40,6 +40,14 @@ class SourceError(WaveError):
     kind = "source"
 
 
+class AbortError(WaveError):
+    kind = "abort"
+
+    def __init__(self, reason: str | None = None):
+        super().__init__(f"ended early{f': {reason}' if reason else ''}")
+        self.reason = reason
+
+
 class BudgetError(WaveError):
     kind = "budget"
 

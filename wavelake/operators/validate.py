@@ -98,12 +98,13 @@ def statistics(rows: DataFrame) -> DataFrame:
     return found.agg(F.min("observed_digital_min").alias("observed_digital_min"), F.max("observed_digital_max").alias("observed_digital_max"), F.sum("out_of_range_count").alias("out_of_range_count"), F.sum("sample_count").alias("sample_count"))
 
 
-def validate(recording, scan_samples: bool = False, use_index: bool = True, max_bytes: float | None = None) -> dict:
+def validate(recording, scan_samples: bool = False, use_index: bool = True, max_bytes: float | None = None, abort=None, on_progress=None) -> dict:
     """Report of a recording: ok, diagnostics, records_scanned, bytes_read, signal_stats.
 
     Without samples to scan, records are read only if their starts aren't known: neither by arithmetic nor by a
     complete index. One traversal by tasks gives findings, starts and statistics; they come to the driver within
-    max_bytes. `validate_files` gives them as rows of a table, however many there are.
+    max_bytes. `validate_files` gives them as rows of a table, however many there are. abort ends the traversal;
+    on_progress is told records done and all records.
     """
     h, known = recording.header, recording._index if use_index else None
     found = [*h.diagnostics, *header_rules(h), *recording.timeline["diagnostics"]]
@@ -111,7 +112,8 @@ def validate(recording, scan_samples: bool = False, use_index: bool = True, max_
     reads = scan_samples or (timed and known is None)
     segments, stats = known, []
     if reads:
-        rows = [r.asDict() for r in bounded(recording.scan("audit", max_bytes=max_bytes, signals=None if scan_samples else ""), FINDING_BYTES, max_bytes, "findings")]
+        seen = recording.scan("audit", max_bytes=max_bytes, signals=None if scan_samples else "")
+        rows = [r.asDict() for r in recording.run(lambda: bounded(seen, FINDING_BYTES, max_bytes, "findings"), abort, on_progress)]
         told, said = set(), [r for r in rows if r["kind"] == "finding"]
         for r in sorted(said, key=lambda r: tuple((r[k] is not None, r[k] or 0) for k in ("record_index", "signal_index", "byte_offset"))):
             if not r["once"] or r["code"] not in told:

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .diagnostics import Diagnostic
+from .control import Abort, run
 from .errors import AmbiguousChannelError, ChannelNotFoundError, FormatError, RecordRangeError
 from .functions import ticks as K
 from .operators import annotations as A
@@ -25,6 +26,7 @@ from .plans import window as W
 from .shipping import ship
 from .sources import decode
 from .sources.bytesource import SliceSource, open_source
+from .sources.custom import options_of
 from .sources.datasource import SCHEMAS, BiosignalSource, Known, open_with, scan, to_batch
 from .sources.header import Header, Signal, is_annotation_label, parse_header, read_header, signal_count_hint
 
@@ -82,7 +84,7 @@ class Recording:
     """
 
     def __init__(self, spark: SparkSession, what, strict: bool = False, **options):
-        self.spark, self.options = register(spark), options
+        self.spark, self.options = register(spark), options_of(options)
         self.path = os.fspath(what) if isinstance(what, str | os.PathLike) else "memory"
         self._held = None if self.path != "memory" else open_source(what)
         source = self._open()
@@ -165,10 +167,14 @@ class Recording:
         return self._blocks([s.index for s in self.signals(signal_indices)], [(start, count)], max_bytes)
 
     # -- time
-    def build_index(self, max_bytes: float | None = None) -> DataFrame:
+    def run(self, action: Callable[[], object], abort: Abort | None = None, on_progress: Callable[[int, int], None] | None = None):
+        """What an action on this recording's rows gives, which `abort` may end; on_progress is told records done and all records."""
+        return run(self.spark, action, abort, on_progress, self.header.record_count)
+
+    def build_index(self, max_bytes: float | None = None, abort: Abort | None = None, on_progress: Callable[[int, int], None] | None = None) -> DataFrame:
         """Segments of the recording; afterwards windows may cross gaps. One row per segment comes to the driver, within max_bytes."""
         found = T.segments(T.check_monotonic(self.records()), self.header.record_duration_ticks, self.timeline["start_offset_ticks"])
-        rows = decode.bounded(found.orderBy("segment_index"), SEGMENT_BYTES, max_bytes, "segments")
+        rows = self.run(lambda: decode.bounded(found.orderBy("segment_index"), SEGMENT_BYTES, max_bytes, "segments"), abort, on_progress)
         self._index = [r.asDict() for r in rows]
         return self.spark.createDataFrame(rows, found.schema)
 
@@ -295,10 +301,11 @@ class Recording:
                 value = F.when(F.col("signal_index") == s.index, S.physical_of(s, F.col("digital"))).otherwise(value)
         return rows.where(S.in_window(F.col("start_ticks"), start_seconds, duration_seconds)).withColumn("physical", value)
 
-    def stream_records(self, start_seconds: float, duration_seconds: float, signal_indices: list[int], chunk_records: int = 256, max_bytes: float | None = None, on_progress: Callable[[int, int], None] | None = None) -> Iterator[list]:
+    def stream_records(self, start_seconds: float, duration_seconds: float, signal_indices: list[int], chunk_records: int = 256, max_bytes: float | None = None, on_progress: Callable[[int, int], None] | None = None, abort: Abort | None = None) -> Iterator[list]:
         """Chunks of at most chunk_records records, in order, never across a gap; equal to read_window as a whole.
 
-        A chunk is no larger than max_bytes of samples. on_progress is told the records done and all records.
+        A chunk is no larger than max_bytes of samples. on_progress is told the records done and all records. abort ends
+        the stream within a chunk, and no chunk follows.
         """
         if isinstance(chunk_records, bool) or not isinstance(chunk_records, int) or chunk_records < 1:
             raise ValueError("chunk_records must be a positive integer")
@@ -309,7 +316,7 @@ class Recording:
         for first, count in runs:
             for at in range(first, first + count, chunk_records):
                 n = min(chunk_records, first + count - at)
-                yield self.blocks([s.index for s in chosen], at, n).orderBy("record_index", "signal_index").collect()
+                yield self.run(lambda at=at, n=n: self.blocks([s.index for s in chosen], at, n).orderBy("record_index", "signal_index").collect(), abort)
                 done += n
                 if on_progress:
                     on_progress(done, total)

@@ -3,7 +3,7 @@
 Options: path (a file, a folder, a glob, or several joined by line feeds), mode (blocks, records, annotations,
 diagnostics, headers, audit), signals (indices or labels joined by commas; blocks only), records_per_partition (whole
 files are cut at this many bytes by default), strict; for URLs http_headers (a JSON object) and
-allow_full_download; block_bytes and cache_bytes read by blocks that a task keeps. A recording that is open passes
+allow_full_download; factory and fetch, functions of a user's own (see custom.py); block_bytes and cache_bytes read by blocks that a task keeps. A recording that is open passes
 what it knows (header, byte_length, time, ranges): then nothing is listed, tasks are planned for the asked-for
 records only, and a task reads just those.
 
@@ -29,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from ..diagnostics import SCHEMA as DIAGNOSTIC_SCHEMA
 from ..errors import ChannelNotFoundError, FormatError
 from .bytesource import CachedSource, HttpSource, open_source
+from .custom import fetch_of, made
 from .decode import annotations, digital, out_of_range, read_records, runs, starts, timeline
 from .header import Header, parse_header, read_header, signal_row
 
@@ -84,11 +85,11 @@ class _Borrowed:
 def open_with(path: str, options: dict):
     """The source of a path by the options that say how to fetch and to cache."""
     full = str(options.get("allow_full_download", "false")).lower() == "true"
-    fetched = lambda: HttpSource(path, headers=json.loads(options.get("http_headers", "{}")), allow_full_download=full) if is_url(path) else open_source(path)
+    fetched = lambda: made(path, options) if "factory" in options else HttpSource(path, fetch_of(options), headers=json.loads(options.get("http_headers", "{}")), allow_full_download=full) if is_url(path) else open_source(path)
     if "block_bytes" not in options and "cache_bytes" not in options:
         return fetched()
     sizes = int(options.get("block_bytes", 1 << 20)), int(options.get("cache_bytes", 64 << 20))
-    key = (path, *sizes, options.get("http_headers"), None if is_url(path) else os.stat(path.removeprefix("file://")).st_mtime_ns)
+    key = (path, *sizes, options.get("http_headers"), options.get("factory"), options.get("fetch"), None if is_url(path) or "factory" in options else os.stat(path.removeprefix("file://")).st_mtime_ns)
     if key not in _kept:
         _kept[key] = CachedSource(fetched(), *sizes)
         if len(_kept) > KEPT_SOURCES:
@@ -129,8 +130,15 @@ class Known:
 
 
 def list_files(path: str, options: dict | None = None) -> list[tuple[str, int]]:
-    """Files and their sizes. A URL costs one request."""
+    """Files and their sizes. A URL costs one request, and a path for a factory one source."""
     found: list[str] = []
+    if "factory" in (options or {}):
+        sizes = []
+        for one in path.split("\n"):
+            source = open_with(one, options)
+            sizes.append((one, source.byte_length))
+            source.close()
+        return sizes
     urls = [one for one in path.split("\n") if is_url(one)]
     for one in path.split("\n"):
         one = one.removeprefix("file://")
