@@ -8,7 +8,9 @@ region of the page: its article or main part, if they lie in one, or else the sm
 of them. All blocks of that region belong to it, short ones and those at its ends too, unless they are mostly
 links; so do headings right above it. What tags, roles and `hidden` declare as page furniture never counts. What
 names of classes and ids say, or a form, only lowers the standing of an element:
-* an id on a heading, a paragraph or another part of a text is the slug of its words and says nothing;
+* an id on a heading, a paragraph or another part of a text is the slug of its words and says nothing; on a list or table a sure one counts;
+* what readers have written ("comments", "discussion-thread", an article of class "comment") is never part of the article;
+* parts of a line that are hidden, or adverts by their class, are left out of it;
 * an element that holds half of the page's plain text is no furniture, whatever its name (a page is often wrapped
   in "has-sidebar" or in a form); one with a name that is sure ("comments", "sidebar"), unless nearly all text;
 * inside an article or main part only whole furniture names count ("related-posts", not "related-work"); there, and
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .textbatch import map_texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|href|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|href|role|hidden|style|aria-hidden|aria-label|itemprop|itemtype)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements whose content is not text of the page; those of the first kind reach to the end of a page that doesn't end them.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 EMBEDDED = {"noscript", "template", "svg", "math", "object", "canvas", "audio", "video"}
@@ -59,10 +61,18 @@ _SUFFIXES = r"(?:[_-](?:box|block|area|bar|lists?|links?|buttons?|btns?|icons?|c
 _SURE = re.compile(rf"{_PREFIXES}(?:ads?|adv|adverts?|advertisements?|advertising|adsense|sponsor(?:s|ed)?|promos?|promotions?|promoted|sidebars?|masthead|breadcrumbs?|pagination|pager|comments?|commentlist|comment-?respond|disqus|respond|reader-?comments|newsletter|popups?|modals?|overlays?|skip-?links?|hidden){_SUFFIXES}")
 _SURE_ID = re.compile(rf"{_PREFIXES}(?:ads?|adsense|comments?|commentlist|disqus|respond|reader-?comments|sidebars?){_SUFFIXES}|disqus_thread")
 _PRESUMED = re.compile(rf"{_PREFIXES}(?:adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promos?|promotions?|promoted|masthead|breadcrumbs?|pagination|pager|newsletter|popups?|modals?|overlays?|skip-?links?|hidden|banners?|nav|navbar|navigation|menus?|side|footer|foot|header|topbar|cookies?|consent|gdpr|notices?|alerts?|reply|replies|share|shares|sharing|sharedaddy|share(?:buttons?|bar|links)|socials?|related|related(?:posts?|links?|articles?)|recommend(?:s|ed|ations?)?|subscri(?:be|ption|ptions)|signup|login|search|search(?:form|box|bar)|widgets?|toolbar|copyright|legal|disclaimer|tags|toc){_SUFFIXES}")
+#: Names of what readers have written: never the article, whatever else is there. "discussion" alone is a section of a paper.
+_COMMENTS = re.compile(rf"{_PREFIXES}(?:(?:user|users|reader|readers|visitor|visitors|customer|public|fb|facebook|old|new|all|recent|nested|child|view|show)[_-])*(?:comments?|commentlist|commentary-list|comment-?respond|disqus|livefyre|talkback|guestbook|discussions|discussion[_-](?:threads?|lists?|board|area|box|forum|items?|posts?|wrapper|container)|(?:user|reader|visitor)s?[_-](?:responses?|replies|reply|feedback|discussions?|opinions?|posts?)|reader-?comments){_SUFFIXES}|(?:disqus|comment|comments)_thread")
+_COMMENT_LABEL = re.compile(r"(?:(?:reader|user|visitor)s?'? )?comments?(?: section| list)?")
+#: Class names of parts of a line that aren't the article's or aren't shown.
+_INLINE_OUT = re.compile(rf"{_PREFIXES}(?:ads?|adv|adverts?|advertisements?|advertising|adsense|sponsored|promoted|promos?|promotions?|hidden|visually-hidden|visuallyhidden|sr-only|screen-reader-text){_SUFFIXES}")
+#: Parts of a text that hold others; a name that is sure counts on them as on any container.
+LISTS = {"ul", "ol", "dl", "table", "details", "blockquote", "figure"}
 #: An article's own header, which holds its title.
 _OWN_HEADER = re.compile(r"(?:post|entry|article|story|content|blog|news)[_-]?(?:header|head|heading|title)s?")
-#: What names say of an element: nothing; furniture unless its own text says otherwise; unless it holds half of the page; surely.
-NOTHING, PRESUMED, LOOSE, SURE = range(4)
+#: What names say of an element: nothing; furniture unless its own text says otherwise; unless it holds half of the page; surely, unless
+#: there is hardly anything else; whatever else there is.
+NOTHING, PRESUMED, LOOSE, SURE, NEVER = range(5)
 CONTENT = {"article", "main"}
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
 SMOOTH = 2
@@ -124,6 +134,12 @@ class _Open:
 @lru_cache(1 << 14)
 def _named(tag: str, classes: str, id_: str, inside: bool) -> int:
     """What the names of an element say."""
+    if any(_COMMENTS.fullmatch(t) for t in classes.split()) or (tag not in TEXTUAL or tag in LISTS) and _COMMENTS.fullmatch(id_):
+        return NEVER
+    if tag in CONTENT and not inside:
+        return NOTHING
+    if tag in LISTS and _SURE_ID.fullmatch(id_):
+        return SURE
     id_ = "" if tag in TEXTUAL else id_
     tokens = [t for t in classes.split() if not _OWN_HEADER.fullmatch(t)]
     if any(_SURE.fullmatch(t) for t in tokens) or _SURE_ID.fullmatch(id_):
@@ -135,6 +151,21 @@ def _named(tag: str, classes: str, id_: str, inside: bool) -> int:
     return NOTHING
 
 
+def _attributes(written: str) -> dict[str, str]:
+    return {a[0].lower(): a[1].strip("\"' ").lower() for a in _ATTRIBUTE.findall(written)}
+
+
+def _hidden(names: dict[str, str]) -> bool:
+    style = names.get("style", "").replace(" ", "")
+    return "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def _left_out(written: str) -> bool:
+    """Whether a part of a line, by its attributes, isn't shown or is an advert."""
+    names = _attributes(written)
+    return bool(names) and (_hidden(names) or any(_INLINE_OUT.fullmatch(t) for t in names.get("class", "").split()))
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with trimmed text; in time proportional to the page, whatever its tags."""
     stack = [_Open("", False, 0, 0, 0)]
@@ -144,6 +175,8 @@ def blocks(page: str) -> list[Block]:
     depth_of: dict[str, list[int]] = {}
     never_ended: set[str] = set()
     regions, linked, at, n, made = 0, False, 0, len(page), 0
+    #: The inline element that is left out: its tag, how many of that tag are open in it, and the element around it.
+    muted, mutes, around = "", 0, None
 
     def end() -> None:
         nonlocal block
@@ -165,7 +198,9 @@ def blocks(page: str) -> list[Block]:
         tag = token[2]
         if tag is None:
             text = token[0]
-            if text[0] != "<" or text == "<":
+            if muted and around.last:
+                muted = ""  # its end is missing, but what it stood in has ended
+            if (text[0] != "<" or text == "<") and not muted:
                 if block is None:
                     block = Block(stack[-1])
                 block.parts.append(text)
@@ -179,6 +214,9 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 end()
             if tag in INLINE:
+                if tag == muted:
+                    mutes -= 1
+                    muted = muted if mutes else ""
                 continue
             if depth_of.get(tag):
                 end()
@@ -195,6 +233,11 @@ def blocks(page: str) -> list[Block]:
                     never_ended.add(tag)
             continue
         if tag in INLINE:
+            if tag not in VOID and not token[3].rstrip().endswith("/"):
+                if tag == muted:
+                    mutes += 1
+                elif not muted and token[3] and _left_out(token[3]):
+                    muted, mutes, around = tag, 1, stack[-1]
             if tag == "a":
                 linked = any(a[0].lower() == "href" for a in _ATTRIBUTE.findall(token[3]))
             continue
@@ -207,12 +250,14 @@ def blocks(page: str) -> list[Block]:
             ends = {"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"p", *HEADINGS}
             while len(stack) > 1 and stack[-1].tag in ends:
                 close(len(stack) - 1)
-        top, names = stack[-1], {a[0].lower(): a[1].strip("\"' ").lower() for a in _ATTRIBUTE.findall(token[3])}
+        top, names = stack[-1], _attributes(token[3])
         region = top.region
         if tag in CONTENT or names.get("role") in ("main", "article") or names.get("itemprop") == "articlebody":
             region = regions = regions + 1
-        said = NOTHING if tag in ("html", "body", *CONTENT) else _named(tag, names.get("class", ""), names.get("id", ""), bool(region))
-        hides = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
+        said = NOTHING if tag in ("html", "body") else _named(tag, names.get("class", ""), names.get("id", ""), bool(top.region if tag in CONTENT else region))
+        if names.get("itemprop") == "comment" or names.get("role") == "comment" or names.get("itemtype", "").endswith("schema.org/comment") or _COMMENT_LABEL.fullmatch(names.get("aria-label", "")):
+            said = NEVER
+        hides = _hidden(names)
         own = tag in FURNITURE or names.get("role") in ROLES or hides
         if tag == "header" and region and not said:
             own = False  # an article's own header holds its title
@@ -271,7 +316,7 @@ def _void_large(shown: list[Block]) -> None:
             flag.plain += b.plain
     for b in shown:
         for flag in b.flags():
-            flag.void = flag.plain >= HALF * total if flag.level < SURE else flag.plain >= NEARLY_ALL * total and total - flag.plain <= REST
+            flag.void = flag.plain >= HALF * total if flag.level < SURE else flag.level == SURE and flag.plain >= NEARLY_ALL * total and total - flag.plain <= REST
 
 
 def _void_rich(shown: list[Block]) -> None:
