@@ -250,16 +250,11 @@ def envelope_budgets(spark, d):
 @query(f"""WITH {EV}, m AS (SELECT *, ticks // 10000 AS ms FROM ev)
 SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) || CASE WHEN event_type = 'view' THEN '' ELSE ' +' || k || 's' END || '  ' || event_type || CASE WHEN event_id % 2 = 1 THEN ' @ E' || user_id % 7 ELSE '' END AS line FROM m""")
 def annotation_lines(spark, d):
-    """Annotations as text, a line each."""
-
-    def rows(notes: pd.DataFrame) -> list[tuple]:
-        shown = []
-        for n in notes.itertuples():
-            note = {"onset_ticks_from_first_record": n.ticks, "duration_ticks": None if n.event_type == "view" else int(n.k) * D, "text": n.event_type, "channel_label": f"E{n.user_id % 7}" if n.event_id % 2 else None}
-            shown.append((n.event_id, report.format_annotations([note])))
-        return shown
-
-    return _mapped(X.events(spark, d).select("event_id", "ticks", "event_type", "k", "user_id"), rows, "event_id bigint, line string")
+    """Annotations as text, a line each, in the JVM."""
+    label = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("E"), F.col("user_id") % 7))
+    length = F.when(F.col("event_type") != "view", F.col("k").cast("bigint") * D)
+    notes = X.events(spark, d).select("event_id", F.col("ticks").alias("onset_ticks_from_first_record"), length.alias("duration_ticks"), F.col("event_type").alias("text"), label.alias("channel_label"))
+    return report.annotation_lines(notes).select("event_id", "line")
 
 
 _LINES = f"""SELECT file, 'header' AS part, 'duration   ' || CAST(records AS DOUBLE) || ' s in ' || records || ' records of 1.0 s' AS line FROM fl

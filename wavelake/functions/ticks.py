@@ -76,7 +76,7 @@ def from_seconds_col(seconds: Column) -> Column:
 def floor_div_col(n: Column, d: Column | int) -> Column:
     """For positive d, and n of any exact type; the quotient is bigint."""
     d = F.lit(d) if isinstance(d, int) else d
-    return div(n - F.pmod(n, d), d)
+    return div(n, d) - (n % d < 0).cast("bigint")
 
 
 def ceil_div_col(n: Column, d: Column | int) -> Column:
