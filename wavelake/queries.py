@@ -431,6 +431,23 @@ def envelope_archive(spark, d):
     return _file(E.of_blocks(blocks, 64), "bucket", "min", "max", "count")
 
 
+_CUT = 12_345_678
+
+
+@query(f"""WITH {EV}, s AS (SELECT {_FILE} AS file, event_id % {S * X.FILE_RECORDS} AS pos, digital - 32768 AS v FROM ev)
+SELECT file, pos // {S} AS record_index, min(pos) AS first_sample_index, min((pos // {S}) * {D} + pos % {S} * {D // S}) AS start_ticks, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (v < -32768 OR v > 32767) AS out_of_range_count
+FROM s WHERE (pos // {S}) * {D} + pos % {S} * {D // S} >= {_CUT} GROUP BY 1, 2""")
+def trim_archive(spark, d):
+    """Blocks of every file cut at a time inside a record: what begins later, with first sample, start and count anew. The padding of the last record goes."""
+    signal = _read(spark, d, "edf", "headers").select(F.explode("signals").alias("s")).where("s.label = 'EEG value'").select("s.digital_minimum", "s.digital_maximum").first()
+    blocks = SA.trim(_read(spark, d, "edf", signals="EEG value"), _CUT, 2**62, {0: (S, signal[0], signal[1])}, D)
+    left = X.table(spark, d, "events").count() - X.file_part(F.col("path")) * (S * X.FILE_RECORDS)
+    kept = F.slice("digital", F.lit(1), F.greatest(F.lit(0), F.least(F.size("digital"), left - F.col("first_sample_index"))).cast("int"))
+    rows = blocks.withColumn("digital", kept)
+    total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return _file(rows, "record_index", "first_sample_index", "start_ticks", F.size("digital").cast("bigint").alias("n"), total.alias("total"), "out_of_range_count")
+
+
 @query(f"""WITH r AS (SELECT DISTINCT {_FILE} AS file, event_id % {S * X.FILE_RECORDS} // {S} AS record_index FROM events)
 SELECT file, CAST(record_index // 20 AS INTEGER) AS segment_index, min(record_index) AS record_start, count(*) AS record_count, min(record_index + 10 * (record_index // 20)) * {D} AS start_ticks FROM r GROUP BY 1, 2""")
 def segments_archive(spark, d):
