@@ -49,7 +49,7 @@ BITS, PROBES = 1 << 27, 3
 #: floor(2000000 * a / (l + r)) in decimals: products and sums may pass 64 bits.
 SCORE = "CAST(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0)) DIV (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0))) AS BIGINT)"
 #: Words that a task holds at a time, and bytes that it turns into words at a time (a longer word makes it more).
-CHUNK, BLOCK = 1_000_000, 1 << 20
+CHUNK, BLOCK = 800_000, 1 << 20
 #: The bytes that end a piece (fixed set) become line feeds, tabs become spaces, A-Z lower case.
 _BYTES = bytearray(range(256))
 _BYTES[65:91] = bytes(range(97, 123))
@@ -111,11 +111,11 @@ def lang_key(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
 
 
-def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The places of keys in a filter."""
+def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of each key in a filter."""
     with np.errstate(over="ignore"):
         step = (keys * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-        return [((keys + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits) for k in range(PROBES)]
+        return ((keys + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits)
 
 
 class Filter:
@@ -125,12 +125,28 @@ class Filter:
         self.words = words
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for at in probes(keys, 64 * len(self.words)):
-            out &= (self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        """Whether the filter has each key; most of the others are told by their first place."""
+        left, out = np.arange(len(keys)), np.zeros(len(keys), bool)
+        for k in range(PROBES):
+            at = probe(keys[left], k, 64 * len(self.words))
+            left = left[(self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out[left] = True
         return out
 
 
+def _held(keys: np.ndarray, asked: np.ndarray, now: Filter | None, before: Filter | None) -> tuple[np.ndarray, np.ndarray]:
+    """(whether now has each key, whether before has it, of those asked for); what before has, now has too."""
+    in_before = np.zeros(len(keys), bool)
+    if before is not None:
+        at = np.flatnonzero(asked)
+        in_before[at] = before.has(keys[at])
+    in_now = np.ones(len(keys), bool) if now is None else in_before.copy()
+    if now is not None:
+        at = np.flatnonzero(~in_before)
+        in_now[at] = now.has(keys[at])
+    return in_now, in_before
+
+
 def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, now: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, keys, counts) of the phrases that `now` reaches and `before` doesn't, by their number of words.
 
@@ -138,7 +154,7 @@ def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, now: Filter | No
     words are. Without `now` all phrases are reached, without `before` none was before.
     """
     place, own = np.arange(len(keys)), keys
-    held, held_before = (f.has(own) if f else np.full(len(own), default) for f, default in ((now, True), (before, False)))
+    held, held_before = _held(own, np.ones(len(own), bool), now, before)
     if before is None:
         yield (1, *np.unique(own, return_counts=True))
     for size in range(2, longest + 1):
@@ -148,8 +164,8 @@ def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, now: Filter | No
         both_before = held_before[pair] & held_before[pair + 1]
         place, own = place[pair], _mixed(own[pair], keys[place[pair] + size - 1])
         yield (size, *np.unique(own[~both_before], return_counts=True))
-        held = now.has(own) if now else np.ones(len(own), bool)
-        held_before = both_before & before.has(own) if before else both_before
+        if size < longest:
+            held, held_before = _held(own, both_before, now, before)
 
 
 def _made(schema: str) -> tuple[StructType, pa.Schema]:
@@ -256,7 +272,8 @@ def _filter(keys: DataFrame, base: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.concatenate(probes(batch.column(0).to_numpy().view(np.uint64), size))
+            own = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([probe(own, k, size) for k in range(PROBES)])
             bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], schema=schema)
 
