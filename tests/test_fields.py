@@ -1,6 +1,7 @@
 """Scalars against their Columns, and worked values of the format."""
 
 import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -46,6 +47,13 @@ def test_columns_agree_with_scalars(spark):
         for row in df.select("raw", T.parse_number_col(F.col("raw"), integral).alias("n")).collect():
             want = T.parse_number(row.raw, integral)
             assert (row.n.value, row.n.problem) == (want.value, want.problem), row.raw
+    rng = random.Random(7)
+    made = ["".join(rng.choices(" \x00+-0917.,eEx\n", k=rng.randrange(9))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in made], "raw string")
+    for integral in (False, True):
+        for row in df.select("raw", T.parse_number_col(F.col("raw"), integral).alias("n")).collect():
+            want = T.parse_number(row.raw, integral)
+            assert (row.n.value, row.n.problem) == (want.value, want.problem), repr(row.raw)
     df = spark.createDataFrame([(x,) for x in DATES], "raw string")
     for row in df.select("raw", T.parse_start_date_col(F.col("raw")).cast("string").alias("d")).collect():
         want = T.parse_start_date(row.raw).date
