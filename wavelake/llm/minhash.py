@@ -14,8 +14,13 @@ component, whatever the size of its groups, and at least halves the components t
 
 What grows how: edges and rows outside tasks grow with the documents. Members of a group are compared with each
 other inside tasks, unless they are known to be of one component: a component that fills a tile has tiles of
-its own, which are never paired. A row goes to as many tasks as its group has other tiles; so in a group of n
-members, of which m aren't of its large components, about n * m / TILE rows are sent. No bucket is capped.
+its own, which are never paired. A row goes to as many tasks as its group has other tiles. A bucket where these
+are more than SUB_BANDS for each row (one frequent passage, and little else in common) is dealt by four further
+places of the signature into sub-buckets, SUB_BANDS for each row, if those send fewer rows: then n members send
+about SUB_BANDS * n. A pair at 80 per cent meets in none of them with a chance of 4e-9. What stays quadratic are
+members in different components that agree almost to the threshold: of n such, each goes to n / TILE tiles.
+Tiles of full sets are measured in slots of bytes, so long texts fill them as many short ones do. No bucket is
+capped. Scratch tables are removed once no later step reads them.
 
 Defined results. A null or blank text has an empty set and is linked with nothing: it is its own component and
 is kept. A text of fewer words than a shingle has one shingle, its whole sequence. Rows with the same text are
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .components import components
 from .textbatch import map_groups, map_texts
 
@@ -46,8 +51,12 @@ LENGTH = BANDS * ROWS
 SEED = 20240229
 #: The share of equal sketch bytes of a pair at the threshold lies below it by more than this with a chance of 4e-7 (at 85 per cent).
 SKETCH_SLACK = 0.15
-#: Classes that are compared together: by sketches in a bucket, by sets in a family.
+#: Classes that are compared together: by sketches in a bucket, by sets in a family; a set takes a slot for each SLOT_BYTES.
 TILE, FAMILY_TILE = 512, 256
+SLOT_BYTES = 1 << 16
+#: Sub-buckets of a member of a large bucket: sub-band k has the places k, k + SUB_BANDS, ... of the sketch, at most one of any band.
+SUB_ROWS = 4
+SUB_BANDS = LENGTH // SUB_ROWS
 _WORDS: dict[bytes, int] = {}
 
 
@@ -111,7 +120,8 @@ def _signed(keys: list, texts: list[str], n: int) -> dict[str, list]:
 
 
 def _sets(keys: list, texts: list[str], n: int) -> dict[str, list]:
-    return {"doc_id": keys, "items": [shingles(t, n).tobytes() for t in texts]}
+    items = [shingles(t, n).tobytes() for t in texts]
+    return {"doc_id": keys, "slots": [max(1, -(-len(x) // SLOT_BYTES)) for x in items], "items": items}
 
 
 class _Joined:
@@ -198,12 +208,13 @@ def _by_sets(percent: int):
     return near
 
 
-def _tile_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, group: str, size: int) -> tuple[DataFrame, DataFrame]:
     """Each row once for every pair of tiles that its tile is in and that may hold links between components.
 
     A component that fills a tile has tiles of its own, and no two of them are paired; smaller ones share tiles.
+    The second table is a written one, to be dropped after use.
     """
-    counted = rows.groupBy(group, "component").agg(F.count("*").alias("m"))
+    counted = rows.groupBy(group, "component").agg(F.sum("slots").alias("m"))
     small = f"m < {size}"
     totals = counted.groupBy(group).agg(F.sum(F.expr(f"IF({small}, m, 0)")).alias("few"))
     placed = written(counted.join(totals, group).select(group, "component", F.expr(f"IF({small}, NULL, component)").alias("owner"), F.ceil(F.expr(f"IF({small}, few, m)") / size).cast("int").alias("parts")), "places")
@@ -214,7 +225,34 @@ def _tile_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
     ends = named.withColumn("end", F.explode(F.expr("IF(i = j, array(struct(i AS tile, 2 AS side)), array(struct(i AS tile, 0 AS side), struct(j AS tile, 1 AS side)))")))
     spread = F.when(F.col("owner").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("doc_id"))
     at = rows.join(placed, [group, "component"]).withColumn("tile", F.struct(F.coalesce("owner", F.lit(-(1 << 63))).alias("owner"), F.pmod(spread, "parts").cast("int").alias("part")))
-    return at.drop("owner", "parts").join(ends.select(group, "end.tile", "pair", "end.side"), [group, "tile"]).drop("tile")
+    return at.drop("owner", "parts").join(ends.select(group, "end.tile", "pair", "end.side"), [group, "tile"]).drop("tile"), placed
+
+
+def _sub_buckets(rows: DataFrame, size: int) -> DataFrame:
+    """rows (of buckets, in `band`) with large buckets dealt into sub-buckets, where that sends fewer rows than tiles do."""
+    counted = rows.groupBy("band", "component").agg(F.count("*").alias("m"))
+    sums = counted.groupBy("band").agg(
+        F.sum("m").alias("n"),
+        F.ceil(F.sum(F.expr(f"IF(m < {size}, m, 0)")) / size).alias("shared"),
+        F.sum(F.expr(f"IF(m < {size}, 0, CEIL(m / {size}))")).alias("own"),
+        F.sum(F.expr(f"IF(m < {size}, 0, m * CEIL(m / {size}))")).alias("unpaired"),
+    )
+    large = written(sums.select("band", "n", F.expr("n * (shared + own) - unpaired").alias("sent")).where(f"sent > {SUB_BANDS} * n"), "large")
+    if large.isEmpty():
+        drop_written(large)
+        return rows
+    places = ", ".join(f"substring(sketch, k + {i * SUB_BANDS}, 1)" for i in range(SUB_ROWS))
+    dealt = rows.join(large, "band", "left_semi").select("band", "doc_id", "component", F.explode(F.expr(f"transform(sequence(1, {SUB_BANDS}), k -> xxhash64(band, k, {places}))")).alias("part"))
+    parts = dealt.groupBy("band", "part").agg(F.count("*").alias("m"), F.min("component").alias("least"), F.max("component").alias("most"))
+    parts = written(parts.where("least < most").select("band", "part", "m"), "parts")
+    cost = large.join(parts.groupBy("band").agg(F.sum(F.expr(f"m * CEIL(m / {size})")).alias("parted")), "band", "left")
+    split = written(cost.where("coalesce(parted, 0) < sent").select("band"), "split")
+    met = dealt.join(parts.join(split, "band", "left_semi").select("band", "part"), ["band", "part"], "left_semi").drop("component").distinct()
+    moved = met.join(rows, ["band", "doc_id"]).withColumn("band", F.col("part")).select(rows.columns)
+    out = written(rows.join(split, "band", "left_anti").select(rows.columns).unionByName(moved), "mixed")
+    for done in (large, parts, split, rows):
+        drop_written(done)
+    return out
 
 
 def _contracted(rows: DataFrame, group: str, size: int, near, percent: int) -> DataFrame | None:
@@ -227,13 +265,19 @@ def _contracted(rows: DataFrame, group: str, size: int, near, percent: int) -> D
     """
     joined = None
     while not rows.isEmpty():
-        met = map_groups(_tile_pairs(rows, group, size), [group, "pair"], "a bigint, b bigint", _joins(near, percent))
+        paired, placed = _tile_pairs(rows, group, size)
+        met = map_groups(paired, [group, "pair"], "a bigint, b bigint", _joins(near, percent))
         edges = written(met.groupBy("a").agg(F.min("b").alias("b")), "joins")
+        drop_written(placed)
         if edges.isEmpty():
             break
         found = components(edges)
-        joined = found if joined is None else written(_composed(joined, found), "joined")
-        rows = written(_several(_relabelled(rows, found), group), "mixed")
+        again = written(_several(_relabelled(rows, found), group), "mixed")
+        then = found if joined is None else written(_composed(joined, found), "joined")
+        for done in (edges, rows, *(() if joined is None else (joined, found))):
+            drop_written(done)
+        joined, rows = then, again
+    drop_written(rows)
     return joined
 
 
@@ -258,12 +302,13 @@ def _star_links(stars: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
 
     The members of a leader are dealt to parts; its set goes once to each part, not to each member.
     """
-    parts = stars.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     wanted = stars.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
-    sets = written(map_texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id bigint, items binary", lambda k, t: _sets(k, t, n)).distinct(), "sets")
+    sets = _written_sets(docs.join(wanted, "doc_id", "left_semi"), n)
+    sizes = sets.select(F.col("doc_id").alias("member"), "slots")
+    parts = stars.join(sizes, "member").groupBy("leader").agg(F.ceil(F.sum("slots") / TILE).cast("int").alias("parts"))
     members = stars.join(parts, "leader").select("leader", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("doc_id"))
     leaders = parts.select("leader", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), F.col("leader").alias("doc_id"))
-    together = members.union(leaders).join(sets, "doc_id")
+    together = members.union(leaders).join(sets.drop("slots"), "doc_id")
 
     def rows(group: pa.Table) -> dict[str, np.ndarray] | None:
         leader, ids = group.column("leader")[0].as_py(), group.column("doc_id").to_numpy()
@@ -272,7 +317,13 @@ def _star_links(stars: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
         good = [d for x, d in zip(items, ids, strict=True) if d != leader and any(_near(x, y, percent) for y in own)]
         return {"a": np.full(len(good), leader, np.int64), "b": np.array(good, np.int64)} if good else None
 
-    return written(map_groups(together, ["leader", "part"], "a bigint, b bigint", rows), "links")
+    links = written(map_groups(together, ["leader", "part"], "a bigint, b bigint", rows), "links")
+    drop_written(sets)
+    return links
+
+
+def _written_sets(docs: DataFrame, n: int) -> DataFrame:
+    return written(map_texts(docs, "doc_id bigint, slots bigint, items binary", lambda k, t: _sets(k, t, n)).distinct(), "sets")
 
 
 def _near(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -299,24 +350,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     same_id = labelled.join(repeated, "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
     firsts = signed.join(classes, (signed["class_key"] == classes["class_key"]) & (signed["doc_id"] == classes["class_id"]), "left_semi")
     firsts = written(firsts.select("doc_id", "n_shingles", "bands", "sketch").distinct(), "firsts")
-    banded = firsts.select("doc_id", F.explode("bands").alias("band"))
-    shared = written(banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "shared")
-    members = written(banded.join(shared, "band").select("band", "doc_id", "leader"), "members")
-    stars = members.where("leader < doc_id").groupBy(F.col("doc_id").alias("member")).agg(F.min("leader").alias("leader"))
-    links = _star_links(written(stars, "stars"), read, words, percent).union(same_id)
-    found = written(components(links), "components")
+    for done in (signed, classes):
+        drop_written(done)
+    banded = firsts.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("doc_id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = written(shared.select("band", F.col("first.doc_id").alias("leader"), F.col("first.n_shingles").alias("leader_size")), "shared")
+    members = written(banded.join(shared, "band"), "members")
+    # Sets whose sizes alone keep them apart aren't fetched.
+    sized = members.where(f"leader < doc_id AND 100 * least(n_shingles, leader_size) >= {percent} * greatest(n_shingles, leader_size)")
+    stars = written(sized.groupBy(F.col("doc_id").alias("member")).agg(F.min("leader").alias("leader")), "stars")
+    links = _star_links(stars, read, words, percent)
+    linked = components(links.union(same_id))
+    found = written(linked, "components")
     parted = _relabelled(members.select("band", "doc_id", F.col("doc_id").alias("component")), found)
-    sketched = _several(parted, "band").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    families = _contracted(written(sketched, "mixed"), "band", TILE, _by_sketch(percent), percent)
+    sketched = _several(parted, "band").join(firsts.select("doc_id", "n_shingles", F.lit(1).cast("bigint").alias("slots"), "sketch"), "doc_id")
+    mixed = written(sketched, "mixed")
+    for done in (shared, members, stars, links, linked):
+        drop_written(done)
+    families = _contracted(_sub_buckets(mixed, TILE), "band", TILE, _by_sketch(percent), percent)
     if families is not None:
-        families = families.toDF("component", "family")
-        relatives = written(_relabelled(firsts.select("doc_id", "n_shingles", F.col("doc_id").alias("component")), found).join(families, "component"), "relatives")
-        texts = read.join(relatives.select("doc_id"), "doc_id", "left_semi")
-        sets = written(map_texts(texts, "doc_id bigint, items binary", lambda k, t: _sets(k, t, words)).distinct(), "sets")
-        sized = relatives.drop("n_shingles").distinct().join(sets, "doc_id").withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
-        more = _contracted(written(_several(sized, "family"), "mixed"), "family", FAMILY_TILE, _by_sets(percent), percent)
+        named = families.toDF("component", "family")
+        relatives = written(_relabelled(firsts.select("doc_id", F.col("doc_id").alias("component")), found).join(named, "component").distinct(), "relatives")
+        sets = _written_sets(read.join(relatives.select("doc_id"), "doc_id", "left_semi"), words)
+        sized = relatives.join(sets, "doc_id").withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
+        mixed = written(_several(sized, "family"), "mixed")
+        for done in (families, relatives, sets):
+            drop_written(done)
+        more = _contracted(mixed, "family", FAMILY_TILE, _by_sets(percent), percent)
         if more is not None:
-            found = written(_composed(found, more), "components")
+            joined = written(_composed(found, more), "components")
+            for done in (found, more):
+                drop_written(done)
+            found = joined
+    drop_written(firsts)
     out = labelled.join(found.toDF("class_id", "c"), "class_id", "left")
     component = F.coalesce("c", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "class_id")
