@@ -37,6 +37,26 @@ def test_ids_and_decoded_text_equal_the_library(library):
         assert decoded == library.decode(said) == own.decode(said), text[:50]
 
 
+def test_decoded_text_is_that_of_the_ids(monkeypatch):
+    """What follows depends on the decoding: where it gives other texts, the decoded text and its digest are others."""
+    given, decode = ["Hello  wörld", "one two"], piece_spans.Codec.decode
+    before = piece_spans._digests([1, 2], given, PATH)
+    monkeypatch.setattr(piece_spans.Codec, "decode", lambda self, ids: decode(self, ids).replace("o", "0"))
+    assert [r[3] for r in piece_spans.codec(PATH).encode(given)] == ["Hell0  wörld", "0ne tw0"]
+    changed = piece_spans._digests([1, 2], given, PATH)
+    assert changed["ids_sha256"] == before["ids_sha256"]
+    assert changed["decoded_sha256"] == [hashlib.sha256(t.encode()).hexdigest() for t in ("Hell0  wörld", "0ne tw0")]
+
+
+def test_any_ids_decode_as_the_library_does(library):
+    own, r = piece_spans.Codec(PATH), random.Random(8)
+    kinds = [[i for i, kind in enumerate(own.kinds) if kind == k] for k in (piece_spans.BYTE, piece_spans.CONTROL, piece_spans.UNKNOWN)]
+    spaces = [i for i, name in enumerate(own.names) if name.startswith(piece_spans.SPACE)][:50] + [own.names.index(piece_spans.SPACE)] * 20
+    for _ in range(4000):
+        ids = [r.choice(r.choice([*kinds, spaces, range(len(own.names))])) for _ in range(r.randrange(9))]
+        assert own.decode(ids) == library.decode(ids), ids
+
+
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(piece_spans, "WORDS", 3)
     own, given = piece_spans.Codec(PATH), texts(300)
@@ -93,3 +113,15 @@ def test_models_it_does_not_read(tmp_path):
     (tmp_path / "other.model").write_bytes(bare)
     with pytest.raises(ValueError, match="merges"):
         piece_spans.Codec(str(tmp_path / "other.model"))
+
+
+def test_a_model_that_trims_and_has_unknown_characters(tmp_path):
+    r, given = random.Random(5), texts(400, "aab  bca -1", 30, 6)
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(given * 3), model_prefix=str(tmp_path / "m"), model_type="bpe", vocab_size=40, minloglevel=2)
+    said = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    own = piece_spans.Codec(str(tmp_path / "m.model"))
+    for text, (ids, _, _, decoded) in zip(given + ODD, own.encode(given + ODD), strict=True):
+        assert numbers(ids) == said.encode(text) and decoded == said.decode(numbers(ids)), text[:50]
+    for _ in range(2000):
+        ids = [r.choice([0, 1, 2, own.names.index("▁"), r.randrange(len(own.names))]) for _ in range(r.randrange(7))]
+        assert own.decode(ids) == said.decode(ids), ids

@@ -7,7 +7,8 @@ records the byte of the source that it came from, so each piece projects to a sp
 The normalised text is cut where no merge can reach over: in front of a run of escaped spaces, if the vocabulary
 has no piece with a space after another character, and on both sides of characters that stand in no longer piece.
 What lies between two cuts is encoded once for each worker while it stays in a bounded cache, by the library with
-the model's merges and without its normaliser; ids, lengths and decoded text of a document are put together from it.
+the model's merges and without its normaliser; ids and lengths of a document are put together from it. The decoded
+text of a document is made from its ids alone, by the pieces' own texts.
 
 Spans. A piece covers the source bytes from where its first normalised byte came from to where the byte after its
 last one came from. Bytes of a character that was copied are told apart (byte pieces have a byte each); those of a
@@ -21,6 +22,7 @@ with pieces that the user has defined raise ValueError.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
@@ -43,6 +45,9 @@ BPE = 2
 WORDS = 250_000
 #: Longer words are cut further where they can be, and aren't kept.
 KEPT_CHARS = 256
+#: Handler of bytes that aren't UTF-8: U+FFFD for each of them, as the library does.
+EACH = "piece_spans_each"
+codecs.register_error(EACH, lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def _number(data: bytes, at: int) -> tuple[int, int]:
@@ -200,10 +205,13 @@ class Codec:
         alone = "".join(sorted(map(re.escape, {c for n in longer for c in n})))
         self._part = re.compile(f"[{alone}]+|[^{alone}]+") if alone else re.compile("(?s).+")
         self._word = re.compile(f"(?s){SPACE}*[^{SPACE}]*" if self.by_words else "(?s).+")
-        #: Of each word its ids, each with its length, as packed integers; those of the generation before; words with unknown characters.
+        #: What each piece decodes to. A control piece has none; it is marked by a byte that no text has.
+        self.texts = [self._text(name, kind) for name, kind in zip(self.names, self.kinds, strict=True)]
+        #: Whether decoding takes the space away that a piece starts with, where it is the first.
+        self.led = [(self.normaliser.prefixed or self.normaliser.trimmed) and kind in (NORMAL, UNUSED) and name.startswith(SPACE) for name, kind in zip(self.names, self.kinds, strict=True)]
+        #: Of each word its ids, each with its length, as packed integers; those of the generation before.
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.odd: set[str] = set()
 
     def _learn(self, words: list[str]) -> None:
         """Ids and lengths in normalised bytes of words; long words are cut further, so that no call holds more than a part."""
@@ -222,47 +230,60 @@ class Codec:
         sizes = self.sizes[ids]
         starts = np.concatenate([[0], np.cumsum(lengths)])
         firsts = np.concatenate([[0], np.cumsum(counts)])
-        odd = set()
         for part in np.unique(np.searchsorted(starts, np.flatnonzero(ids == self.unknown), "right") - 1):
             sizes[starts[part] : starts[part + 1]] = [len(p.encode()) for p in self.library.encode(asked[part], out_type=str)]
-            odd.add(int(np.searchsorted(firsts, part, "right") - 1))
         bounds = starts[firsts] * 8
         sizes[bounds[:-1][spaced] // 8] -= 2
         both = np.stack([ids, sizes], 1).tobytes()
         self.words.update(zip(words, map(both.__getitem__, map(slice, bounds[:-1].tolist(), bounds[1:].tolist())), strict=True))
-        self.odd.update(words[k] for k in odd)
-
-    def _text(self, ids: list[int]) -> str:
-        """The text of pieces, a space for each escaped one."""
-        out = bytearray()
-        for i in ids:
-            kind, name = self.kinds[i], self.names[i]
-            if kind == BYTE:
-                out.append(int(name[3:5], 16))
-            elif kind != CONTROL:
-                out += (self.unknown_text if kind == UNKNOWN else name.replace(SPACE, " ")).encode()
-        return out.decode("utf-8", "replace")
+
+    def _text(self, name: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(name[3:5], 16)])
+        if kind == CONTROL:
+            return b"\xff"
+        return (self.unknown_text if kind == UNKNOWN else name.replace(SPACE, " ")).encode()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without the space that the model sets before a text, and bytes that aren't UTF-8 replaced."""
-        text = self._text(ids)
-        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-        led = first is not None and self.names[first].startswith(SPACE) and (self.normaliser.prefixed or self.normaliser.trimmed)
-        return text[1:] if led and text.startswith(" ") else text
+        data = b"".join(map(self.texts.__getitem__, ids))
+        led = bool(ids) and self.led[ids[0]]
+        if not (led and self.normaliser.trimmed and self.texts[ids[0]] == b" "):  # else further pieces may lose theirs
+            try:
+                return data[led:].decode()
+            except UnicodeDecodeError:  # control pieces, or bytes that aren't UTF-8
+                pass
+        return self._decode_by_piece(ids)
+
+    def _decode_by_piece(self, ids: list[int]) -> str:
+        parts, run, first = [], bytearray(), True
+        for i in [*ids, None]:
+            if i is not None and self.kinds[i] == BYTE:
+                run += self.texts[i]
+                continue
+            if run:
+                parts.append(run.decode("utf-8", EACH))
+                first, run = False, bytearray()
+            if i is None or self.kinds[i] == CONTROL:
+                continue
+            led = first and self.led[i]
+            text = self.texts[i][led:].decode()
+            parts.append(text)
+            first = first and not text and self.normaliser.trimmed
+        return "".join(parts)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray, np.ndarray, str]]:
         """(ids as unsigned 32-bit integers without begin and end, starts and ends of their spans in bytes, decoded text) of each text."""
         if len(self.words) > WORDS:
             self.before, self.words = self.words, {}
-            self.odd &= self.before.keys()
-        rows: list[tuple[list[str], str, np.ndarray | None]] = []
+        rows: list[tuple[list[str], np.ndarray | None]] = []
         for text in texts:
             if self.by_words and self.normaliser.plain(text):
-                rows.append((text.split(" "), text, None))
+                rows.append((text.split(" "), None))
             else:
                 made, source = self.normaliser(text)
-                rows.append(([w for w in self._word.findall(made) if w], made, source))
-        asked = set().union(*(words for words, _, _ in rows))
+                rows.append(([w for w in self._word.findall(made) if w], source))
+        asked = set().union(*(words for words, _ in rows))
         missing = asked - self.words.keys()
         known = missing & self.before.keys()
         self.words.update(zip(known, map(self.before.__getitem__, known), strict=True))
@@ -270,25 +291,18 @@ class Codec:
         if missing:
             self._learn(missing)
         look, out = self.words.__getitem__, []
-        for words, made, source in rows:
+        for words, source in rows:
             both = np.frombuffer(b"".join(map(look, words)), "<u4").reshape(-1, 2)
-            ids, sizes = both[:, 0].tobytes(), both[:, 1]
+            ids, sizes = both[:, 0], both[:, 1]
             ends = np.cumsum(sizes, dtype=np.int64)
             if source is None:
                 ends -= 1  # the first word has no space before it
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                text = made
             else:
                 starts, ends = source[ends - sizes], source[ends]
-                text = made.replace(SPACE, " ") if self.normaliser.escaped else made
-            if self.odd and not self.odd.isdisjoint(words):
-                text = self.decode(np.frombuffer(ids, "<u4").tolist())
-            elif source is not None and made.startswith(SPACE) and (self.normaliser.prefixed or self.normaliser.trimmed):
-                text = text[1:]
-            out.append((ids, starts, ends, text))
+            out.append((ids.tobytes(), starts, ends, self.decode(ids.tolist())))
         for long in [w for w in missing if len(w) > KEPT_CHARS]:
             del self.words[long]
-            self.odd.discard(long)
         return out
 
 
