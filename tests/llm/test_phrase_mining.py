@@ -89,3 +89,54 @@ def test_scores_beyond_64_bits(spark):
     big = 9_000_000_000_000_000_000
     said = spark.sql(f"SELECT CAST({big} AS BIGINT) AS a, CAST({big} AS BIGINT) AS l, CAST({big - 7} AS BIGINT) AS r")
     assert said.selectExpr(f"{M.SCORE} AS s").first().s == 2000000 * big // (2 * big - 7)
+
+
+def test_a_further_pass_reads_only_around_what_it_was_told(monkeypatch):
+    """Counts of what comes into reach are those over all words, but only the words around the last filter's are counted."""
+    r = random.Random(11)
+    data = " ".join(r.choice("abcdefgh") * r.choice([1, 1, 9]) + r.choice(["", "", ".", "\n"]) for _ in range(3000)).encode().translate(M._BYTES)
+    keys, _, pieces = M.word_keys(data)
+    keys = M._tagged(keys, 1)
+
+    def made(phrases, bits):
+        words = M.np.zeros(bits // 64, M.np.uint64)
+        for key in phrases:
+            for k in range(M.PROBES):
+                at = int(M.probe(M.np.array([key], M.np.uint64), k, bits)[0])
+                words[at >> 6] |= M.np.uint64(1 << (at & 63))
+        return M.Filter(words)
+
+    everything = {int(k): int(n) for _, ks, ns in M.reached(keys, pieces, 4, []) for k, n in zip(ks, ns, strict=True)}
+    some = sorted(k for k in everything if k & 3 < 3)
+    first = made(r.sample(some, len(some) // 3) + [k for k in some if k & 3 == 0][2:], 1 << 16)
+    for told in (r.sample(some, 3), [k for k in some if k & 3 == 0][:1], []):
+        last = made(told, 1 << 7)
+        counted = lambda filters: {int(k): int(n) for _, ks, ns in M.reached(keys, pieces, 4, filters) for k, n in zip(ks, ns, strict=True)}
+        both = made([], 1 << 16)
+        monkeypatch.setattr(both, "has", lambda k, a=first, b=last: a.has(k) | b.has(k))
+        before, now, new = counted([first]), counted([both]), counted([first, last])
+        assert new == {k: n for k, n in now.items() if k not in before}
+        near = M._around(keys, pieces, 4, last)
+        assert len(near) < len(keys) and (len(near) == 0) == (not told)
+
+
+def test_words_of_any_length_have_keys_of_their_own():
+    """Words that differ in one byte, or only in length, around the lengths at which keys are made in another way."""
+    words = [b"x" * n for n in range(1, 140)] + [b"x" * k + b"y" + b"x" * (n - k - 1) for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 66, 130) for k in range(n)]
+    keys, starts, pieces = M.word_keys(b" ".join(words))
+    assert len(keys) == len(words) and len(set(keys.tolist())) == len(set(words)) and not pieces.any()
+    apart = [int(M.word_keys(b"\n  " + w + b"\n")[0][0]) for w in words]
+    assert apart == keys.tolist()
+    assert M.word_keys(b"\n a\nb c\n\nd")[2].tolist() == [1, 2, 2, 4]
+
+
+def test_a_chunk_of_many_different_words():
+    """Pairs of words are told apart where their numbers' products pass 32 bits."""
+    r = random.Random(2)
+    text = " ".join(f"w{r.randrange(90_000)}" + r.choice(["", "", "."]) for _ in range(200_000)) + " a b c d" * 3
+    counts = M._Counts()
+    counts.add(M.plain_bytes(text))
+    every = M.Filter(M.np.full(1 << 6, ~M.np.uint64(0)))
+    made = {p.decode(): int(n) for _, phrases, ns in counts.counted("en", every) for p, n in zip(phrases, ns, strict=True)}
+    expected = plain_counts([("en", text)])["en"]
+    assert made.pop("") == sum(f for p, f in expected.items() if " " not in p) and made == expected

@@ -8,12 +8,15 @@ come into reach, until no border phrase fails. As a frequent phrase has frequent
 among those counted, whatever the sample was. Phrases have up to 4 words, so there are at most 4 full passes.
 
 These passes count by a 64-bit key of lang and phrase, made from the bytes by NumPy without a Python object for each
-word. A key's count is that of its phrase, or more where two phrases should share a key, never less. A last pass
-counts the phrases of the frequent keys as they are written, by their words: those are the counts that are returned.
+word; its two lowest bits are the number of words less one. A key's count is that of its phrase, or more where two
+phrases should share a key, never less. A last pass counts the phrases of the frequent keys as they are written, by
+their words: those are the counts that are returned.
 
-What tasks are sent of a proposal is a Bloom filter of BITS bits, whatever the number of phrases. A phrase that the
-filter takes for proposed by chance is one more phrase to count, never one less, as filters only grow and each pass
-counts exactly what its filter reaches and the filter before doesn't.
+What tasks are sent of a proposal is a Bloom filter of BITS bits, whatever the number of phrases; of the border phrases
+that it grows by, a further filter, as large as their number needs and no larger. A phrase that the filters take for
+proposed by chance is one more phrase to count, never one less, as filters are only added and each pass counts exactly
+what its filters reach and those before don't. A phrase that only the last filter brings into reach holds a phrase
+that this filter has, so a further pass looks at the words around those and at no others.
 
 A task holds CHUNK words at a time; each distinct phrase of a chunk leaves it once, so a phrase that is everywhere
 meets as one row for each chunk.
@@ -26,8 +29,8 @@ Counts are 64-bit, products and sums of them decimals of up to 38 digits.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -46,10 +49,14 @@ LEAST, COVERED, TOP = 30, 80, 2000
 SAMPLE, SAMPLE_LEAST = 8, 2
 #: Bits of the filter (16 MiB) and bits that a phrase sets in it.
 BITS, PROBES = 1 << 27, 3
+#: Bits for each phrase of a further filter, as long as it isn't larger than the first.
+FAILED_BITS = 32
 #: floor(2000000 * a / (l + r)) in decimals: products and sums may pass 64 bits.
 SCORE = "CAST(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0)) DIV (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0))) AS BIGINT)"
 #: Words that a task holds at a time, and bytes that it turns into words at a time (a longer word makes it more).
 CHUNK, BLOCK = 800_000, 1 << 20
+#: Keys that a filter is asked for at a time.
+ASKED = 1 << 15
 #: The bytes that end a piece (fixed set) become line feeds, tabs become spaces, A-Z lower case.
 _BYTES = bytearray(range(256))
 _BYTES[65:91] = bytes(range(97, 123))
@@ -57,21 +64,19 @@ _BYTES[9] = 32
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _BYTES[_c] = 10
 _BYTES = bytes(_BYTES)
-_BASE, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
+#: What stands for a piece's end among words: no text in UTF-8 has this byte.
+END = b" \xff "
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that go into its key eight at a time; longer words are hashed one by one.
+LANES = 64
+#: The first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def plain_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_BYTES)
 
 
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2^64."""
-    with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)
-        return tuple(np.cumprod(np.concatenate([one, np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-
 def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (first ^ (second >> np.uint64(31))) * _MIX + second
@@ -79,6 +84,30 @@ def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _tagged(keys: np.ndarray, words: int) -> np.ndarray:
+    """Keys that tell the number of words."""
+    return keys & np.uint64(0xFFFFFFFFFFFFFFFC) | np.uint64(words - 1)
+
+
+def _longer(first: np.ndarray, last: np.ndarray, words: int) -> np.ndarray:
+    """Keys of phrases of so many words, by those of the phrases without the last word and of the last words."""
+    return _tagged(_mixed(first, last), words)
+
+
+def _block_keys(block: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Keys of the words that start at first and have so many bytes."""
+    padded = np.concatenate([block, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(block) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    keys = _mixed(eight[first] & _FIRST[np.minimum(size, 8)], size.astype(np.uint64))
+    left = np.flatnonzero(size > 8)
+    for at in range(8, LANES, 8):
+        keys[left] = _mixed(keys[left], eight[first[left] + at] & _FIRST[np.minimum(size[left] - at, 8)])
+        left = left[size[left] > at + 8]
+    for k in left.tolist():
+        keys[k] = xxhash.xxh3_64_intdigest(block[first[k] : first[k] + size[k]])
+    return keys
+
+
 def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, starts, pieces) of the words of plain bytes; pieces numbers the line feeds before each."""
     keys, starts, pieces, at, seen = [], [], [], 0, 0
@@ -94,13 +123,10 @@ def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         word = np.concatenate([[False], (block != 32) & ~ends_piece, [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
         first, last = edges[::2], edges[1::2]
-        up, down = _powers(max(BLOCK, 1 << (len(block) - 1).bit_length()) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)])])
-            keys.append(_mixed((sums[last] - sums[first]) * down[first], (last - first).astype(np.uint64)))
+        keys.append(_block_keys(block, first, last - first))
         starts.append(first + at)
-        lines = np.concatenate([[0], np.cumsum(ends_piece)])
-        pieces.append(lines[first] + seen)
+        lines = np.bincount(np.searchsorted(first, np.flatnonzero(ends_piece)), minlength=len(first) + 1).cumsum()
+        pieces.append(lines[:-1] + seen)
         at, seen = end, seen + int(lines[-1])
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -115,7 +141,8 @@ def probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
     """The k-th place of each key in a filter."""
     with np.errstate(over="ignore"):
         step = (keys * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-        return ((keys + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits)
+        at = (keys + np.uint64(k) * step) >> np.uint64(20)
+        return at % np.uint64(bits) if bits & (bits - 1) else at & np.uint64(bits - 1)
 
 
 class Filter:
@@ -125,47 +152,84 @@ class Filter:
         self.words = words
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the filter has each key; most of the others are told by their first place."""
-        left, out = np.arange(len(keys)), np.zeros(len(keys), bool)
-        for k in range(PROBES):
-            at = probe(keys[left], k, 64 * len(self.words))
-            left = left[(self.words[(at >> np.uint64(6)).astype(np.intp)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
-        out[left] = True
+        """Whether the filter has each key."""
+        out = np.empty(len(keys), bool)
+        for at in range(0, len(keys), ASKED):
+            out[at : at + ASKED] = self._has(keys[at : at + ASKED])
+        return out
+
+    def _has(self, keys: np.ndarray) -> np.ndarray:
+        """Most of the keys that it hasn't are told by their first place."""
+        out = self._place(keys, 0)
+        left = np.flatnonzero(out)
+        for k in range(1, PROBES):
+            there = self._place(keys[left], k)
+            out[left[~there]] = False
+            left = left[there]
         return out
 
+    def _place(self, keys: np.ndarray, k: int) -> np.ndarray:
+        at = probe(keys, k, 64 * len(self.words))
+        return (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def _held(keys: np.ndarray, asked: np.ndarray, now: Filter | None, before: Filter | None) -> tuple[np.ndarray, np.ndarray]:
-    """(whether now has each key, whether before has it, of those asked for); what before has, now has too."""
-    in_before = np.zeros(len(keys), bool)
-    if before is not None:
-        at = np.flatnonzero(asked)
-        in_before[at] = before.has(keys[at])
-    in_now = np.ones(len(keys), bool) if now is None else in_before.copy()
-    if now is not None:
-        at = np.flatnonzero(~in_before)
-        in_now[at] = now.has(keys[at])
-    return in_now, in_before
 
+def _has(keys: np.ndarray, filters: list[Filter]) -> np.ndarray:
+    """Whether any of the filters has each key."""
+    out = np.zeros(len(keys), bool)
+    for own in filters:
+        at = np.flatnonzero(~out)
+        out[at] = own.has(keys[at])
+    return out
 
-def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, now: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, keys, counts) of the phrases that `now` reaches and `before` doesn't, by their number of words.
 
-    keys and pieces: of each word in turn. A phrase is reached if both its parts are, and the filter has them; all
-    words are. Without `now` all phrases are reached, without `before` none was before.
+def _held(keys: np.ndarray, asked: np.ndarray, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the filters have each key, whether those before the last have it, of the keys asked for)."""
+    before = np.zeros(len(keys), bool)
+    if len(filters) == 1:
+        return filters[0].has(keys), before
+    at = np.flatnonzero(asked)
+    before[at] = _has(keys[at], filters[:-1])
+    now = before.copy()
+    at = np.flatnonzero(~before)
+    now[at] = _has(keys[at], filters)
+    return now, before
+
+
+def _around(keys: np.ndarray, pieces: np.ndarray, longest: int, own: Filter) -> np.ndarray:
+    """The words of all phrases of up to `longest` words that hold a shorter one that the filter has."""
+    change, phrase, n = np.zeros(len(keys) + 1, np.int64), keys, len(keys)
+    for size in range(1, min(longest, n + 1)):
+        if size > 1:
+            phrase = _longer(phrase[:-1], keys[size - 1 :], size)
+        at = np.flatnonzero(own.has(phrase))
+        at = at[pieces[at] == pieces[at + size - 1]]
+        np.add.at(change, np.maximum(at + size - longest, 0), 1)
+        np.add.at(change, np.minimum(at + longest, n), -1)
+    return np.flatnonzero(change.cumsum()[:-1] > 0)
+
+
+def reached(keys: np.ndarray, pieces: np.ndarray, longest: int, filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, keys, counts) of the phrases that the filters reach and those before the last don't, by their number of words.
+
+    keys and pieces: of each word in turn. A phrase is reached if both its parts are, and a filter has them; all
+    words are. Without filters all phrases are reached, with one filter none was before.
     """
+    if len(filters) > 1:
+        near = _around(keys, pieces, longest, filters[-1])
+        keys, pieces = keys[near], np.cumsum(np.diff(near, prepend=-1) != 1) + pieces[near]
     place, own = np.arange(len(keys)), keys
-    held, held_before = _held(own, np.ones(len(own), bool), now, before)
-    if before is None:
+    held, held_before = _held(own, np.ones(len(own), bool), filters) if filters else (np.ones(len(own), bool), np.zeros(len(own), bool))
+    if len(filters) < 2:
         yield (1, *np.unique(own, return_counts=True))
     for size in range(2, longest + 1):
         # Phrases of one word less that start at neighbouring words, in one piece.
         pair = np.flatnonzero((np.diff(place) == 1) & held[:-1] & held[1:])
         pair = pair[pieces[place[pair]] == pieces[place[pair] + size - 1]]
         both_before = held_before[pair] & held_before[pair + 1]
-        place, own = place[pair], _mixed(own[pair], keys[place[pair] + size - 1])
+        place, own = place[pair], _longer(own[pair], keys[place[pair] + size - 1], size)
         yield (size, *np.unique(own[~both_before], return_counts=True))
         if size < longest:
-            held, held_before = _held(own, both_before, now, before)
+            held, held_before = _held(own, both_before, filters) if filters else (np.ones(len(own), bool), both_before)
 
 
 def _made(schema: str) -> tuple[StructType, pa.Schema]:
@@ -189,64 +253,75 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tupl
         yield held
 
 
-def _by_key(docs: DataFrame, chunk: int, longest: int, now=None, before=None) -> DataFrame:
-    """key, words, f of the phrases in reach; f is summed by chunk only."""
-    kind, schema = _made("key bigint, words int, f bigint")
+def _chunk_keys(held: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, pieces) of the words of texts, each in its lang."""
+    keys, starts, pieces = word_keys(b"\n".join([d for _, d in held]))
+    sizes = np.array([len(d) + 1 for _, d in held])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+    known = {lang: lang_key(lang) for lang in {lang for lang, _ in held}}
+    return _longer(keys, np.repeat(np.array([known[lang] for lang, _ in held], np.uint64), counts), 1), pieces
+
+
+def _by_key(docs: DataFrame, chunk: int, longest: int, filters: list) -> DataFrame:
+    """key, f of the phrases in reach of broadcast filters."""
+    kind, schema = _made("key bigint, f bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches, chunk):
-            keys, starts, pieces = word_keys(b"\n".join([d for _, d in held]))
-            sizes = np.array([len(d) + 1 for _, d in held])
-            counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
-            known = {lang: lang_key(lang) for lang in {lang for lang, _ in held}}
-            keys = _mixed(keys, np.repeat(np.array([known[lang] for lang, _ in held], np.uint64), counts))
-            for size, found, n in reached(keys, pieces, longest, now.value if now else None, before.value if before else None):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), size, np.int32)), pa.array(n.astype(np.int64))], schema=schema)
+            for _, found, n in reached(*_chunk_keys(held), longest, [f.value for f in filters]):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
-    return docs.mapInArrow(run, kind).groupBy("key", "words").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, kind).groupBy("key").agg(F.sum("f").alias("f"))
 
 
 class _Counts:
     """Exact counts of phrases of one lang in a chunk: words are numbered, phrases of one word more are pairs of numbers."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.next = count().__next__
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.texts: list[np.ndarray] = []
 
     def add(self, data: bytes) -> None:
-        words, number, step = [w for w in data.replace(b"\n", b" \n ").split(b" ") if w], self.number, self.next
-        words.append(b"\n")
-        self.texts.append(np.array([number[w] if w in number else number.setdefault(w, step()) for w in words], np.int64))
+        words = data.replace(b"\n", END).split()
+        words.append(END.strip())
+        self.texts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
     def counted(self, lang: str, wanted: Filter) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
         """(words, phrases, counts) of phrases whose keys the filter has, and those of their parts; first all words as (0, one empty phrase)."""
         ids, names = np.concatenate(self.texts), list(self.number)
-        end, base = self.number[b"\n"], len(names)
+        self.texts = []
+        end, base = self.number[END.strip()], len(names)
         keys = np.zeros(base, np.uint64)
-        keys[[k for k in range(base) if k != end]] = _mixed(word_keys(b" ".join([w for w in names if w != b"\n"]))[0], lang_key(lang))
+        keys[[k for k in range(base) if k != end]] = _longer(word_keys(b" ".join([w for w in names if w != END.strip()]))[0], lang_key(lang), 1)
         n = np.bincount(ids, minlength=base)
         n[end] = 0
         yield 0, [b""], np.array([n.sum()])
         held = wanted.has(keys) & (np.arange(base) != end)
         at = np.flatnonzero(held)
         yield 1, [names[k] for k in at.tolist()], n[at]
-        place, own, phrases = np.where(held[ids], ids, -1), keys, names
+        place, own, phrases = np.where(held[ids], ids, np.int64(-1)), keys, names
         for size in range(2, LONGEST + 1):
             there = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
+            there = there[wanted.has(_longer(own[place[there]], keys[ids[there + size - 1]], size))]
             if not len(there):
                 return
             pairs, inverse, n = np.unique(place[there] * base + ids[there + size - 1], return_inverse=True, return_counts=True)
             head, last = pairs // base, pairs % base
-            own = _mixed(own[head], keys[last])
-            held = wanted.has(own)
-            at = np.flatnonzero(held)
-            number = np.cumsum(held) - 1
-            phrases = [phrases[a] + b" " + names[b] for a, b in zip(head[at].tolist(), last[at].tolist(), strict=True)]
-            own = own[at]
-            yield size, phrases, n[at]
+            own = _longer(own[head], keys[last], size)
+            phrases = [phrases[a] + b" " + names[b] for a, b in zip(head.tolist(), last.tolist(), strict=True)]
+            yield size, phrases, n
             place = np.full(len(place) - 1, -1, np.int64)
-            place[there] = np.where(held, number, -1)[inverse]
+            place[there] = inverse
+
+
+def _counted(held: list[tuple[str, bytes]], wanted: Filter) -> Iterator[tuple[str, int, list[bytes], np.ndarray]]:
+    langs: dict[str, _Counts] = {}
+    for lang, data in held:
+        langs.setdefault(lang, _Counts()).add(data)
+    while langs:
+        lang, counts = langs.popitem()
+        for size, phrases, n in counts.counted(lang, wanted):
+            yield lang, size, phrases, n
 
 
 def _exact(docs: DataFrame, chunk: int, wanted) -> DataFrame:
@@ -255,20 +330,15 @@ def _exact(docs: DataFrame, chunk: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches, chunk):
-            langs: dict[str, _Counts] = {}
-            for lang, data in held:
-                langs.setdefault(lang, _Counts()).add(data)
-            for lang, counts in langs.items():
-                for size, phrases, n in counts.counted(lang, wanted.value):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(n.astype(np.int64))], schema=schema)
+            for lang, size, phrases, n in _counted(held, wanted.value):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(n.astype(np.int64))], schema=schema)
 
     return docs.mapInArrow(run, kind).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def _filter(keys: DataFrame, base: np.ndarray):
-    """A broadcast filter of the keys and of those in base; its size is that of base, whatever their number."""
+def _filter(keys: DataFrame, size: int):
+    """A broadcast filter of the keys, of so many bits, whatever their number."""
     kind, schema = _made("place bigint, bits bigint")
-    size = 64 * len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,17 +349,17 @@ def _filter(keys: DataFrame, base: np.ndarray):
 
     # At most size / 64 rows of two numbers.
     found = keys.select("key").mapInArrow(run, kind).groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = base.copy()
-    words[found.column("place").to_numpy()] |= found.column("bits").to_numpy().view(np.uint64)
+    words = np.zeros(size // 64, np.uint64)
+    words[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(Filter(words))
 
 
-def _outside(keys: DataFrame, known) -> DataFrame:
-    """The rows whose keys a filter hasn't."""
+def _outside(keys: DataFrame, filters: list) -> DataFrame:
+    """The rows whose keys no filter has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~known.value.has(batch.column(0).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(~_has(batch.column(0).to_numpy().view(np.uint64), [f.value for f in filters])))
 
     return keys.mapInArrow(run, keys.schema)
 
@@ -300,20 +370,20 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     The sample is the documents that a hash of their text chooses. sample, bits and chunk change the work, not the result.
     """
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    none = np.zeros(bits // 64, np.uint64)
     chosen = read.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    now, before, found = _filter(_by_key(chosen, chunk, LONGEST - 1).where(f"f >= {SAMPLE_LEAST}"), none), None, []
+    filters, found = [_filter(_by_key(chosen, chunk, LONGEST - 1, []).where(f"f >= {SAMPLE_LEAST}"), bits)], []
     while True:
-        counted = written(_by_key(read, chunk, LONGEST, now, before).where(f"f >= {least}"), "phrase-keys")
+        counted = written(_by_key(read, chunk, LONGEST, filters).where(f"f >= {least}"), "phrase-keys")
         found.append(counted)
-        failed = written(_outside(counted.where(f"words < {LONGEST}"), now), "border-failures")
-        if failed.isEmpty():
+        failed = written(_outside(counted.where(f"(key & 3) < {LONGEST - 1}"), filters), "border-failures")
+        number = failed.count()
+        if not number:
             break
-        before, now = now, _filter(failed, now.value.words)
+        filters.append(_filter(failed, min(bits, max(64, 1 << (FAILED_BITS * number).bit_length()))))
     frequent = found[0]
     for more in found[1:]:
         frequent = frequent.union(more)
-    out = written(_exact(read, chunk, _filter(frequent, none)).where(f"f >= {least} OR words = 0"), "phrases")
+    out = written(_exact(read, chunk, _filter(frequent, bits)).where(f"f >= {least} OR words = 0"), "phrases")
     for done in (*found, failed):
         drop_written(done)
     return out
