@@ -73,8 +73,8 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="wavelake-archive-")
 
 
-def archive(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[pd.DataFrame, int], Wr.Spec]) -> str:
-    """Folder of recordings written from events; once for each session, table and kind."""
+def archive(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[pd.DataFrame, int], Wr.Spec], where: str = "true") -> str:
+    """Folder of recordings written from the events that where holds for; once for each session, table and kind."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _written:
         folder = _folder(ship(spark))
@@ -87,7 +87,7 @@ def archive(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[pd.Dat
                 file.write(Wr.write(spec))
             return pd.DataFrame({"path": [path]})
 
-        rows = events(spark, sf_dir).withColumn("part", F.call_function("div", F.col("event_id"), F.lit(S * FILE_RECORDS)))
+        rows = events(spark, sf_dir).where(where).withColumn("part", F.call_function("div", F.col("event_id"), F.lit(S * FILE_RECORDS))).withColumn("place", F.col("event_id") % (S * FILE_RECORDS))
         rows.groupBy("part").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
         _written[key] = folder
     return _written[key]
@@ -97,8 +97,22 @@ def _grid(values: np.ndarray) -> np.ndarray:
     return np.pad(values, (0, -len(values) % S)).reshape(-1, S)
 
 
+def upper_words(spark: SparkSession, sf_dir: str) -> str | None:
+    """Folder of what 16 bits leave of edf's values, with a file for each file of edf that has such values; None if none has."""
+    folder = archive(spark, sf_dir, "upper", edf_upper, "digital NOT BETWEEN 0 AND 65535")
+    return folder if os.listdir(folder) else None
+
+
+def edf_upper(rows: pd.DataFrame, part: int) -> Wr.Spec:
+    """The words above edf's values, up to the last record that has one: a value less 32768 is edf's sample and 65536 times this."""
+    place = rows["place"].to_numpy()
+    words = np.zeros((place.max() // S + 1, S), np.int64)
+    words.ravel()[place] = rows["digital"].to_numpy() >> 16
+    return Wr.Spec(record_count=len(words), start_date="01.01.24", signals=[Wr.SignalSpec("EEG upper", S, -32768, 32767, samples=words)])
+
+
 def edf(rows: pd.DataFrame, part: int) -> Wr.Spec:
-    """Two signals in 16 bits: value in hundredths less 32768, and the user's number."""
+    """Two signals in 16 bits: value in hundredths less 32768, of which these hold the lower word (see edf_upper), and the user's number."""
     value, user = _grid(rows["digital"].to_numpy() - 32768), _grid((rows["user_id"] % 30_000).to_numpy())
     return Wr.Spec(record_count=len(value), patient_id="P001 F 02-MAY-1951 Doe_Jane", recording_id="Startdate 01-JAN-2024 X X X", start_date="01.01.24", signals=[Wr.SignalSpec("EEG value", S, 0, 655.35, samples=value), Wr.SignalSpec("EEG user", S, -100, 200, -32000, 32000, samples=user)])
 

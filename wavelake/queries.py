@@ -223,9 +223,21 @@ def _samples(blocks: DataFrame, signals: tuple[int, ...] = (0, 1)) -> DataFrame:
     return SA.explode(blocks, dict.fromkeys(signals, S), D)
 
 
+def _wide(spark: SparkSession, d: str, blocks: DataFrame, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Blocks of edf with whole values: the upper words of those beyond 16 bits are in an archive of their own, which read(folder) gives as blocks."""
+    folder = X.upper_words(spark, d)
+    if folder is None:
+        return blocks
+    upper = read(folder) if read else _read(spark, d, "upper", at=folder)
+    kept = upper.where(F.exists("digital", lambda x: x != 0)).select(X.file_part(F.col("path")).alias("_file"), F.col("record_index").alias("_record"), F.col("signal_index").alias("_signal"), F.col("digital").alias("_upper"))
+    joined = blocks.join(kept, (X.file_part(F.col("path")) == F.col("_file")) & (F.col("record_index") == F.col("_record")) & (F.col("signal_index") == F.col("_signal")), "left")
+    whole = F.when(F.col("_upper").isNull(), F.col("digital")).otherwise(F.zip_with("digital", "_upper", lambda low, high: low + high * 65536))
+    return joined.withColumn("digital", whole).select(*blocks.columns)
+
+
 @query(f"WITH {EV} SELECT event_id AS sample_index, digital - 32768 AS value, CAST(user_id % 30000 AS INTEGER) AS user FROM ev")
 def edf_roundtrip_samples(spark, d):
-    rows = _samples(_read(spark, d, "edf")).select("signal_index", _global("sample_index").alias("sample_index"), "digital")
+    rows = _samples(_wide(spark, d, _read(spark, d, "edf"))).select("signal_index", _global("sample_index").alias("sample_index"), "digital")
     wide = rows.groupBy("sample_index").agg(F.max(F.when(F.col("signal_index") == 0, F.col("digital"))).alias("value"), F.max(F.when(F.col("signal_index") == 1, F.col("digital"))).alias("user"))
     return _whole(spark, d, wide)
 
