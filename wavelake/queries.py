@@ -256,7 +256,7 @@ def bdf_roundtrip_samples(spark, d):
 @query(f"WITH {EV} SELECT event_id AS sample_index, bv * (655.35::DOUBLE / bv - 32767 + (digital - 32768)) AS physical FROM ev, (SELECT 655.35::DOUBLE / 65535 AS bv)")
 def edf_roundtrip_physical(spark, d):
     s = _read(spark, d, "edf", "headers").select("path", F.col("signals")[0]["scale"].alias("s"))
-    rows = _samples(_read(spark, d, "edf", signals="EEG value")).join(s, "path")
+    rows = _samples(_wide(spark, d, _read(spark, d, "edf", signals="EEG value"))).join(s, "path")
     return _whole(spark, d, rows.select(_global("sample_index").alias("sample_index"), SA.physical(F.col("digital"), F.col("s.bit_value"), F.col("s.offset")).alias("physical")))
 
 
