@@ -439,7 +439,7 @@ p AS (SELECT * FROM f UNION ALL SELECT file, unnest(range(n, total)), 0 FROM t)
 SELECT file, CAST(pos * 64 // total AS INTEGER) AS bucket, min(v) AS min, max(v) AS max, count(*) AS count FROM p JOIN t USING (file) GROUP BY 1, 2""")
 def envelope_archive(spark, d):
     """Each file's whole span in 64 buckets; the last record is padded with zeros."""
-    blocks = _read(spark, d, "edf", signals="EEG value").withColumn("run_id", F.lit(0))
+    blocks = _wide(spark, d, _read(spark, d, "edf", signals="EEG value")).withColumn("run_id", F.lit(0))
     return _file(E.of_blocks(blocks, 64), "bucket", "min", "max", "count")
 
 
