@@ -428,7 +428,7 @@ def stream_archive(spark, d):
 @query(f"WITH {EV} SELECT {_FILE} AS file, CAST(ceil(count(*) / {S}.0) AS BIGINT) * {S} AS n, CAST(sum(digital - 32768) AS BIGINT) AS total FROM ev GROUP BY 1")
 def merge_archive(spark, d):
     """The chunks of each file merged; the last record is padded with zeros."""
-    first, rest = (_read(spark, d, "edf", signals="EEG value") for _ in range(2))  # a reader each, as filters reach it
+    first, rest = (_wide(spark, d, _read(spark, d, "edf", signals="EEG value")) for _ in range(2))  # a reader each, as filters reach it
     merged = SA.merge(first.where("record_index < 4").union(rest.where("record_index >= 4")), D)
     return _file(merged, F.size("digital").cast("bigint").alias("n"), F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
 
