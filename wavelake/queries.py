@@ -247,6 +247,12 @@ def _whole(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     return rows.where(F.col("sample_index") < X.table(spark, d, "events").count())
 
 
+def _unpadded(spark: SparkSession, d: str, blocks: DataFrame) -> DataFrame:
+    """Blocks without the padding of the last record."""
+    left = X.table(spark, d, "events").count() - X.file_part(F.col("path")) * (S * X.FILE_RECORDS)
+    return blocks.withColumn("digital", F.slice("digital", F.lit(1), F.greatest(F.lit(0), F.least(F.size("digital"), left - F.col("first_sample_index"))).cast("int")))
+
+
 @query(f"WITH {EV} SELECT event_id AS sample_index, digital FROM ev")
 def bdf_roundtrip_samples(spark, d):
     rows = _samples(_read(spark, d, "bdf", signals="A1")).select(_global("sample_index").alias("sample_index"), "digital")
@@ -374,7 +380,8 @@ def envelope_file(spark, d):
 @query(f"""WITH {EV} SELECT 0 AS signal_index, count(*) AS sample_count, min(digital) - 32768 AS lo, max(digital) - 32768 AS hi, 0::BIGINT AS out_of_range FROM ev
 UNION ALL SELECT 1, count(*), CAST(min(user_id % 30000) AS INTEGER), CAST(max(user_id % 30000) AS INTEGER), count(*) FILTER (WHERE user_id % 30000 > 32000) FROM ev""")
 def signal_stats(spark, d):
-    s = SA.signal_stats(_read(spark, d, "edf"))
+    """Of all samples but the padding of the last record; counts out of range are of the words that the files hold."""
+    s = SA.signal_stats(_unpadded(spark, d, _wide(spark, d, _read(spark, d, "edf"))))
     return s.groupBy("signal_index").agg(F.sum("sample_count").alias("sample_count"), F.min("observed_digital_min").alias("lo"), F.max("observed_digital_max").alias("hi"), F.sum("out_of_range_count").alias("out_of_range"))
 
 
@@ -453,9 +460,7 @@ def trim_archive(spark, d):
     """Blocks of every file cut at a time inside a record: what begins later, with first sample, start and count anew. The padding of the last record goes."""
     signal = _read(spark, d, "edf", "headers").select(F.explode("signals").alias("s")).where("s.label = 'EEG value'").select("s.digital_minimum", "s.digital_maximum").first()
     blocks = SA.trim(_read(spark, d, "edf", signals="EEG value"), _CUT, 2**62, {0: (S, signal[0], signal[1])}, D)
-    left = X.table(spark, d, "events").count() - X.file_part(F.col("path")) * (S * X.FILE_RECORDS)
-    kept = F.slice("digital", F.lit(1), F.greatest(F.lit(0), F.least(F.size("digital"), left - F.col("first_sample_index"))).cast("int"))
-    rows = blocks.withColumn("digital", kept)
+    rows = _unpadded(spark, d, blocks)
     total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return _file(rows, "record_index", "first_sample_index", "start_ticks", F.size("digital").cast("bigint").alias("n"), total.alias("total"), "out_of_range_count")
 
