@@ -428,7 +428,8 @@ def _file(rows: DataFrame, *columns) -> DataFrame:
 def stream_archive(spark, d):
     from .streaming.chunks import stream_files
 
-    rows = _samples(stream_files(_read(spark, d, "edf", "headers"), "EEG value", 3), (0,))
+    stream = lambda folder: stream_files(_read(spark, d, "upper", "headers", at=folder), None, 3)
+    rows = _samples(_wide(spark, d, stream_files(_read(spark, d, "edf", "headers"), "EEG value", 3), stream), (0,))
     return _whole(spark, d, rows.select(_global("sample_index").alias("sample_index"), "digital"))
 
 
