@@ -460,7 +460,7 @@ FROM s WHERE (pos // {S}) * {D} + pos % {S} * {D // S} >= {_CUT} GROUP BY 1, 2""
 def trim_archive(spark, d):
     """Blocks of every file cut at a time inside a record: what begins later, with first sample, start and count anew. The padding of the last record goes."""
     signal = _read(spark, d, "edf", "headers").select(F.explode("signals").alias("s")).where("s.label = 'EEG value'").select("s.digital_minimum", "s.digital_maximum").first()
-    blocks = SA.trim(_read(spark, d, "edf", signals="EEG value"), _CUT, 2**62, {0: (S, signal[0], signal[1])}, D)
+    blocks = SA.trim(_wide(spark, d, _read(spark, d, "edf", signals="EEG value")), _CUT, 2**62, {0: (S, signal[0], signal[1])}, D)
     rows = _unpadded(spark, d, blocks)
     total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return _file(rows, "record_index", "first_sample_index", "start_ticks", F.size("digital").cast("bigint").alias("n"), total.alias("total"), "out_of_range_count")
