@@ -9,7 +9,7 @@ from wavelake import queries as Q
 from wavelake.plans import adapters as X
 
 WIDE = {3: 655.36, 7: 700.0, 99: -0.01, 150: 1311.0, 399: 21474836.47, 805: -21474508.8, 949: 800.25}
-NAMES = ["edf_roundtrip_samples", "edf_roundtrip_physical", "envelope_archive", "merge_archive", "sample_by_byte_range", "signal_stats", "stream_archive", "trim_archive"]
+NAMES = ["edf_roundtrip_samples", "edf_roundtrip_physical", "envelope_archive", "merge_archive", "sample_by_byte_range", "signal_stats", "stream_archive", "trim_archive", "windows_archive"]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ an equi-join. Nothing of it comes to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,11 +96,12 @@ def read_ranges(ranges: DataFrame, signals: str | None = None, options: dict | N
     return dealt.repartition("path", "_cut").sortWithinPartitions("path", "first").drop("_cut").mapInArrow(run, schema)
 
 
-def read_windows(spark: SparkSession, path: str, windows: DataFrame, signals: str | None = None, found: DataFrame | None = None, **options) -> DataFrame:
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, signals: str | None = None, found: DataFrame | None = None, then: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
     """Sample blocks of all windows: window_id, run_id and the columns of the source's mode blocks.
 
     path: the archive (a file, folder or glob). found: its index, if it is kept somewhere; otherwise the archive is
-    indexed first. signals: indices or labels joined by commas.
+    indexed first. signals: indices or labels joined by commas. then: what is done with the blocks that were read, before
+    windows that share one have it each.
     """
     register(spark)
     if found is None:
@@ -108,6 +109,7 @@ def read_windows(spark: SparkSession, path: str, windows: DataFrame, signals: st
         found = index(read("records"), read("headers"))
     runs = plan(windows, found)
     blocks = read_ranges(merged(runs), signals, options)
+    blocks = then(blocks) if then else blocks
     wanted = runs.select("path", "window_id", "run_id", F.col("first").alias("run_first"), F.col("count").alias("run_count"))
     joined = with_run(blocks, wanted, F.col("record_index"))
     return joined.select("window_id", "run_id", *blocks.columns)

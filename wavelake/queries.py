@@ -687,7 +687,7 @@ def windows_archive(spark, d):
     begin = (place + 10 * F.call_function("div", place, F.lit(20))) * D + (F.col("event_id") % 5 - 2) * (D // 4)
     files = _read(spark, d, "gaps", "headers").select("path", X.file_part(F.col("path")).alias("file"))
     asked = X.table(spark, d, "events").select(F.call_function("div", F.col("event_id"), F.lit(S * X.FILE_RECORDS)).alias("file"), F.col("event_id").alias("window_id"), begin.alias("start_ticks"), (begin + F.col("event_id") % 9 * (3 * D // 2)).alias("end_ticks"))
-    blocks = read_windows(spark, folder, asked.join(files, "file"), "EEG value")
+    blocks = read_windows(spark, folder, asked.join(files, "file"), "EEG value", then=lambda blocks: _wide(spark, d, blocks))
     total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return blocks.groupBy("window_id").agg(F.count("*").alias("records"), F.countDistinct("run_id").alias("runs"), F.sum(total).alias("total"))
 
