@@ -41,6 +41,30 @@ def test_overlapping_intervals(spark, seed):
     assert sorted((r.x, r.y) for r in found.collect()) == sorted((x, y) for x, p, a, b in one for y, q, c, d in two if p == q and a < end(c, d) and c < end(a, b))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_of_overlaps(spark, seed):
+    """As many as there are pairs, for windows that stand twice too; those without length, path or start have none."""
+    one, two = stretches(70, seed), stretches(50, seed + 10)
+    two += [(100, *two[3][1:]), (101, None, 0, 9), (102, "p0", None, 9), (103, "none", 0, 9)]
+    left = spark.createDataFrame([*one, (70, None, 0, 9), (71, "p0", None, None)], "x int, path string, a bigint, b bigint")
+    right = spark.createDataFrame([*two, two[0]], "y int, path string, c bigint, d bigint")
+    found = I.overlap_counts(left, right, ("a", "b"), ("c", "d"))
+    assert found.columns == ["y", "path", "c", "d", "n"]
+    many = lambda q, c, d: 0 if c is None or d <= c else sum(p == q and a < d and c < max(b, a + 1) for _, p, a, b in one)
+    assert sorted((r.y, r.n) for r in found.collect()) == sorted((y, many(q, c, d)) for y, q, c, d in [*two, two[0]])
+
+
+def test_counts_list_no_pairs(spark):
+    """60,000 annotations without end and as many windows are 1.8 thousand million pairs."""
+    n = 60_000
+    notes = spark.range(n).selectExpr("'p' AS path", "id * 10 AS onset_ticks_from_first_record", "9223372036854775807 AS duration_ticks")
+    windows = spark.range(n).selectExpr("'p' AS path", "id AS w", "id * 10 - 5 AS start_ticks", "id * 10 + 5 AS end_ticks")
+    began = time.monotonic()
+    found = A.count_in_windows(notes, windows).selectExpr("count(*)", "sum(n)", "count_if(n = w + 1)").first()
+    assert time.monotonic() - began < 60
+    assert tuple(found) == (n, n * (n + 1) // 2, n)
+
+
 def test_levels():
     from pyspark.sql import SparkSession
 
@@ -73,3 +97,10 @@ def test_empty_sides(spark):
     points = rows.selectExpr("path", "start_ticks AS ticks")
     assert I.points_in(points, none.drop("x")).count() == 0
     assert I.overlaps(rows, none.withColumnRenamed("x", "y"), ("start_ticks", "end_ticks"), ("start_ticks", "end_ticks")).count() == 0
+
+
+def test_counts_of_empty_sides(spark):
+    rows = spark.createDataFrame(stretches(5, 1), "x int, path string, start_ticks bigint, end_ticks bigint")
+    none, ends = rows.where("false"), ("start_ticks", "end_ticks")
+    assert I.overlap_counts(none, rows, ends, ends).where("n = 0").count() == 5
+    assert I.overlap_counts(rows, none, ends, ends).count() == 0

@@ -6,18 +6,24 @@ of each k that some interval has, of which there are at most 64. Both meet by eq
 
 Intervals are half-open [start, end); one whose end isn't after its start is the instant at its start. Sums that
 leave 64 bits are held at their ends.
+
+Where only the number of meetings is asked for, none is listed: what began before an interval's end, less what ended
+by its start, are two places in the order of all bounds, which is counted in blocks of ticks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import INT64_MAX
 from ..functions.ticks import WIDE, saturate_col
 
 #: Cells of 2^63 ticks: all of time in two.
 TOP = 63
+#: Blocks of ticks, of about as many bounds each, in which bounds are put in order.
+BLOCKS = 1 << 8
 
 
 def end_of(start: Column, duration: Column) -> Column:
@@ -76,6 +82,11 @@ def points_in(points: DataFrame, intervals: DataFrame, ticks: str = "ticks", sta
     return met.select(*points.columns, *kept)
 
 
+def _tick_at_least(start: str, end: str) -> Column:
+    """The end of an interval of a tick at least."""
+    return F.greatest(F.col(end), F.when(F.col(start) < F.lit(INT64_MAX), F.col(start) + 1).otherwise(F.col(start)))
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...] = ("path",)) -> DataFrame:
     """Every pair of the same keys whose intervals overlap; columns of both, the keys and what right has of left's names from left.
 
@@ -88,7 +99,7 @@ def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], ri
     up_left, up_right = _levels(theirs, "_rk"), _levels(own, "_lk")
     same = [F.col(k) == F.col(f"_{k}_of_interval") for k in on]
     # As half-open intervals of a tick at least, both kinds meet alike; instants are the ticks they stand at.
-    left_end, right_end = (F.greatest(F.col(end), F.when(F.col(start) < F.lit(INT64_MAX), F.col(start) + 1).otherwise(F.col(start))) for start, end in ((a, b), ("_start", "_end")))
+    left_end, right_end = _tick_at_least(a, b), _tick_at_least("_start", "_end")
     meet = (F.col(a) < right_end) & (F.col("_start") < left_end)
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -106,3 +117,44 @@ def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], ri
     one = joined(at_own(own, a, b, "_lk", "_k", "_lcell"), above(theirs, "_start", "_end", "_rk", "_k2", "_rcell", up_right, False))
     two = joined(above(own, a, b, "_lk", "_k", "_lcell", up_left, True), at_own(theirs, "_start", "_end", "_rk", "_k2", "_rcell"))
     return one.union(two)
+
+
+def _block(ticks: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are no later than ticks, by halving."""
+    table = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= ticks, step).otherwise(0))
+
+
+def _until(marks: DataFrame, points: DataFrame, keys: list[str], cuts: list[int]) -> DataFrame:
+    """keys, _t and _n: for each distinct point _t the number of marks _t of its keys that aren't later."""
+    rows = marks.select(*keys, "_t", F.lit(1).alias("_n"), F.lit(False).alias("_asked")).union(points.select(*keys, "_t", F.lit(0), F.lit(True)))
+    each = rows.groupBy(*keys, "_t").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked")).withColumn("_b", _block(F.col("_t"), cuts))
+    along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = each.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    before = totals.select(*keys, "_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"), F.col("_asked").alias("_any")).where("_any").drop("_any")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("_n", F.sum("_n").over(inside)).where("_asked")
+    return placed.join(before, [*keys, "_b"]).select(*keys, "_t", (F.col("_n") + F.col("_before")).alias("_n"))
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...] = ("path",), name: str = "n") -> DataFrame:
+    """right's rows with the number of left's rows that overlap each, as `overlaps` pairs them; right's rows without length have none.
+
+    Equal bounds are counted together before anything is put in order, and a task orders the bounds of one block.
+    """
+    (a, b), (c, d), keys = left_bounds, right_bounds, list(on)
+    known = left.select(*keys, F.col(a).alias("_begin"), _tick_at_least(a, b).alias("_stop")).where("_begin IS NOT NULL").na.drop(subset=keys)
+    asked = right.withColumn("_last", F.when(F.col(d) > F.col(c), F.col(d) - 1)).withColumn("_since", F.when(F.col(d) > F.col(c), F.col(c)))
+    both = lambda df, one, two, point: df.select(F.explode(F.array(one, two)).alias("_t"), F.lit(point).alias("_point"))
+    spread = both(known, "_begin", "_stop", False).union(both(asked, "_last", "_since", True))
+    found = spread.agg(F.percentile_approx("_t", [k / BLOCKS for k in range(1, BLOCKS)]), F.max(F.when(F.col("_point"), F.col("_t")))).first()
+    cuts, latest = sorted(set(found[0] or [])), F.lit(found[1]).cast("bigint")
+
+    def until(ends: str, points: str) -> DataFrame:
+        marks = known.select(*keys, F.col(ends).alias("_t")).where(F.col("_t") <= latest)
+        return _until(marks, asked.select(*keys, F.col(points).alias("_t")).where("_t IS NOT NULL"), keys, cuts).withColumnRenamed("_t", points)
+
+    begun, ended = until("_begin", "_last").withColumnRenamed("_n", "_begun"), until("_stop", "_since").withColumnRenamed("_n", "_ended")
+    met = asked.join(begun, [*keys, "_last"], "left").join(ended, [*keys, "_since"], "left")
+    return met.select(*right.columns, F.coalesce(F.col("_begun") - F.col("_ended"), F.lit(0)).alias(name))

@@ -716,7 +716,7 @@ def annotations_without_end(spark, d):
     user = F.col("user_id")
     windows = X.events(spark, d).where(user % 60 > 0).select("path", user, ((user * 17 % 20_000) * D).alias("start_ticks"), ((user * 17 % 20_000 + user % 60) * D).alias("end_ticks")).distinct()
     notes = _notes(spark, d).where("text = 'error'").withColumn("duration_ticks", F.lit(2**63 - 1))
-    return A.in_windows(notes, windows).groupBy("user_id").agg(F.count("*").alias("n"))
+    return A.count_in_windows(notes, windows).where("n > 0").groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
 _AT = "(SELECT onset_ticks FROM note WHERE event_id = (SELECT count(*) // 2 FROM note))"
