@@ -66,3 +66,20 @@ def test_no_windows_and_far_ones(spark, archive):
     far = [(asked[0][0], 1, -9e11, 1.0), (asked[0][0], 2, 9e11, 1.0)]
     assert M.read_windows(spark, folder, frame(spark, far)).count() == 0
     assert M.read_windows(spark, folder, frame(spark, far).where("false")).count() == 0
+
+
+def test_windows_list_no_more_records_than_they_have(spark):
+    """A record in hand for each that a run has, also across cuts; runs of a file don't meet all of its records."""
+    asked = [("p", 1, 0, M.CUT - 2, 5), ("p", 1, 1, 3 * M.CUT, 1), ("q", 2, 0, 7, 2 * M.CUT)]
+    runs = spark.createDataFrame(asked, "path string, window_id int, run_id int, first bigint, count bigint")
+    found = sorted(tuple(r) for r in M.records_of(runs).select("path", "window_id", "run_id", "record_index").collect())
+    assert found == sorted((path, w, k, i) for path, w, k, first, n in asked for i in range(first, first + n))
+
+
+def test_blocks_are_changed_once_each(spark, archive):
+    folder, asked = archive
+    summed = lambda blocks: blocks.select("path", "record_index", F.aggregate("digital", F.lit(0), lambda s, x: s + x).alias("total"))
+    found = M.read_windows(spark, folder, frame(spark, asked), "0", then=summed)
+    whole = M.read_windows(spark, folder, frame(spark, asked), "0")
+    assert found.columns == ["window_id", "run_id", "path", "record_index", "total"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r.window_id, r.run_id, r.path, r.record_index, sum(r.digital)) for r in whole.collect())

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ticks import WIDE, ceil_div_col, div, floor_div_col
 from ..operators.intervals import overlaps
-from ..operators.timeline import check_monotonic, segments, with_run
+from ..operators.timeline import check_monotonic, segments
 from ..recording import register
 from ..sources.datasource import SCHEMAS, Known, open_with, scan, to_batch
 from ..sources.decode import timeline
@@ -57,6 +57,13 @@ def plan(windows: DataFrame, found: DataFrame) -> DataFrame:
     return runs.select("path", "window_id", (F.row_number().over(along) - 1).alias("run_id"), (F.col("record_start") + F.col("_first")).alias("first"), (F.col("_last") - F.col("_first") + 1).alias("count"))
 
 
+def records_of(runs: DataFrame) -> DataFrame:
+    """path, window_id, run_id, record_index: each record of each run, as many rows as windows have records; no array is longer than CUT."""
+    stop = F.col("first") + F.col("count")
+    pieces = runs.withColumn("_cut", F.explode(F.sequence(div(F.col("first"), F.lit(CUT)), div(stop - 1, F.lit(CUT)))))
+    return pieces.select("path", "window_id", "run_id", F.explode(F.sequence(F.greatest("first", F.col("_cut") * CUT), F.least(stop, (F.col("_cut") + 1) * CUT) - 1)).alias("record_index"))
+
+
 def merged(runs: DataFrame) -> DataFrame:
     """path, first, stop: what the runs (path, first, count) want, without overlaps, cut at multiples of CUT records."""
     stop = F.col("first") + F.col("count")
@@ -110,6 +117,4 @@ def read_windows(spark: SparkSession, path: str, windows: DataFrame, signals: st
     runs = plan(windows, found)
     blocks = read_ranges(merged(runs), signals, options)
     blocks = then(blocks) if then else blocks
-    wanted = runs.select("path", "window_id", "run_id", F.col("first").alias("run_first"), F.col("count").alias("run_count"))
-    joined = with_run(blocks, wanted, F.col("record_index"))
-    return joined.select("window_id", "run_id", *blocks.columns)
+    return blocks.join(records_of(runs), ["path", "record_index"]).select("window_id", "run_id", *blocks.columns)

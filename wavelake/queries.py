@@ -679,7 +679,7 @@ r AS (SELECT {_FILE} AS file, {_PLACE} AS record_index, count(*) AS n, sum(digit
 o AS (SELECT *, (record_index + 10 * (record_index // 20)) * {D} AS onset FROM r)
 SELECT window_id, count(*) AS records, count(DISTINCT record_index // 20) AS runs, CAST(sum(total) AS BIGINT) AS total FROM w JOIN o ON o.file = w.file AND onset < till AND onset + {D} > since WHERE till > since GROUP BY 1""")
 def windows_archive(spark, d):
-    """A window around each event's place in its file, over all files with gaps; records that windows share are read once."""
+    """A window around each event's place in its file, over all files with gaps; records that windows share are read and added up once."""
     from .plans.windows import read_windows
 
     folder = X.archive(spark, d, "gaps", KINDS["gaps"])
@@ -687,9 +687,10 @@ def windows_archive(spark, d):
     begin = (place + 10 * F.call_function("div", place, F.lit(20))) * D + (F.col("event_id") % 5 - 2) * (D // 4)
     files = _read(spark, d, "gaps", "headers").select("path", X.file_part(F.col("path")).alias("file"))
     asked = X.table(spark, d, "events").select(F.call_function("div", F.col("event_id"), F.lit(S * X.FILE_RECORDS)).alias("file"), F.col("event_id").alias("window_id"), begin.alias("start_ticks"), (begin + F.col("event_id") % 9 * (3 * D // 2)).alias("end_ticks"))
-    blocks = read_windows(spark, folder, asked.join(files, "file"), "EEG value", then=lambda blocks: _wide(spark, d, blocks))
     total = F.aggregate("digital", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return blocks.groupBy("window_id").agg(F.count("*").alias("records"), F.countDistinct("run_id").alias("runs"), F.sum(total).alias("total"))
+    summed = lambda blocks: _wide(spark, d, blocks).select("path", "record_index", total.alias("total"))
+    blocks = read_windows(spark, folder, asked.join(files, "file"), "EEG value", then=summed)
+    return blocks.groupBy("window_id").agg(F.count("*").alias("records"), F.countDistinct("run_id").alias("runs"), F.sum("total").alias("total"))
 
 
 # -- annotations -----------------------------------------------------------------------------------------------
